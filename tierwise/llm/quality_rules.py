@@ -19,7 +19,7 @@ BUCKETS = 1 << 14
 #: Labelled good documents that stand for the trusted target, at most.
 TARGET_DOCS = 10_000
 #: Mean log ratio (in millionths) from which a document is kept. Fixed value.
-THRESHOLD = -700_000
+THRESHOLD = -1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
