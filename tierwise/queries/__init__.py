@@ -1,9 +1,15 @@
 """Registered queries by family, each with the SQL that checks it."""
 
+from __future__ import annotations
+
+from . import analytics, governed, tables, texts
+
+_MODULES = (tables, texts, analytics, governed)
+
 
 def queries():
-    return {}
+    return {k: q for m in _MODULES for k, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: sql for m in _MODULES for k, (_, sql) in m.QUERIES.items() if sql}
