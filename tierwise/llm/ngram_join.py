@@ -1,18 +1,20 @@
 """N-gram Jaccard join by groups of equal prefixes.
 
 1. One pass hashes each text to its set of word n-grams; texts with equal sets form one class,
-   represented by the smallest id. The same pass adds up a sketch of n-gram frequencies with a
-   fixed number of counters, summed block by block.
-2. Each set is ordered by (sketch count, hash), rare first, and cut to its prefix: two sets that
-   reach the threshold share an element of their prefixes. Classes with the same prefix and size
-   collapse into one group; only groups post their prefix.
-3. Group pairs are filtered through a star per posted element: groups that no chain of shared
-   elements ties together cannot hold a link. What is tied together forms a block.
-4. Blocks are expanded to their members, whose sets are fetched once per member, and every pair of
-   a block that passes the size bound is verified by exact intersection counts. A block over
-   TILE_DOCS members or TILE_ITEMS elements is cut into slices, and pairs of slices go to tasks of
-   their own, so that no task holds an unbounded group and no pair of members is emitted.
-5. Tasks emit one edge per member to the smallest id it was found linked with; components follow.
+   represented by the smallest id.
+2. Classes are dealt into blocks such that no link crosses blocks. A link allows for few elements in
+   which two sets differ; with the elements dealt by hash into more parts than that, two linked sets
+   have a part in common that is equal and not empty. Each class posts a hash of each of its parts (for
+   its own band of sizes and the next); a star per posted hash and connected components make the
+   blocks. Single prefix elements are no use for this: on the 0.1 GB check input they chain 32,051 of
+   47,257 classes into one block, where equal parts, of five elements or so, leave real neighbours.
+3. Sets are fetched once for each class in a block, and the grouped prefix join runs in the block: members
+   with the same prefix (the smallest hashes, so that two linked sets share an element of their prefixes)
+   and size collapse into a group, an index of the groups' prefixes and the bound on sizes filter the
+   pairs of groups, and what is left is expanded to members and verified by exact intersection counts.
+   A block over TILE_DOCS members or TILE_ITEMS elements is cut into slices, and pairs of slices go to
+   tasks of their own, so no task holds an unbounded group and no pair of members is emitted.
+4. Tasks emit one edge per member, to the smallest id it was found linked with; components follow.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import IdFilter, Stored, WordHash, binary_texts, components, filtered, ids_of, mix, prepare, texts_with_key, to_batch
 
-#: Counters of the frequency sketch and blocks in which it is summed.
-SKETCH, SKETCH_BLOCKS = 1 << 18, 16
 #: Members and elements of a slice of a large block.
 TILE_DOCS, TILE_ITEMS = 2048, 4_000_000
 
@@ -53,72 +53,69 @@ def prefix_length(size: int, threshold: int) -> int:
     return size - -(-threshold * size // 100) + 1
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+def bands(size: int, threshold: int) -> tuple[int, int, int]:
+    """Band of a size, and the first sizes of the next two: a linked set is in the same band or one beside it."""
+    band, low = 0, 1
+    while True:
+        high = max(low + 1, -(-100 * low // threshold))
+        if size < high:
+            return band, high, max(high + 1, -(-100 * high // threshold))
+        band, low = band + 1, high
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros(SKETCH, np.uint32), False
-        for b in batches:
-            size, fp = [], []
-            for t in binary_texts(b):
-                s = shingle_set(t, n)
-                size.append(len(s))
-                fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                np.add.at(sketch, (s >> np.uint64(46)).astype(np.int64), 1)
-                seen = True
-            _hashes.trim()
-            none = [None] * len(size)
-            yield to_batch({"doc_id": ids_of(b), "n": size, "fp": fp, "block": none, "counts": none}, _SETS)
-        if seen:
-            parts = sketch.reshape(SKETCH_BLOCKS, -1)
-            none = [None] * SKETCH_BLOCKS
-            yield to_batch({"doc_id": none, "n": none, "fp": none, "block": list(range(SKETCH_BLOCKS)), "counts": [p.tobytes() for p in parts]}, _SETS)
+def part_hashes(items: np.ndarray, threshold: int) -> np.ndarray:
+    """Hashes of the parts of a set, for its own band of sizes and the next.
 
-    return texts_with_key(docs).mapInArrow(run, "doc_id long, n long, fp binary, block int, counts binary")
+    Sets below ``high`` elements that are linked differ in ``apart`` elements at most, so of more parts
+    than that at least 1 + spare are equal. One of them is not empty unless more than ``spare`` parts are;
+    only such sets post their empty parts too.
+    """
+    band, *highs = bands(len(items), threshold)
+    out = []
+    for k, high in enumerate(highs):
+        apart = 2 * (high - 1) * (100 - threshold) // (100 + threshold)
+        spare = (apart + 1) // 12
+        parts = apart + 1 + spare
+        part = (mix(items ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
+        here = part[order][first]
+        value = np.add.reduceat(mix(items)[order], first)
+        if parts - len(here) > spare:
+            empty = np.setdiff1d(np.arange(parts), here)
+            here, value = np.r_[here, empty], np.r_[value, np.zeros(len(empty), np.uint64)]
+        out.append(mix(mix(value + np.uint64((band + k) * 0x9E3779B9)) + here.astype(np.uint64)))
+    return np.concatenate(out)
 
 
-def _sketch(parts: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counters: streamed block by block, then SKETCH counters (2 MB) to the driver."""
-    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                add = np.frombuffer(c, np.uint32).astype(np.uint64)
-                total[k] = total[k] + add if k in total else add
-        if total:
-            yield to_batch({"block": list(total), "counts": [x.tobytes() for x in total.values()]}, schema)
+            got = [shingle_set(t, n) for t in binary_texts(b)]
+            _hashes.trim()
+            yield to_batch({"doc_id": ids_of(b), "n": [len(s) for s in got], "fp": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in got]}, schema)
 
-    rows = parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(run, "block int, counts binary").collect()
-    out = np.zeros((SKETCH_BLOCKS, SKETCH // SKETCH_BLOCKS), np.uint64)
-    for r in rows:
-        out[r["block"]] += np.frombuffer(r["counts"], np.uint64)
-    return np.minimum(out.reshape(-1), 0xFFFFFFFF).astype(np.uint32)
+    return texts_with_key(docs).mapInArrow(run, "doc_id long, n long, fp binary")
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, threshold: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("pfp", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _parts(docs: DataFrame, n: int, threshold: int) -> DataFrame:
+    schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
         for b in batches:
-            ids, size, fp, prefix = [], [], [], []
+            parts, ids = [], []
             for d, t in zip(ids_of(b), binary_texts(b), strict=True):
                 s = shingle_set(t, n)
-                if d is None or not len(s):
-                    continue
-                p = s[np.lexsort((s, counts[(s >> np.uint64(46)).astype(np.int64)]))[: prefix_length(len(s), threshold)]]
-                ids.append(d)
-                size.append(len(s))
-                fp.append(xxhash.xxh3_128_digest(p.tobytes()))
-                prefix.append(p.view(np.int64))
+                if len(s):
+                    parts.append(part_hashes(s, threshold))
+                    ids.append(np.full(len(parts[-1]), d, np.int64))
             _hashes.trim()
-            yield to_batch({"doc_id": ids, "n": size, "pfp": fp, "prefix": prefix}, schema)
+            if parts:
+                yield to_batch({"part": np.concatenate(parts).view(np.int64), "doc_id": np.concatenate(ids)}, schema)
 
-    return texts_with_key(docs).mapInArrow(run, "doc_id long, n long, pfp binary, prefix array<long>")
+    return docs.mapInArrow(run, "part long, doc_id long")
 
 
 def _member_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -133,6 +130,28 @@ def _member_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items binary")
 
 
+class Index:
+    """Inverted index of some sets, for counting what each shares with all."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n, sizes = len(sets), [len(s) for s in sets]
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order]
+        self.first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
+        self.runs = np.diff(np.r_[self.first, len(flat)])
+        self.run_of = np.empty(len(flat), np.int64)
+        self.run_of[order] = np.repeat(np.arange(len(self.first)), self.runs)
+        self.bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+
+    def counts(self, x: int) -> np.ndarray:
+        """Elements that set x shares with each set."""
+        r = self.run_of[self.bounds[x] : self.bounds[x + 1]]
+        length = self.runs[r]
+        at = np.repeat(self.first[r] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
 def link_members(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Exact links among the members of a tile: each member's smallest id linked by a chain, and its number of links.
 
@@ -140,15 +159,12 @@ def link_members(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], thre
     """
     m = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
-    flat = np.concatenate(sets) if m else np.empty(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
-    runs = np.diff(np.r_[first, len(flat)])
-    run_of = np.empty(len(flat), np.int64)
-    run_of[order] = np.repeat(np.arange(len(first)), runs)  # of each element, in the members' order
-    bounds = np.r_[0, np.cumsum(sizes)]
+    # Groups of equal prefix and size, and the pairs of groups that share a prefix element.
+    names: dict[tuple[int, bytes], int] = {}
+    prefixes = [s[: prefix_length(len(s), threshold)] for s in sets]
+    group = np.array([names.setdefault((len(s), p.tobytes()), len(names)) for s, p in zip(sets, prefixes, strict=True)], np.int64)
+    lead = np.unique(group, return_index=True)[1] if m else group
+    of_groups, of_members = Index([prefixes[k] for k in lead]), Index(sets)
     parent = list(range(m))
     links = np.zeros(m, np.int64)
 
@@ -158,17 +174,18 @@ def link_members(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], thre
             x = parent[x]
         return x
 
+    near: dict[int, np.ndarray] = {}
     for x in range(m):
-        r = run_of[bounds[x] : bounds[x + 1]]
-        r = r[runs[r] > 1]
-        if not len(r):
-            continue
-        length = runs[r]
-        at = np.repeat(first[r] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-        shared = np.bincount(owner[at], minlength=m)[:x]
-        hit = 100 * shared >= threshold * (sizes[x] + sizes[:x] - shared)
+        g = int(group[x])
+        if g not in near:
+            near[g] = of_groups.counts(g) > 0
+        with_x = near[g][group[:x]] & (100 * np.minimum(sizes[x], sizes[:x]) >= threshold * np.maximum(sizes[x], sizes[:x]))
         if cross:
-            hit &= side[:x] != side[x]
+            with_x &= side[:x] != side[x]
+        if not with_x.any():
+            continue
+        shared = of_members.counts(x)[:x]
+        hit = with_x & (100 * shared >= threshold * (sizes[x] + sizes[:x] - shared))
         for y in np.flatnonzero(hit):
             links[x] += 1
             links[y] += 1
@@ -231,26 +248,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> Data
         judged = ngram_jaccard_join(stored.keep(once), n, threshold)
         rows = docs.select("doc_id").where("doc_id is not null").join(judged, "doc_id")
         return rows.unionByName(ngram_jaccard_join(nameless, n, threshold))
-    passed = stored.keep(_sets(docs, n))
-    sets = passed.where("block is null").select("doc_id", "n", "fp")
-    sketch = _sketch(passed.where("block is not null").select("block", "counts"))
-
-    classes = stored.keep(sets.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id")))
-    prefixes = _prefixes(docs, sketch, n, threshold).join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    prefixes = stored.keep(prefixes)
-
-    groups = prefixes.groupBy("pfp", "n").agg(F.min("doc_id").alias("gid"), F.count("*").alias("size"))
-    member = stored.keep(prefixes.select("doc_id", "n", "pfp").join(groups.select("pfp", "n", "gid"), ["pfp", "n"]).select("doc_id", "gid", "n"))
-    posted = prefixes.join(groups.select(F.col("gid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), F.explode("prefix").alias("item"))
-    star = posted.groupBy("item").agg(F.min("gid").alias("pivot"), F.max("gid").alias("last")).where("pivot < last").select("item", "pivot")
-    edges = posted.join(star, "item").where("gid <> pivot").select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
+    sets = stored.keep(_sets(docs, n))
+    classes = stored.keep(sets.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n")))
+    # The filter passes few of the copies; those it passes post the same parts as their class and are dropped by the join.
+    posted = _parts(filtered(texts_with_key(docs.where("doc_id is not null")), IdFilter(classes.select("class_id"))), n, threshold)
+    star = posted.groupBy("part").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("part", "pivot")
+    edges = posted.join(star, "part").where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     roots = components(edges, stored)
 
-    tied = stored.keep(member.join(roots, member.gid == roots.id, "left").select("doc_id", "n", F.coalesce("root", "gid").alias("block")))
-    stored.drop(prefixes)
+    tied = stored.keep(roots.join(classes, roots.id == classes.class_id).select(F.col("class_id").alias("doc_id"), "n", F.col("root").alias("block")))
     slices = F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_ITEMS)).cast("int")
-    blocks = tied.groupBy("block").agg(F.count("*").alias("members"), slices.alias("slices")).where("members > 1")
-    blocks = stored.keep(blocks)
+    blocks = stored.keep(tied.groupBy("block").agg(F.count("*").alias("members"), slices.alias("slices")).where("members > 1"))
     placed = tied.join(blocks.select("block", "slices"), "block").select("doc_id", "block", "slices", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("side"))
     placed = stored.keep(placed)
 
@@ -269,7 +277,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> Data
         counted = counted.drop("root").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     counted = counted.withColumnRenamed("doc_id", "class_id")
 
-    out = sets.join(classes, "fp", "left").join(counted, "class_id", "left")
+    out = sets.join(classes.drop("n"), "fp", "left").join(counted, "class_id", "left")
     linked = F.when(F.col("n") > 0, F.coalesce("root", "class_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
