@@ -72,5 +72,14 @@ def shift(z: np.ndarray, y: np.ndarray, threshold: float = 0.7) -> float:
     return float(np.log(threshold / (1 - threshold)) - (edge[k] + edge[k + 1]) / 2)
 
 
+def calibrated(fit: Callable, margin: Callable[[np.ndarray, bytes], float], texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
+    """A model of all rows whose bias is shifted by what suits every third row under a model of the others."""
+    third = np.arange(len(texts)) % 3 == 0
+    part = fit([t for t, out in zip(texts, third, strict=True) if not out], y[~third])["w"]
+    model = fit(texts, y)
+    model["w"][-1] += shift(np.array([margin(part, t) for t, out in zip(texts, third, strict=True) if out]), y[third])
+    return model
+
+
 def sigmoid(z: float) -> float:
     return 1 / (1 + float(np.exp(-min(35.0, max(-35.0, z)))))

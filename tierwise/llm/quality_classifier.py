@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import WordHash, mix
-from .linear import held_out, scored, shift, sigmoid, train, training_rows
+from .linear import calibrated, held_out, scored, sigmoid, train, training_rows
 
 BITS = 18
 #: Labelled rows to learn from, at most.
@@ -48,16 +48,20 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 4, alpha: float = 0.5,
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w[at]
             n[at] += g * g
     l1s = np.r_[np.full(size, l1), 0.0]
-    w = np.where(np.abs(z) <= l1s, 0.0, -(z - np.sign(z) * l1s) / ((beta + np.sqrt(n)) / alpha + l2))
-    w[-1] += shift(np.array([w[at] @ x for at, x in rows]) + w[-1], y)
-    return {"w": w}
+    return {"w": np.where(np.abs(z) <= l1s, 0.0, -(z - np.sign(z) * l1s) / ((beta + np.sqrt(n)) / alpha + l2))}
+
+
+def margin(w: np.ndarray, text: bytes) -> float:
+    at, x = features(text)
+    return float(w[at] @ x + w[-1])
+
+
+def fit_calibrated(texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
+    return calibrated(fit, margin, texts, y)
 
 
 def score(model: dict[str, np.ndarray], texts: list[bytes]) -> list[float]:
-    w, out = model["w"], []
-    for t in texts:
-        at, x = features(t)
-        out.append(sigmoid(float(w[at] @ x + w[-1])))
+    out = [sigmoid(margin(model["w"], t)) for t in texts]
     _hashes.trim()
     return out
 
@@ -72,4 +76,4 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 4, fol
     label. Without labels of both kinds the weights are what one kind gives; without any, every score is 0.5. Empty table: empty result. Repeated rows are all scored.
     """
     rows = training_rows(docs, labels, "quality", ~held_out(modulus, fold), train_rows)
-    return scored(docs, train(rows, fit), score, held_out(modulus, fold), threshold)
+    return scored(docs, train(rows, fit_calibrated), score, held_out(modulus, fold), threshold)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .linear import held_out, scored, shift, sigmoid, train, training_rows
+from .linear import calibrated, held_out, scored, sigmoid, train, training_rows
 
 BITS, ORDERS = 20, (3, 4, 5)
 #: Labelled rows to learn from, at most.
@@ -63,17 +63,22 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 12, least: int = 5, cut
             b -= rate * 0.02 * g
     out = np.zeros(size + 1)
     out[live] = w * r
-    out[-1] = b + shift(np.array([w[at] @ r[at] for at in rows]) + b, y)
+    out[-1] = b
     return {"w": out}
 
 
+def margin(w: np.ndarray, text: bytes) -> float:
+    at = features(text)
+    at = np.unique(at[w[at] != 0])
+    return float(w[at].sum() + w[-1])
+
+
+def fit_calibrated(texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
+    return calibrated(fit, margin, texts, y)
+
+
 def score(model: dict[str, np.ndarray], texts: list[bytes]) -> list[float]:
-    w, out = model["w"], []
-    for t in texts:
-        at = features(t)
-        at = at[w[at] != 0]
-        out.append(sigmoid(float(w[np.unique(at)].sum() + w[-1])))
-    return out
+    return [sigmoid(margin(model["w"], t)) for t in texts]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, fold: int = 1, threshold: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -86,4 +91,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, fold: int = 1
     label. No labels: every score is 0.5. Empty table: empty result. Repeated rows are all scored.
     """
     rows = training_rows(docs, labels, "toxic", ~held_out(modulus, fold), train_rows)
-    return scored(docs, train(rows, fit), score, held_out(modulus, fold), threshold)
+    return scored(docs, train(rows, fit_calibrated), score, held_out(modulus, fold), threshold)
