@@ -173,9 +173,9 @@ class WordCodec:
             got = [x for w in ws if (x := self.words[w])[0]]
             self.units[u] = " ".join(x[0] for x in got), " ".join(x[1] for x in got)
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Ids as decimals and the decoded text, both joined by a space. The units must be filled."""
-        found = [x for u in units_of(text) if (x := self.units[u])[0]]
+    def encode(self, units: list[str]) -> tuple[str, str]:
+        """Ids as decimals and the decoded text, both joined by a space. The units of the text must be filled."""
+        found = [x for x in map(self.units.__getitem__, units) if x[0]]
         return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
 
@@ -218,13 +218,13 @@ def _encoder(vocabulary: str, schema: pa.Schema):
             texts = [t or "" for t in b.column(1).to_pylist()]
             out = {k: [] for k in schema.names}
             out["doc_id"] = ids_of(b)
-            for i in range(0, len(texts), 64):
-                c.fill(set().union(*map(units_of, texts[i : i + 64])))
-                for t in texts[i : i + 64]:
-                    ids, decoded = c.encode(t)
-                    row = {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": ids, "decoded": decoded, "ids_sha256": digest(ids), "decoded_sha256": digest(decoded)}
-                    for k in schema.names[1:]:
-                        out[k].append(row[k])
+            cut = [units_of(t) for t in texts]
+            c.fill(set().union(*cut))
+            for units in cut:
+                ids, decoded = c.encode(units)
+                row = {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": ids, "decoded": decoded, "ids_sha256": digest(ids), "decoded_sha256": digest(decoded)}
+                for k in schema.names[1:]:
+                    out[k].append(row[k])
             yield to_batch(out, schema)
 
     return run
