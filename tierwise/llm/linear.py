@@ -38,6 +38,8 @@ def train(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], dict[str, np
         yield to_batch({"name": list(made), "value": [v.astype(np.float32).tobytes() for v in made.values()]}, schema)
 
     found = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "name string, value binary").collect()
+    if not found:  # no rows, so no task ran
+        return {k: v.astype(np.float32) for k, v in fit([], np.empty(0)).items()}
     return {r["name"]: np.frombuffer(r["value"], np.float32) for r in found}
 
 
