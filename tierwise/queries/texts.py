@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .tables import t
 
-_T = F.col("text")
+
+
+def _text():
+    """Needs a session, so it is made when a query runs."""
+    return F.col("text")
+
+
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 
 
 def token_features(s, d):
     d_ = t(s, d, "documents")
-    return d_.select("doc_id", X.token_count(_T).alias("n_in"), X.alnum_count(_T).cast("long").alias("n_alnum"), X.cue_count(_T, ("the", "and", "que")).cast("long").alias("cues"))
+    return d_.select("doc_id", X.token_count(_text()).alias("n_in"), X.alnum_count(_text()).cast("long").alias("n_alnum"), X.cue_count(_text(), ("the", "and", "que")).cast("long").alias("cues"))
 
 
 def block(features):
-    return lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", *[F.round(v, 6).alias(k) for k, v in features(_T).items()])
+    return lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", *[F.round(v, 6).alias(k) for k, v in features(_text()).items()])
 
 
 def _n(pattern, text="text"):
@@ -45,7 +51,7 @@ def embeddings(s, d):
 
 def entropy(s, d):
     """Shannon entropy of a document's words, by counts of (document, word)."""
-    w = t(s, d, "documents").select("doc_id", F.explode(X.tokens(_T)).alias("w")).groupBy("doc_id", "w").count()
+    w = t(s, d, "documents").select("doc_id", F.explode(X.tokens(_text())).alias("w")).groupBy("doc_id", "w").count()
     h = F.log2(F.sum("count")) - F.sum(F.col("count") * F.log2("count")) / F.sum("count")
     return w.groupBy("doc_id").agg(F.round(F.abs(h), 6).alias("h"))
 
@@ -68,13 +74,13 @@ QUERIES = {
         f"SELECT doc_id, {_clamp(f'({_cues(X.FORMAT_CUES)}) / 4.0::DOUBLE')} AS instruction_format_strictness, {_clamp(f'{_n(X.PROHIBITIONS)} / 3.0::DOUBLE')} AS instruction_prohibition_count, {_clamp(f'{_n(X.STEPS)} / greatest(2.0::DOUBLE, {_ALNUM} / 12.0::DOUBLE)')} AS instruction_step_count, {_clamp(f'{_n(X.CONFLICTS)} / 3.0::DOUBLE')} AS instruction_conflict_cues FROM documents WHERE lang = 'en'",
     ),
     "readability": (
-        lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", *[F.round(v, 5).alias(k) for k, v in X.readability(_T).items()]),
+        lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", *[F.round(v, 5).alias(k) for k, v in X.readability(_text()).items()]),
         f"WITH r AS (SELECT doc_id, greatest(1, len({_WORDS.format('text')}))::DOUBLE AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+')))::DOUBLE AS s, len(regexp_extract_all(lower(text), '[aeiou]')) AS y, len(list_filter({_WORDS.format('text')}, lambda x: length(x) > 6)) AS l FROM documents WHERE lang = 'en') SELECT doc_id, round(greatest(0.0::DOUBLE, 0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE), 5) AS flesch_kincaid, round(greatest(0.0::DOUBLE, 0.4::DOUBLE * (w / s + 100.0::DOUBLE * l / w)), 5) AS fog FROM r",
     ),
     "stable_splits": (splits, "SELECT doc_id, u, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(sha256('42:' || doc_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM documents)"),
     "embedding_cosine": (embeddings, "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], c) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(c, c))), 5) AS cos FROM embeddings, (SELECT embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id = 0)"),
     "overlap_ratio": (
-        lambda s, d: t(s, d, "conversations").where("turn = 0").select("conv_id", _T.alias("q")).join(t(s, d, "conversations").where("turn = 1").select("conv_id", _T.alias("c")), "conv_id").select("conv_id", F.round(X.overlap(F.col("q"), F.col("c")), 6).alias("overlap")),
+        lambda s, d: t(s, d, "conversations").where("turn = 0").select("conv_id", _text().alias("q")).join(t(s, d, "conversations").where("turn = 1").select("conv_id", _text().alias("c")), "conv_id").select("conv_id", F.round(X.overlap(F.col("q"), F.col("c")), 6).alias("overlap")),
         f"SELECT conv_id, round(coalesce(len(list_intersect(qs, cs)) / nullif(len(qs), 0)::DOUBLE, 0.0), 6) AS overlap FROM (SELECT q.conv_id, list_distinct({_WORDS.format('lower(q.text)')}) AS qs, list_distinct({_WORDS.format('lower(c.text)')}) AS cs FROM conversations q JOIN conversations c ON q.conv_id = c.conv_id AND q.turn = 0 AND c.turn = 1)",
     ),
 }
