@@ -60,5 +60,7 @@ def retrieval(df: DataFrame) -> DataFrame:
 
 
 def information_extraction(df: DataFrame) -> DataFrame:
+    # In a column of its own: inside the final select a lambda would take the name for the new string column.
     same = F.forall("required_fields", lambda f: F.try_element_at("prediction", f).eqNullSafe(F.try_element_at("reference_fields", f)))
-    return canonical(df, "information_extraction", example_id=F.col("doc_id"), dataset=F.col("split"), model_name=F.col("model"), prediction=F.to_json("prediction"), reference=F.to_json("reference_fields"), primary_metric=same.cast("double"), valid_output=flag(F.col("schema_valid"), False), latency_sec=F.col("latency_seconds"), input_text=F.col("text"))
+    d = df.withColumn("_same", same)
+    return canonical(d, "information_extraction", example_id=F.col("doc_id"), dataset=F.col("split"), model_name=F.col("model"), prediction=F.to_json("prediction"), reference=F.to_json("reference_fields"), primary_metric=F.col("_same").cast("double"), valid_output=flag(F.col("schema_valid"), False), latency_sec=F.col("latency_seconds"), input_text=F.col("text"))
