@@ -72,8 +72,8 @@ class WordHash(dict):
         h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return h
 
-    def trim(self) -> None:
-        if len(self) > CACHE_LIMIT:
+    def trim(self, limit: int = CACHE_LIMIT) -> None:
+        if len(self) > limit:
             self.clear()
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -5,8 +5,8 @@
 2. Classes are dealt into blocks such that no link crosses blocks. A link allows for few elements in
    which two sets differ; with the elements dealt by hash into more parts than that, two linked sets
    have a part in common that is equal and not empty. Each class posts a hash of each of its parts (for
-   its own band of sizes and the next); a star per posted hash and connected components make the
-   blocks. Single prefix elements are no use for this: on the 0.1 GB check input they chain 32,051 of
+   its own band of sizes and the next), a task's equal posts gathered first; each hash's smallest id and
+   connected components make the blocks. Single prefix elements are no use for this: on the 0.1 GB check input they chain 32,051 of
    47,257 classes into one block, where equal parts, of five elements or so, leave real neighbours.
 3. Sets are fetched once for each class in a block, and the grouped prefix join runs in the block: members
    with the same prefix (the smallest hashes, so that two linked sets share an element of their prefixes)
@@ -19,18 +19,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stored, WordHash, binary_texts, components, filtered, ids_of, mix, prepare, texts_with_key, to_batch
+from .common import IdFilter, Stored, WordHash, binary_texts, components, ids_of, mix, prepare, texts_with_key, to_batch
 
 #: Members and elements of a slice of a large block.
-TILE_DOCS, TILE_ITEMS = 2048, 4_000_000
+TILE_DOCS, TILE_ITEMS = 2048, 1_000_000
+
+#: Posts that a task gathers before it hands them on, rows of its output batches, and words it remembers.
+POSTS, OUT_ROWS, WORDS = 1 << 20, 1 << 16, 1 << 18
 
 _hashes = WordHash()
 
@@ -94,38 +97,75 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [shingle_set(t, n) for t in binary_texts(b)]
-            _hashes.trim()
+            _hashes.trim(WORDS)
             yield to_batch({"doc_id": ids_of(b), "n": [len(s) for s in got], "fp": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in got]}, schema)
 
     return texts_with_key(docs).mapInArrow(run, "doc_id long, n long, fp binary")
 
 
-def _parts(docs: DataFrame, n: int, threshold: int) -> DataFrame:
+def _chosen(docs: DataFrame, keep: IdFilter) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """Rows with a filter key as last column, and what a worker applies to each batch of them."""
+    bits = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def of(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(bits.value.has(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", IdFilter.key()), of
+
+
+def gather(parts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posts of some documents with each part once: the documents that share one with an earlier post are
+    tied to its document by a part of their own for that pair, so a part that a third of all documents
+    have is posted once for POSTS of them, and no task gets them all."""
+    order = np.argsort(parts, kind="stable")
+    parts, ids = parts[order], ids[order]
+    new = np.r_[True, parts[1:] != parts[:-1]]
+    pivot = ids[new][np.cumsum(new) - 1]
+    at = ids != pivot
+    pairs = np.unique(np.stack([ids[at], pivot[at]], 1), axis=0)
+    own = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64))
+    return np.r_[parts[new], own, own], np.r_[ids[new], pairs[:, 0], pairs[:, 1]]
+
+
+def _parts(docs: DataFrame, keep: IdFilter, n: int, threshold: int) -> DataFrame:
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64())])
+    docs, chosen = _chosen(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts, ids = [], []
+        parts, ids, held = [], [], 0
+
+        def posts() -> Iterator[pa.RecordBatch]:
+            if parts:
+                part, doc = gather(np.concatenate(parts), np.concatenate(ids))
+                for i in range(0, len(part), OUT_ROWS):
+                    yield to_batch({"part": part[i : i + OUT_ROWS].view(np.int64), "doc_id": doc[i : i + OUT_ROWS]}, schema)
+
+        for b in map(chosen, batches):
             for d, t in zip(ids_of(b), binary_texts(b), strict=True):
                 s = shingle_set(t, n)
                 if len(s):
                     parts.append(part_hashes(s, threshold))
                     ids.append(np.full(len(parts[-1]), d, np.int64))
-            _hashes.trim()
-            if parts:
-                yield to_batch({"part": np.concatenate(parts).view(np.int64), "doc_id": np.concatenate(ids)}, schema)
+                    held += len(parts[-1])
+                if held > POSTS:
+                    yield from posts()
+                    parts, ids, held = [], [], 0
+            _hashes.trim(WORDS)
+        yield from posts()
 
     return docs.mapInArrow(run, "part long, doc_id long")
 
 
-def _member_sets(docs: DataFrame, n: int) -> DataFrame:
+def _member_sets(docs: DataFrame, keep: IdFilter, n: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+    docs, chosen = _chosen(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shingle_set(t, n).tobytes() for t in binary_texts(b)]
-            _hashes.trim()
-            yield to_batch({"doc_id": ids_of(b), "items": got}, schema)
+        for b in map(chosen, batches):
+            if b.num_rows:
+                got = [shingle_set(t, n).tobytes() for t in binary_texts(b)]
+                _hashes.trim(WORDS)
+                yield to_batch({"doc_id": ids_of(b), "items": got}, schema)
 
     return docs.mapInArrow(run, "doc_id long, items binary")
 
@@ -250,10 +290,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> Data
         return rows.unionByName(ngram_jaccard_join(nameless, n, threshold))
     sets = stored.keep(_sets(docs, n))
     classes = stored.keep(sets.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n")))
-    # The filter passes few of the copies; those it passes post the same parts as their class and are dropped by the join.
-    posted = _parts(filtered(texts_with_key(docs.where("doc_id is not null")), IdFilter(classes.select("class_id"))), n, threshold)
-    star = posted.groupBy("part").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("part", "pivot")
-    edges = posted.join(star, "part").where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    # The filter passes few of the copies; those it passes have the parts of their class and end in its block, which drops them.
+    posted = _parts(docs, IdFilter(classes.select("class_id")), n, threshold)
+    pivot = F.min("doc_id").over(Window.partitionBy("part"))
+    edges = posted.select(F.col("doc_id").alias("a"), pivot.alias("b"))
     roots = components(edges, stored)
 
     tied = stored.keep(roots.join(classes, roots.id == classes.class_id).select(F.col("class_id").alias("doc_id"), "n", F.col("root").alias("block")))
@@ -262,8 +302,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> Data
     placed = tied.join(blocks.select("block", "slices"), "block").select("doc_id", "block", "slices", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("side"))
     placed = stored.keep(placed)
 
-    need = IdFilter(placed.select("doc_id"))
-    items = _member_sets(filtered(texts_with_key(docs.where("doc_id is not null")), need), n).where("octet_length(items) > 0")
+    items = _member_sets(docs, IdFilter(placed.select("doc_id")), n).where("octet_length(items) > 0")
     whole = items.join(placed, "doc_id")
     tiles = whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
         "block", F.least("k", "side").alias("i"), F.greatest("k", "side").alias("j"), "side", "doc_id", "items"
