@@ -8,7 +8,7 @@
    its own band of sizes and the next), a task's equal posts gathered first; each hash's smallest id and
    connected components make the blocks. Single prefix elements are no use for this: on the 0.1 GB check input they chain 32,051 of
    47,257 classes into one block, where equal parts, of five elements or so, leave real neighbours.
-3. Sets are fetched once for each class in a block, and the grouped prefix join runs in the block: members
+3. Each class in a block sends its text, which shuffles smaller than its set, and the grouped prefix join runs in the block: members
    with the same prefix (the smallest hashes, so that two linked sets share an element of their prefixes)
    and size collapse into a group, an index of the groups' prefixes and the bound on sizes filter the
    pairs of groups, and what is left is expanded to members and verified by exact intersection counts.
@@ -19,7 +19,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stored, WordHash, binary_texts, components, ids_of, mix, prepare, texts_with_key, to_batch
+from .common import IdFilter, Stored, WordHash, binary_texts, components, filtered, ids_of, mix, prepare, texts_with_key, to_batch
 
 #: Members and elements of a slice of a large block.
 TILE_DOCS, TILE_ITEMS = 2048, 1_000_000
@@ -103,16 +103,6 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return texts_with_key(docs).mapInArrow(run, "doc_id long, n long, fp binary")
 
 
-def _chosen(docs: DataFrame, keep: IdFilter) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
-    """Rows with a filter key as last column, and what a worker applies to each batch of them."""
-    bits = docs.sparkSession.sparkContext.broadcast(keep)
-
-    def of(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array(bits.value.has(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))))
-
-    return docs.where("doc_id is not null").select("doc_id", "text", IdFilter.key()), of
-
-
 def gather(parts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posts of some documents with each part once: the documents that share one with an earlier post are
     tied to its document by a part of their own for that pair, so a part that a third of all documents
@@ -129,7 +119,8 @@ def gather(parts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _parts(docs: DataFrame, keep: IdFilter, n: int, threshold: int) -> DataFrame:
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64())])
-    docs, chosen = _chosen(docs, keep)
+    bits = docs.sparkSession.sparkContext.broadcast(keep)
+    docs = docs.where("doc_id is not null").select("doc_id", "text", IdFilter.key())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, ids, held = [], [], 0
@@ -140,7 +131,8 @@ def _parts(docs: DataFrame, keep: IdFilter, n: int, threshold: int) -> DataFrame
                 for i in range(0, len(part), OUT_ROWS):
                     yield to_batch({"part": part[i : i + OUT_ROWS].view(np.int64), "doc_id": doc[i : i + OUT_ROWS]}, schema)
 
-        for b in map(chosen, batches):
+        for b in batches:
+            b = b.filter(pa.array(bits.value.has(b.column(2).to_numpy(zero_copy_only=False))))
             for d, t in zip(ids_of(b), binary_texts(b), strict=True):
                 s = shingle_set(t, n)
                 if len(s):
@@ -156,20 +148,6 @@ def _parts(docs: DataFrame, keep: IdFilter, n: int, threshold: int) -> DataFrame
     return docs.mapInArrow(run, "part long, doc_id long")
 
 
-def _member_sets(docs: DataFrame, keep: IdFilter, n: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
-    docs, chosen = _chosen(docs, keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in map(chosen, batches):
-            if b.num_rows:
-                got = [shingle_set(t, n).tobytes() for t in binary_texts(b)]
-                _hashes.trim(WORDS)
-                yield to_batch({"doc_id": ids_of(b), "items": got}, schema)
-
-    return docs.mapInArrow(run, "doc_id long, items binary")
-
-
 class Index:
     """Inverted index of some sets, for counting what each shares with all."""
 
@@ -237,8 +215,8 @@ def link_members(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], thre
     return ids[[find(x) for x in range(m)]] if m else ids, links
 
 
-def _verify(members: DataFrame, threshold: int) -> DataFrame:
-    """members: (block, i, j, side, doc_id, items), with the rows of a tile next to each other."""
+def _verify(members: DataFrame, n: int, threshold: int) -> DataFrame:
+    """members: (block, i, j, side, doc_id, text), with the rows of a tile next to each other."""
     schema = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,18 +226,19 @@ def _verify(members: DataFrame, threshold: int) -> DataFrame:
             if len(rows) > 1:
                 rows.sort(key=lambda r: r[1])
                 ids = np.array([r[1] for r in rows], np.int64)
-                root, links = link_members(ids, np.array([r[0] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], threshold, key[1] != key[2])
+                root, links = link_members(ids, np.array([r[0] for r in rows]), [r[2] for r in rows], threshold, key[1] != key[2])
                 at = links > 0
                 if at.any():
                     yield to_batch({"doc_id": ids[at], "root": root[at], "links": links[at]}, schema)
 
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            for block, i, j, side, doc, items in zip(*cols, strict=True):
+            cols = [b.column(i).to_pylist() for i in range(5)]
+            for block, i, j, side, doc, text in zip(*cols, binary_texts(b), strict=True):
                 if (block, i, j) != key:
                     yield from done()
                     key, rows = (block, i, j), []
-                rows.append((side, doc, items))
+                rows.append((side, doc, shingle_set(text, n)))
+            _hashes.trim(WORDS)
         yield from done()
 
     return members.mapInArrow(run, "doc_id long, root long, links long")
@@ -302,13 +281,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> Data
     placed = tied.join(blocks.select("block", "slices"), "block").select("doc_id", "block", "slices", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("side"))
     placed = stored.keep(placed)
 
-    items = _member_sets(docs, IdFilter(placed.select("doc_id")), n).where("octet_length(items) > 0")
-    whole = items.join(placed, "doc_id")
+    texts = filtered(texts_with_key(docs), IdFilter(placed.select("doc_id")))
+    whole = texts.join(placed, "doc_id")
     tiles = whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
-        "block", F.least("k", "side").alias("i"), F.greatest("k", "side").alias("j"), "side", "doc_id", "items"
+        "block", F.least("k", "side").alias("i"), F.greatest("k", "side").alias("j"), "side", "doc_id", "text"
     )
     tiles = tiles.repartition(F.col("block"), F.col("i"), F.col("j")).sortWithinPartitions("block", "i", "j")
-    found = stored.keep(_verify(tiles, threshold))
+    found = stored.keep(_verify(tiles, n, threshold))
 
     counted = found.groupBy("doc_id").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
     if (blocks.agg(F.max("slices")).first()[0] or 0) > 1:
