@@ -21,8 +21,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
+    """Documents that the quality rules keep.
+
+    The verdicts are written before the filter reads them: with the filter in the same plan Spark repeats the
+    rules' expressions in it, and the job then waited for ever on three executors.
+    """
+    judged = Stored(spark).keep(quality_rules(docs, table(spark, sf_dir, "labels")).select(*COLUMNS, "kept"))
+    return judged.where("kept").select(*COLUMNS)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
