@@ -99,7 +99,6 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             got = [shingle_set(t, n) for t in binary_texts(b)]
             _hashes.trim(WORDS)
             yield to_batch({"doc_id": ids_of(b), "n": [len(s) for s in got], "fp": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in got]}, schema)
-        _hashes.clear()  # the worker lives on, for other stages
 
     return texts_with_key(docs).mapInArrow(run, "doc_id long, n long, fp binary")
 
@@ -145,7 +144,6 @@ def _parts(docs: DataFrame, keep: IdFilter, n: int, threshold: int) -> DataFrame
                     parts, ids, held = [], [], 0
             _hashes.trim(WORDS)
         yield from posts()
-        _hashes.clear()
 
     return docs.mapInArrow(run, "part long, doc_id long")
 
@@ -242,7 +240,6 @@ def _verify(members: DataFrame, n: int, threshold: int) -> DataFrame:
                 rows.append((side, doc, shingle_set(text, n)))
             _hashes.trim(WORDS)
         yield from done()
-        _hashes.clear()
 
     return members.mapInArrow(run, "doc_id long, root long, links long")
 
