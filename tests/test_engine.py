@@ -10,6 +10,8 @@ from tierwise.operators import governance as G
 from tierwise.operators import metrics as M
 from tierwise.operators import relational as R
 from tierwise.operators import routing as T
+from tierwise.operators import rollups as P
+from tierwise.operators import smoothing as S
 from tierwise.operators.fit import fit_logistic
 from tierwise.sources import files, ingest
 
@@ -125,3 +127,24 @@ def test_normalisers(spark):
 def test_logistic_separates(spark):
     d = spark.createDataFrame([(i / 10, int(i > 5)) for i in range(12)], "x double, y int")
     assert fit_logistic(d, ["x"], "y")["weights"][0] > 0
+
+
+def test_smoothing_of_few_rows_and_nearest(spark):
+    d = spark.createDataFrame([("a", 1, 0.0, 1.0), ("a", 2, 1.0, 0.0), ("b", 3, 0.0, 1.0), ("b", 4, 1.0, 0.0), ("b", 5, 9.0, 0.0), ("b", 6, None, 1.0)], "g string, i int, x double, y double")
+    got = {(r["g"], r["x"]): r["value"] for r in S.kernel_smooth(d, ["g"], "x", "y").collect()}
+    assert got["a", 0.0] == 1.0 and got["a", 1.0] == 0.0 and 0.0 < got["b", 9.0] < 0.5 and ("b", None) not in got
+    near = {r["i"]: r["m"] for r in S.nearest_mean(d.where("x is not null"), ["g"], "x", "i", {"m": "y"}, k=2).collect()}
+    assert near == {1: 0.5, 2: 0.5, 3: 0.5, 4: 0.5, 5: 0.0}
+
+
+def test_policy_leaves_out_runs_without_task(spark):
+    d = spark.createDataFrame([("m", 0.5, 0.6, None), (" ", 1.0, 0.0, 1.0), (None, 1.0, 0.0, 1.0)], "t string, fail double, f1 double, ece double")
+    assert rows(P.recommend_tiers(d, "t", "fail", "f1", "ece", {"m": (2.5, 3.3)}), "task") == [("m", 2.03, 2.83, 0.5, 0.6, 0.0, 0.47)]
+    runs = spark.createDataFrame([("m", 0.1, None), ("n", None, None)], "task string, tau_cap double, tau_risk double")
+    s3 = spark.createDataFrame([("m", 3.0), ("n", 2.0), ("o", 3.0)], "task string, s3 double")
+    assert rows(P.recommend_scores(runs, s3), "task") == [("m", 4, 4), ("n", 2, 2), ("o", 4, 4)]
+
+
+def test_sanitised_features(spark):
+    d = spark.createDataFrame([(1.0, 2.0, 1.0, None), (2.0, 4.0, 1.0, 1.0), (3.0, 6.0, 1.0, 2.0)], "a double, b double, c double, d double")
+    assert P.sanitise_features(d, ["a", "b", "c", "d"]) == {"keep": ["a"], "null": ["d"], "low_variance": ["c"], "high_correlation": ["b"]}

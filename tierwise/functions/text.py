@@ -19,6 +19,10 @@ CONFLICTS = r"\b(but|however|except|unless|instead|only if|otherwise)\b"
 PRECISION_CUES = ("exact", "exactly", "decimal", "nearest", "round", "significant figure", "precision", "simplify", "fraction", "integer")
 FORMAT_CUES = ("json", "yaml", "xml", "markdown", "csv", "table", "bullet", "schema", "exact format", "output format", "valid json")
 DOMINANT = {"classification": "H", "text_generation": "n_in", "summarization": "n_in", "instruction_following": "|Gamma|", "code_generation": "R_hat", "maths": "R_hat", "retrieval_grounded": "n_in", "information_extraction": "|Gamma|"}
+REASONING_CUES = ("because", "therefore", "hence", "if", "then", "after", "before", "compare", "prove", "derive", "compute", "calculate", "reason", "first", "second", "third", "multi-step", "step by step")
+KNOWLEDGE_CUES = ("who", "when", "where", "which country", "capital", "president", "prime minister", "year", "date", "historical", "according to", "latest", "current", "fact", "evidence")
+CLAUSES = r"[;,:]|\band\b|\bor\b|\bwhile\b|\bwhich\b|\bthat\b"
+BREAKS = ("that", "which", "while", "because", "although", "if", "when")
 CLASSIFICATION = ("classification",)
 MATHS = ("maths",)
 
@@ -140,3 +144,36 @@ def model_family(name: Column) -> Column:
 def dominant_dimension(task: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in DOMINANT.items() for x in kv])
     return F.coalesce(F.try_element_at(table, task), F.lit("n_in"))
+
+
+def reasoning_proxy(text: Column, default: float = 0.0) -> Column:
+    """Estimated reasoning steps from cues and clauses; the default where there are none."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    steps = 0.6 * cue_count(low, REASONING_CUES) + 0.25 * F.regexp_count(low, F.lit(CLAUSES))
+    return F.when(steps > 0, steps.cast("double")).otherwise(F.lit(float(default)))
+
+
+def knowledge_dependence(text: Column) -> Column:
+    """Share from 0 to 1: cues, capitalised words inside sentences, and years."""
+    words = tokens(F.coalesce(text, F.lit("")))
+    before = F.concat(F.array(F.lit(".")), words)  # each word's predecessor; one more than there are words
+    inside = F.zip_with(words, before, lambda w, p: w.rlike("^[A-Z][a-z]") & ~p.rlike("[.!?]$"))
+    names = F.size(F.filter(inside, lambda x: x))
+    years = F.coalesce(F.regexp_count(text, F.lit(r"\b(19|20)\d{2}\b")), F.lit(0))
+    raw = cue_count(F.coalesce(text, F.lit("")), KNOWLEDGE_CUES) + F.least(F.lit(2.0), names / 3.0) + F.least(F.lit(1.5), years / 2.0)
+    return F.least(F.lit(1.0), raw / 6.0)
+
+
+def clause_distance(text: Column) -> Column:
+    """Proxy of the mean dependency distance: the longer side of each clause word, else an eighth of the words (1 at least)."""
+    words = tokens(F.coalesce(text, F.lit("")))
+    trimmed = lambda w: F.regexp_replace(F.lower(w), r"^[,;:.]+|[,;:.]+$", "")
+
+    def distance(bound: Column) -> Column:
+        n = bound["n"]
+        at = F.filter(F.transform(bound["w"], lambda w, i: F.when(trimmed(w).isin(*BREAKS), F.greatest(i, n - i - 1))), lambda x: x.isNotNull())
+        spans = F.aggregate(at, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c")), lambda o, x: F.struct((o["s"] + x).alias("s"), (o["c"] + 1).alias("c")), lambda o: F.when(o["c"] > 0, F.try_divide(o["s"], o["c"])))
+        return F.when(n < 2, F.lit(0.0)).otherwise(F.coalesce(spans, F.greatest(F.lit(1.0), n / 8.0)))
+
+    # Bound once by the outer transform: an expression named inside a lambda would be computed again for every word.
+    return F.element_at(F.transform(F.array(F.struct(words.alias("w"), F.size(words).alias("n"))), distance), 1)

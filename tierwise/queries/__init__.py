@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, governed, tables, texts
+from . import analytics, governed, smoothed, tables, texts
 
-_MODULES = (tables, texts, analytics, governed)
+_MODULES = (tables, texts, analytics, governed, smoothed)
 
 
 def queries():
