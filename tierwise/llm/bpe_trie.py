@@ -21,7 +21,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_LIMIT, ids_of, prepare, texts_with_key, to_batch
+from .common import CACHE_LIMIT, give_back, ids_of, prepare, texts_with_key, to_batch
+
+#: Units and words after which a worker starts new memories; the ones before stay for one more turn.
+KEPT = 1 << 18
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -145,6 +148,9 @@ class WordCodec:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words: dict[str, tuple[str, str]] = {}
         self.units: dict[str, tuple[str, str]] = {}
+        #: What was remembered before the last turn; entries in use come back from here.
+        self.old_words: dict[str, tuple[str, str]] = {}
+        self.old_units: dict[str, tuple[str, str]] = {}
 
     def pretokens(self, unit: str) -> list[str]:
         """Words of a unit in the library's byte alphabet."""
@@ -152,24 +158,32 @@ class WordCodec:
             return _ASCII.findall(unit.lower())
         return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(unit))]
 
-    def fill(self, units: set[str]) -> None:
-        if len(self.units) > CACHE_LIMIT:
-            self.units.clear()
-        if len(self.words) > CACHE_LIMIT:
-            self.words.clear()
+    def fill(self, units: set[str], kept: int = KEPT) -> None:
+        if len(self.units) > kept:
+            self.old_units, self.units = self.units, {}
+        if len(self.words) > kept:
+            self.old_words, self.words = self.words, {}
         new: dict[str, list[str]] = {}
         for u in units - self.units.keys():
-            if "<|" in u and self.cut.search(u):
+            if (known := self.old_units.get(u)) is not None:
+                self.units[u] = known
+            elif "<|" in u and self.cut.search(u):
                 new[u] = [w for i, x in enumerate(self.cut.split(u)) for w in ([x] if i % 2 else self.pretokens(x) if x else [])]
             else:
                 new[u] = self.pretokens(u) if u else []
         vocab = self.trie.vocab
         missing = {w for ws in new.values() for w in ws if w not in self.words and w not in self.special}
+        for w in [w for w in missing if w in self.old_words]:
+            self.words[w] = self.old_words[w]
+            missing.discard(w)
         for w, tokens in self.trie.encode(list(missing)).items():
             self.words[w] = " ".join(str(vocab[t]) for t in tokens), " ".join(tokens)
         for w, i in self.special.items():
             self.words[w] = str(i), w
         for u, ws in new.items():
+            if len(ws) == 1:  # most units: the pair is held once
+                self.units[u] = self.words[ws[0]]
+                continue
             got = [x for w in ws if (x := self.words[w])[0]]
             self.units[u] = " ".join(x[0] for x in got), " ".join(x[1] for x in got)
 
@@ -188,18 +202,19 @@ def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-def bpe_encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
+def bpe_encode_decode(docs: DataFrame, vocabulary: str, kept: int = KEPT) -> DataFrame:
     """Encodes whole texts with a word-end BPE vocabulary file (tokenizers JSON) and decodes the ids.
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, n_tokens, ids (decimals joined by one
     space), decoded (as the library's decode without dropping special tokens), ids_sha256,
-    decoded_sha256; one row per input row.
+    decoded_sha256; one row per input row. kept: units and words a worker remembers; fewer take less memory and
+    more time where other operators ran in the same workers, and the result is the same.
 
     Null or empty text: no tokens, empty strings. Null ids and repeated rows are kept. Empty table: empty result.
     """
     prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return texts_with_key(docs).mapInArrow(_encoder(vocabulary, schema), "doc_id long, n_tokens long, ids string, decoded string, ids_sha256 string, decoded_sha256 string")
+    return texts_with_key(docs).mapInArrow(_encoder(vocabulary, schema, kept), "doc_id long, n_tokens long, ids string, decoded string, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -209,8 +224,9 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     return texts_with_key(docs).mapInArrow(_encoder(vocabulary, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _encoder(vocabulary: str, schema: pa.Schema):
+def _encoder(vocabulary: str, schema: pa.Schema, kept: int = KEPT):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         gc.disable()  # the remembered strings hold no cycles; scanning them again and again costs more than the work
         c = codec(vocabulary)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -219,7 +235,7 @@ def _encoder(vocabulary: str, schema: pa.Schema):
             out = {k: [] for k in schema.names}
             out["doc_id"] = ids_of(b)
             cut = [units_of(t) for t in texts]
-            c.fill(set().union(*cut))
+            c.fill(set().union(*cut), kept)
             for units in cut:
                 ids, decoded = c.encode(units)
                 row = {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": ids, "decoded": decoded, "ids_sha256": digest(ids), "decoded_sha256": digest(decoded)}

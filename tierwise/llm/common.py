@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +62,32 @@ class Stored:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory of a reused Python worker to the system, so that operators run one after another do not add up."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
+def releasing(run, *memories: dict):
+    """An Arrow function that forgets its memories at the end of a task and gives their pages back.
+
+    Spark keeps more Python workers than run at once and deals tasks to them in turn, so that what an idle worker
+    holds counts against the executor too.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for m in memories:
+                m.clear()
+            give_back()
+
+    return wrapped
+
+
 class WordHash(dict):
     """64-bit hash of a word, remembered; bounded by trim()."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, binary_texts, ids_of, prepare, texts_with_key, to_batch
+from .common import Stored, binary_texts, ids_of, prepare, releasing, texts_with_key, to_batch
 
 #: Benchmark words that one search block sends to the tasks; at most 50 MB or so.
 BLOCK_WORDS = 400_000
@@ -141,7 +141,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
         if ids:
             yield shard()
 
-    return texts_with_key(docs).mapInArrow(run, _INDEX)
+    return texts_with_key(docs).mapInArrow(releasing(run), _INDEX)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Shard]]:
@@ -178,7 +178,7 @@ def search_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
                 spans[d] = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
             yield to_batch({"doc_id": ids, "n_words": np.diff(shard.starts), "items": [sorted(items.get(d, ())) for d in range(len(ids))], "spans": spans}, schema)
 
-    return index.mapInArrow(run, "doc_id long, n_words long, items array<long>, spans array<struct<start:int,end:int>>")
+    return index.mapInArrow(releasing(run), "doc_id long, n_words long, items array<long>, spans array<struct<start:int,end:int>>")
 
 
 def search_near(index: DataFrame, phrases: Phrases, rarest: int = 4, span: int = 30) -> DataFrame:
@@ -203,7 +203,7 @@ def search_near(index: DataFrame, phrases: Phrases, rarest: int = 4, span: int =
             if docs:
                 yield to_batch({"doc_id": docs, "item_id": items}, schema)
 
-    return index.mapInArrow(run, "doc_id long, item_id long").distinct()
+    return index.mapInArrow(releasing(run), "doc_id long, item_id long").distinct()
 
 
 def phrase_blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stored, WordHash, binary_texts, components, filtered, ids_of, mix, prepare, texts_with_key, to_batch
+from .common import IdFilter, Stored, WordHash, binary_texts, components, filtered, ids_of, mix, prepare, releasing, texts_with_key, to_batch
 
 #: Members and elements of a slice of a large block.
 TILE_DOCS, TILE_ITEMS = 2048, 1_000_000
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             _hashes.trim(WORDS)
             yield to_batch({"doc_id": ids_of(b), "n": [len(s) for s in got], "fp": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in got]}, schema)
 
-    return texts_with_key(docs).mapInArrow(run, "doc_id long, n long, fp binary")
+    return texts_with_key(docs).mapInArrow(releasing(run, _hashes), "doc_id long, n long, fp binary")
 
 
 def gather(parts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def _parts(docs: DataFrame, keep: IdFilter, n: int, threshold: int) -> DataFrame
             _hashes.trim(WORDS)
         yield from posts()
 
-    return docs.mapInArrow(run, "part long, doc_id long")
+    return docs.mapInArrow(releasing(run, _hashes), "part long, doc_id long")
 
 
 class Index:
@@ -241,7 +241,7 @@ def _verify(members: DataFrame, n: int, threshold: int) -> DataFrame:
             _hashes.trim(WORDS)
         yield from done()
 
-    return members.mapInArrow(run, "doc_id long, root long, links long")
+    return members.mapInArrow(releasing(run, _hashes), "doc_id long, root long, links long")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:

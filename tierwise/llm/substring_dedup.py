@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stored, WordHash, binary_texts, filtered, ids_of, prepare, texts_with_key, to_batch
+from .common import IdFilter, Stored, WordHash, binary_texts, filtered, ids_of, prepare, releasing, texts_with_key, to_batch
 
 #: Perfect difference covers: (period, positions). Fixed values.
 COVERS = ((31, (1, 5, 11, 24, 25, 27)), (21, (3, 6, 7, 12, 14)), (13, (0, 1, 3, 9)), (7, (1, 2, 4)), (3, (0, 1)), (1, (0,)))
@@ -78,7 +78,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             if hs:
                 yield to_batch({"h": np.concatenate(hs).view(np.int64), "doc_id": np.concatenate(ds), "pos": np.concatenate(ps)}, schema)
 
-    return texts_with_key(docs).mapInArrow(run, "h long, doc_id long, pos int")
+    return texts_with_key(docs).mapInArrow(releasing(run, _hashes), "h long, doc_id long, pos int")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             if out["h"]:
                 yield to_batch({k: np.concatenate(v) for k, v in out.items()}, schema)
 
-    return docs.mapInArrow(run, "h long, g int, doc_id long, row int, pos int")
+    return docs.mapInArrow(releasing(run, _hashes), "h long, g int, doc_id long, row int, pos int")
 
 
 def _row(text: bytes) -> int:
@@ -158,7 +158,7 @@ def _cut(docs: DataFrame, window: int, passthrough: list[str]) -> DataFrame:
             arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", *passthrough, "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return docs.select("doc_id", "text", *passthrough, "starts").mapInArrow(run, ddl)
+    return docs.select("doc_id", "text", *passthrough, "starts").mapInArrow(releasing(run, _hashes), ddl)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, passthrough: list[str] | None = None) -> DataFrame:
