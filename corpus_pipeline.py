@@ -52,8 +52,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents that are left."""
-    return bpe_encode_decode(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids", "ids_sha256")
+    """Token ids of the documents that are left. Workers of the stages before are reused, so few words are remembered."""
+    return bpe_encode_decode(docs, vocabulary("word_bpe_49k.json"), kept=1 << 15).select("doc_id", "n_tokens", "ids", "ids_sha256")
 
 
 STAGES = [
