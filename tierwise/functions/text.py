@@ -55,8 +55,8 @@ def cue_count(text: Column, cues: tuple[str, ...]) -> Column:
 
 
 def pattern_count(text: Column, pattern: str) -> Column:
-    """Matches, whatever their case."""
-    return F.regexp_count(text, F.lit(f"(?i){pattern}"))
+    """Matches, whatever their case; word ends, digits and case are those of Unicode on every Java version."""
+    return F.regexp_count(text, F.lit(f"(?iU){pattern}"))
 
 
 def classification_features(text: Column) -> dict[str, Column]:
@@ -149,7 +149,7 @@ def dominant_dimension(task: Column) -> Column:
 def reasoning_proxy(text: Column, default: float = 0.0) -> Column:
     """Estimated reasoning steps from cues and clauses; the default where there are none."""
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    steps = 0.6 * cue_count(low, REASONING_CUES) + 0.25 * F.regexp_count(low, F.lit(CLAUSES))
+    steps = 0.6 * cue_count(low, REASONING_CUES) + 0.25 * F.regexp_count(low, F.lit(f"(?U){CLAUSES}"))
     return F.when(steps > 0, steps.cast("double")).otherwise(F.lit(float(default)))
 
 
@@ -159,7 +159,7 @@ def knowledge_dependence(text: Column) -> Column:
     before = F.concat(F.array(F.lit(".")), words)  # each word's predecessor; one more than there are words
     inside = F.zip_with(words, before, lambda w, p: w.rlike("^[A-Z][a-z]") & ~p.rlike("[.!?]$"))
     names = F.size(F.filter(inside, lambda x: x))
-    years = F.coalesce(F.regexp_count(text, F.lit(r"\b(19|20)\d{2}\b")), F.lit(0))
+    years = F.coalesce(F.regexp_count(text, F.lit(r"(?U)\b(19|20)\d{2}\b")), F.lit(0))
     raw = cue_count(F.coalesce(text, F.lit("")), KNOWLEDGE_CUES) + F.least(F.lit(2.0), names / 3.0) + F.least(F.lit(1.5), years / 2.0)
     return F.least(F.lit(1.0), raw / 6.0)
 

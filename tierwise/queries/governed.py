@@ -14,7 +14,7 @@ WEIGHTS = {"TC": 3, "OS": 2, "SK": 5, "DS": 4, "LT": 2, "VL": 1}
 
 
 def scores(s, d):
-    x, k = t(s, d, "documents").where("lang = 'en'"), F.col("doc_id")
+    x, k = t(s, d, "documents"), F.col("doc_id")
     task = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), (k % 8 + 1).cast("int"))
     level = F.element_at(F.array(*[F.lit(v) for v in ("public", "internal", "confidential", "restricted")]), (k % 4 + 1).cast("int"))
     text, yes = F.col("text"), lambda n: k % n == 0

@@ -16,7 +16,7 @@ _BASE = {"purchase": (2.4, 3.2), "view": (2.5, 3.3)}
 
 def proxies(s, d):
     x = F.col("text")
-    return t(s, d, "documents").where("lang = 'en'").select("doc_id", *[F.round(c, 6).alias(a) for a, c in (("reasoning", X.reasoning_proxy(x)), ("knowledge", X.knowledge_dependence(x)), ("distance", X.clause_distance(x)))])
+    return t(s, d, "documents").select("doc_id", *[F.round(c, 6).alias(a) for a, c in (("reasoning", X.reasoning_proxy(x)), ("knowledge", X.knowledge_dependence(x)), ("distance", X.clause_distance(x)))])
 
 
 def runs(s, d):

@@ -23,7 +23,7 @@ def token_features(s, d):
 
 
 def block(features):
-    return lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", *[F.round(v, 6).alias(k) for k, v in features(_text()).items()])
+    return lambda s, d: t(s, d, "documents").select("doc_id", *[F.round(v, 6).alias(k) for k, v in features(_text()).items()])
 
 
 def _n(pattern, text="text"):
@@ -74,7 +74,7 @@ QUERIES = {
         f"SELECT doc_id, {_clamp(f'({_cues(X.FORMAT_CUES)}) / 4.0::DOUBLE')} AS instruction_format_strictness, {_clamp(f'{_n(X.PROHIBITIONS)} / 3.0::DOUBLE')} AS instruction_prohibition_count, {_clamp(f'{_n(X.STEPS)} / greatest(2.0::DOUBLE, {_ALNUM} / 12.0::DOUBLE)')} AS instruction_step_count, {_clamp(f'{_n(X.CONFLICTS)} / 3.0::DOUBLE')} AS instruction_conflict_cues FROM documents WHERE lang = 'en'",
     ),
     "readability": (
-        lambda s, d: t(s, d, "documents").where("lang = 'en'").select("doc_id", *[F.round(v, 5).alias(k) for k, v in X.readability(_text()).items()]),
+        lambda s, d: t(s, d, "documents").select("doc_id", *[F.round(v, 5).alias(k) for k, v in X.readability(_text()).items()]),
         f"WITH r AS (SELECT doc_id, greatest(1, len({_WORDS.format('text')}))::DOUBLE AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+')))::DOUBLE AS s, len(regexp_extract_all(lower(text), '[aeiou]')) AS y, len(list_filter({_WORDS.format('text')}, lambda x: length(x) > 6)) AS l FROM documents WHERE lang = 'en') SELECT doc_id, round(greatest(0.0::DOUBLE, 0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE), 5) AS flesch_kincaid, round(greatest(0.0::DOUBLE, 0.4::DOUBLE * (w / s + 100.0::DOUBLE * l / w)), 5) AS fog FROM r",
     ),
     "stable_splits": (splits, "SELECT doc_id, u, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(sha256('42:' || doc_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM documents)"),
