@@ -99,3 +99,12 @@ def test_governance_of_all_languages(spark, tables):
         sk = 1 + min(2.0, cues(x, governed.STAKES) / 2) + 0.4 * (task in ("maths", "code_generation")) + 1.2 * (i % 3 == 0) + 0.6 * (i % 5 == 0)
         ds = (1.0, 2.0, 3.2, 4.2)[i % 4] + min(1.0, cues(x, governed.SENSITIVE) / 2) + 0.8 * (i % 7 == 0) + 1.0 * (i % 11 == 0)
         assert (got[i]["TC"], got[i]["OS"], got[i]["SK"], got[i]["DS"]) == (five(tc + prior), five(os), five(sk), five(ds)), i
+
+
+def test_ewm_of_all_users(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest with more than 20 users
+    want, state = {}, {}
+    for user, _, event, v in sorted(tuple(r) for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", "value").collect()):
+        want[event] = state[user] = v if user not in state else 0.3 * v + 0.7 * state[user]
+    assert len(state) > 20
+    assert dict(tuple(r) for r in queries()["ewm_mean"](spark, sf).collect()) == pytest.approx(want, abs=1e-6)

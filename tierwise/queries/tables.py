@@ -44,7 +44,7 @@ def centred(s, d):
 
 
 def ewm(s, d):
-    e = t(s, d, "events").where("user_id <= 20").select("event_id", "user_id", "ts", "value")
+    e = t(s, d, "events").select("event_id", "user_id", "ts", "value")
     return R.ewm_mean(e, ["user_id"], ["ts", "event_id"], "value", 0.3).select("event_id", F.round("ewm", 6).alias("ewm"))
 
 
