@@ -108,3 +108,16 @@ def test_ewm_of_all_users(spark):
         want[event] = state[user] = v if user not in state else 0.3 * v + 0.7 * state[user]
     assert len(state) > 20
     assert dict(tuple(r) for r in queries()["ewm_mean"](spark, sf).collect()) == pytest.approx(want, abs=1e-6)
+
+
+def test_holm_of_all_events(spark):
+    families = {}
+    for event, kind in (tuple(r) for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type").collect()):
+        families.setdefault(kind, []).append((event * 37 % 1000 / 20000, event))
+    want = {}
+    for family in families.values():
+        high = 0.0
+        for rank, (p, event) in enumerate(sorted(family)):
+            want[event] = high = max(high, min(1.0, p * (len(family) - rank)))
+    assert len(want) > 400
+    assert dict(tuple(r) for r in queries()["holm_correction"](spark, SF).collect()) == pytest.approx(want, abs=1e-9)

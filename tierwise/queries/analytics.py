@@ -59,7 +59,7 @@ QUERIES = {
     "mean_ci95": (lambda s, d: rounded(M.mean_ci95(scored(s, d), ["model"], "p"), "mean", "ci95"), f"WITH {_SCORED} SELECT model, round(avg(p), 6) AS mean, round(1.96::DOUBLE * stddev_samp(p) / sqrt(count(p)), 6) AS ci95, count(p) AS n FROM e GROUP BY 1"),
     "mcnemar_chi2": (lambda s, d: rounded(M.mcnemar(scored(s, d), ["model"], F.col("ok"), F.col("p") < 0.4), "chi2", n=4).drop("p_value"), f"WITH {_SCORED}, c AS (SELECT model, count(*) FILTER (ok AND p >= 0.4) AS b, count(*) FILTER (NOT ok AND p < 0.4) AS c FROM e GROUP BY 1) SELECT model, b, c, round(coalesce(power(abs(b - c) - 1.0::DOUBLE, 2) / nullif(b + c, 0), 0), 4) AS chi2 FROM c"),
     "mcnemar_p": (lambda s, d: M.mcnemar(scored(s, d), ["model"], F.col("ok"), F.col("p") < 0.4).select("model", "p_value"), None),
-    "holm_correction": (lambda s, d: rounded(M.holm(t(s, d, "events").where("event_id < 400").select("event_id", "event_type", (F.pmod(F.col("event_id") * 37, F.lit(1000)) / 20000).alias("pv")), ["event_type"], "pv", ["event_id"]).select("event_id", "p_holm"), "p_holm", n=9), "WITH p AS (SELECT event_id, event_type, (event_id * 37 % 1000) / 20000.0::DOUBLE AS pv FROM events WHERE event_id < 400), r AS (SELECT *, pv * (count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY pv, event_id) + 1) AS raw FROM p) SELECT event_id, round(least(1.0, max(raw) OVER (PARTITION BY event_type ORDER BY pv, event_id ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM r"),
+    "holm_correction": (lambda s, d: rounded(M.holm(t(s, d, "events").select("event_id", "event_type", (F.pmod(F.col("event_id") * 37, F.lit(1000)) / 20000).alias("pv")), ["event_type"], "pv", ["event_id"]).select("event_id", "p_holm"), "p_holm", n=9), "WITH p AS (SELECT event_id, event_type, (event_id * 37 % 1000) / 20000.0::DOUBLE AS pv FROM events WHERE event_id < 400), r AS (SELECT *, pv * (count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY pv, event_id) + 1) AS raw FROM p) SELECT event_id, round(least(1.0, max(raw) OVER (PARTITION BY event_type ORDER BY pv, event_id ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM r"),
     "guarded_correlation": (lambda s, d: rounded(M.guarded_correlation(scored(s, d), ["model"], "d", "risk"), "r"), f"WITH {_SCORED} SELECT model, round(corr(d, risk), 6) AS r FROM e GROUP BY 1"),
     "common_splits": (lambda s, d: build_splits(t(s, d, "events").select(F.lit("t").alias("task"), F.col("event_type").alias("model"), F.col("user_id").alias("sample")), "task", "model", "sample", "42"), "WITH n AS (SELECT user_id AS sample FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events) ORDER BY 1 LIMIT 250), u AS (SELECT sample, ('0x' || substr(sha256('42:t:' || sample), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM n) SELECT 't' AS task, sample, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'val' ELSE 'test' END AS split FROM u"),
 }
