@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, binary_texts, ids_of, prepare, releasing, texts_with_key, to_batch
@@ -113,51 +114,52 @@ class Shard:
         return np.unique(np.concatenate(found))
 
 
-_INDEX = "doc_ids array<long>, starts binary, terms binary, ends binary, positions binary"
+_INDEX = "doc_ids array<long>, digests array<binary>, starts binary, terms binary, ends binary, positions binary"
 
 
 def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     """Shards of the positional index of ``terms`` (word to number), a row each."""
     prepare(docs.sparkSession)
     numbers = docs.sparkSession.sparkContext.broadcast(terms)
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("starts", "terms", "ends", "positions")]])
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), *[(k, pa.binary()) for k in ("starts", "terms", "ends", "positions")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = numbers.value.get
-        ids, texts, size = [], [], 0
+        ids, digests, texts, size = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
             s = Shard.build(texts)
-            return to_batch({"doc_ids": [ids], "starts": [s.starts.tobytes()], "terms": [s.terms.tobytes()], "ends": [s.ends.tobytes()], "positions": [s.positions.tobytes()]}, schema)
+            return to_batch({"doc_ids": [ids], "digests": [digests], "starts": [s.starts.tobytes()], "terms": [s.terms.tobytes()], "ends": [s.ends.tobytes()], "positions": [s.positions.tobytes()]}, schema)
 
         for b in batches:
             for d, t in zip(ids_of(b), binary_texts(b), strict=True):
                 ids.append(d)
+                digests.append(hashlib.blake2b(t, digest_size=16).digest())
                 texts.append([number(w, -1) for w in words_of(t)])
                 size += len(t)
                 if size >= SHARD_BYTES:
                     yield shard()
-                    ids, texts, size = [], [], 0
+                    ids, digests, texts, size = [], [], [], 0
         if ids:
             yield shard()
 
     return texts_with_key(docs).mapInArrow(releasing(run), _INDEX)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Shard]]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, Shard]]:
     for b in batches:
-        for ids, starts, terms, ends, positions in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
-            yield ids, Shard(np.frombuffer(starts, np.int64), np.frombuffer(terms, np.int32), np.frombuffer(ends, np.int64), np.frombuffer(positions, np.int32))
+        for ids, digests, starts, terms, ends, positions in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+            yield ids, digests, Shard(np.frombuffer(starts, np.int64), np.frombuffer(terms, np.int32), np.frombuffer(ends, np.int64), np.frombuffer(positions, np.int32))
 
 
 def search_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """A row per indexed document: doc_id, n_words, items (with an occurring window) and spans of words hit."""
+    """A row per indexed document: doc_id, digest (of its text), n_words, items (with an occurring window) and spans of words hit."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for ids, shard in _shards(batches):
+        for ids, digests, shard in _shards(batches):
             there = np.zeros(len(p.terms) + 1, bool)
             there[shard.terms] = True
             items: dict[int, set[int]] = {}
@@ -176,9 +178,9 @@ def search_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
                 a, z = shard.starts[d], shard.starts[d + 1]
                 edge = np.flatnonzero(np.diff(np.r_[False, covered[a:z], False].astype(np.int8)))
                 spans[d] = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
-            yield to_batch({"doc_id": ids, "n_words": np.diff(shard.starts), "items": [sorted(items.get(d, ())) for d in range(len(ids))], "spans": spans}, schema)
+            yield to_batch({"doc_id": ids, "digest": digests, "n_words": np.diff(shard.starts), "items": [sorted(items.get(d, ())) for d in range(len(ids))], "spans": spans}, schema)
 
-    return index.mapInArrow(releasing(run), "doc_id long, n_words long, items array<long>, spans array<struct<start:int,end:int>>")
+    return index.mapInArrow(releasing(run), "doc_id long, digest binary, n_words long, items array<long>, spans array<struct<start:int,end:int>>")
 
 
 def search_near(index: DataFrame, phrases: Phrases, rarest: int = 4, span: int = 30) -> DataFrame:
@@ -191,7 +193,7 @@ def search_near(index: DataFrame, phrases: Phrases, rarest: int = 4, span: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for ids, shard in _shards(batches):
+        for ids, _, shard in _shards(batches):
             docs, items = [], []
             for item, seq in p.sequences:
                 terms = sorted(set(seq), key=lambda t: (len(shard.postings(t)), t))
@@ -219,6 +221,28 @@ def phrase_blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
     yield Phrases(block, window)
 
 
+def united_spans(spans: Column) -> Column:
+    """Spans of words in order, those that overlap or touch made one."""
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end"] >= s["start"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def merged(found: list[DataFrame]) -> DataFrame:
+    """Hits of all blocks, one row per input row.
+
+    Rows equal in id and text have equal hits in every block, so they are counted, merged as one and repeated.
+    """
+    parts = [f.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.first("items").alias("items"), F.first("spans").alias("spans"), F.count("*").alias("times")) for f in found]
+    every = reduce(DataFrame.unionByName, parts)
+    one = every.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.first("times").alias("times"))
+    return one.withColumn("spans", united_spans(F.col("spans"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """Words of documents that stand in an occurrence of a benchmark window.
 
@@ -228,8 +252,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     input row.
 
     Null and wordless texts: no words, no hits. Null doc_id: judged all the same. Null item_id or item
-    text: no item. Repeated items: their windows count once, for each of their ids. Repeated rows: each is judged; where a
-    benchmark takes several blocks, rows that share an id share the union of their hits. Empty tables: no hits, or an empty result.
+    text: no item. Repeated items: their windows count once, for each of their ids. Repeated ids and rows: each row is judged by
+    its own text, however many blocks the benchmark takes. Empty tables: no hits, or an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -237,14 +261,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     for phrases in phrase_blocks(benchmark, window):
         index = stored.keep(build_index(docs, phrases.terms))
         found.append(search_phrases(index, phrases))
-    result = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            result = result.unionByName(more)
-        result = result.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
-    if len(found) == 1:
-        covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    result = found[0] if len(found) == 1 else merged(found)
+    covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     hit = result.withColumn("n_hit", F.coalesce(covered, F.lit(0)).cast("long"))
     return hit.select(
