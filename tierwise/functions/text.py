@@ -23,6 +23,11 @@ REASONING_CUES = ("because", "therefore", "hence", "if", "then", "after", "befor
 KNOWLEDGE_CUES = ("who", "when", "where", "which country", "capital", "president", "prime minister", "year", "date", "historical", "according to", "latest", "current", "fact", "evidence")
 CLAUSES = r"[;,:]|\band\b|\bor\b|\bwhile\b|\bwhich\b|\bthat\b"
 BREAKS = ("that", "which", "while", "because", "although", "if", "when")
+CONSTRAINT_PATTERNS = (
+    r"\bmust\b", r"\bshould\b", r"\brequired\b", r"\bexactly\b", r"\bat least\b", r"\bat most\b", r"\bno more than\b", r"\bno less than\b", r"\binclude\b",
+    r"\bdo not\b|\bdon't\b|\bwithout\b", r"\bonly\b", r"\bformat\b|\bjson\b|\bxml\b|\bmarkdown\b|\bcsv\b", r"\bbullet\b|\btable\b|\blist\b",
+    r"\bword(s)?\b|\bcharacter(s)?\b|\blength\b", r"\bcite\b|\bsource\b",
+)
 CLASSIFICATION = ("classification",)
 MATHS = ("maths",)
 
@@ -94,8 +99,15 @@ def gated(task: Column, tasks: tuple[str, ...], features: dict[str, Column]) ->
     return {k: F.when(task.isin(*tasks), v).otherwise(F.lit(0.0)) for k, v in features.items()}
 
 
-def constraint_count(*lists: Column) -> Column:
-    return total([F.size(F.coalesce(c, F.array().cast("array<string>"))) for c in lists])
+def stated_constraints(text: Column) -> Column:
+    """Occurrences of the 15 constraint patterns in a text; null or empty: 0."""
+    return total([F.coalesce(pattern_count(text, p), F.lit(0)) for p in CONSTRAINT_PATTERNS])
+
+
+def constraint_count(text: Column, *lists: Column) -> Column:
+    """Sizes of the lists of constraints; where they sum to 0, what the text states."""
+    listed = total([F.size(F.coalesce(c, F.array().cast("array<string>"))) for c in lists]) if lists else F.lit(0)
+    return F.when(listed > 0, listed).otherwise(stated_constraints(text)).cast("double")
 
 
 def readability(text: Column) -> dict[str, Column]:

@@ -9,6 +9,8 @@ from ..functions.nullsafe import one_to_five
 from ..functions.text import cue_count, pattern_count, word_count
 
 DIMENSIONS = ("TC", "OS", "SK", "DS", "LT", "VL")
+#: From the laxest to the strictest.
+TIERS = ("pure_slm", "hybrid", "llm_only", "disqualified")
 
 
 def task_complexity(task: Column, prompt: Column, constraints: tuple[str, ...]) -> Column:
@@ -87,3 +89,18 @@ def enforce(final: Column, proposed: Column, escalate: Column) -> Column:
 
 def deploy(final: Column, proposed: Column) -> Column:
     return F.when(final == "pure_slm", "SLM").when(final.isin("llm_only", "disqualified"), "LLM").otherwise(proposed)
+
+
+def policy_override(final: Column, requested: Column, reason: Column) -> dict[str, Column]:
+    """A policy may only make a tier stricter: tier, policy_tier_requested, policy_tier_applied, gate_reason.
+
+    Without a request nothing changes; an unknown request is an error, an unknown tier counts as pure_slm.
+    """
+    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in TIERS]), c)
+    asked = F.trim(requested)
+    asked = F.when(asked.isNull() | asked.isin(*TIERS), asked).otherwise(F.raise_error(F.concat(F.lit("invalid policy tier: "), asked)).cast("string"))
+    now = F.when(final.isin(*TIERS), final).otherwise("pure_slm")
+    applied = F.when(asked.isNotNull(), F.when(rank(asked) >= rank(now), asked).otherwise(now))
+    changed = F.coalesce(applied != now, F.lit(False))
+    told = F.concat(F.coalesce(reason, F.lit("Gate pass")), F.lit(" | Policy Tier Override: "), now, F.lit(" -> "), applied)
+    return {"tier": F.when(changed, applied).otherwise(final), "policy_tier_requested": asked, "policy_tier_applied": applied, "gate_reason": F.when(changed, told).otherwise(reason)}

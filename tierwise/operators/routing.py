@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nullsafe import clamp01, num
+
 # Thresholds by task family.
 FROZEN_TAU = {
     "classification": 0.6667, "code_generation": 0.6667, "information_extraction": 1.0, "instruction_following": 1.0,
@@ -44,3 +46,18 @@ def sweep(entities: DataFrame, rho: str, grid: list[float]) -> DataFrame:
     g = entities.withColumn("_g", F.explode(F.array(*pairs))).select("*", "_g.*").drop("_g")
     t = F.when(F.col(rho) >= F.col("slm"), "SLM").when(F.col(rho) <= F.col("llm"), "LLM").otherwise("HYBRID")
     return g.withColumn("tier", t)
+
+
+def frozen_taus(families: DataFrame, validation: DataFrame, tests: DataFrame) -> DataFrame:
+    """A threshold for each family, from 0 to 1: (task, tau).
+
+    Mean over validation rows that are strict-feasible and pass the calibration gate, else over test runs, else over
+    all validation rows, else 0.5. families: task; validation: task, tau, source, passed; tests: task, tau.
+    Rows without a number count for nothing.
+    """
+    strict = (F.lower(F.col("passed").cast("string")) == "true") & (F.col("source") == "strict_feasible_max")
+    v = validation.select(F.trim("task").alias("task"), num(F.col("tau")).alias("x"), strict.alias("s"))
+    v = v.groupBy("task").agg(F.avg(F.when(F.col("s"), F.col("x"))).alias("_strict"), F.avg("x").alias("_all"))
+    r = tests.select(F.trim("task").alias("task"), num(F.col("tau")).alias("x")).groupBy("task").agg(F.avg("x").alias("_test"))
+    tau = F.coalesce("_strict", "_test", "_all", F.lit(0.5))
+    return families.select("task").join(v, "task", "left").join(r, "task", "left").select("task", clamp01(tau).alias("tau"))

@@ -56,7 +56,12 @@ def entropy(s, d):
     return w.groupBy("doc_id").agg(F.round(F.abs(h), 6).alias("h"))
 
 
+def constraints(s, d):
+    return t(s, d, "documents").select("doc_id", X.constraint_count(_text()).alias("constraint_count"))
+
+
 QUERIES = {
+    "constraint_count": (constraints, None),
     "token_features": (token_features, f"SELECT doc_id, CAST(len({_WORDS.format('text')}) AS BIGINT) AS n_in, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS n_alnum, CAST({_cues(('the', 'and', 'que'))} AS BIGINT) AS cues FROM documents"),
     "token_entropy": (entropy, f"SELECT doc_id, round(abs(log2(sum(c)) - sum(c * log2(c)) / sum(c)), 6) AS h FROM (SELECT doc_id, w, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1, 2) GROUP BY 1"),
     "classification_features": (
