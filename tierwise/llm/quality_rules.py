@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Buckets of the hashed n-grams: the size of both multinomials.
 BUCKETS = 1 << 14
-#: Labelled good documents that stand for the trusted target, at most.
-TARGET_DOCS = 10_000
 #: Mean log ratio (in millionths) from which a document is kept. Fixed value.
 THRESHOLD = -1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -87,14 +85,14 @@ def buckets_of(text: Column) -> Column:
     return bound(hashes, lambda hs: F.concat(F.transform(hs, one), F.when(F.size(hs) > 1, two(hs)).otherwise(none)))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with the array ``ratios``: of each bucket, log target over raw, in millionths.
 
-    Raw counts cover all documents. The target are the first ``target_docs`` ids labelled good, in the order of
-    their hash; so few ids are broadcast. Without labels all ratios are 0 but for smoothing.
+    Raw counts cover all documents, target counts all that are labelled good. Without labels all ratios are 0 but
+    for smoothing.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
-    flagged = docs.select("doc_id", "text").join(F.broadcast(good.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    flagged = docs.select("doc_id", "text").join(good.select("doc_id", F.lit(1).alias("good")), "doc_id", "left")
     counts = (
         flagged.select("good", F.explode(buckets_of(F.col("text"))).alias("bucket"))
         .groupBy("bucket")
@@ -109,7 +107,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOC
     return sums.select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), ratio).alias("ratios"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Base rules and the log-likelihood verdict on every document.
 
     docs: doc_id, text and any others; all are returned, with n_words, word_chars, n_symbols,
@@ -122,7 +120,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     docs = docs.drop(*made)
     out = base_rules(docs)
-    ratios = log_ratios(docs, labels, target_docs)
+    ratios = log_ratios(docs, labels)
     out = out.withColumn("_r", ratios.scalar()).withColumn("_b", buckets_of(F.col("text")))
     total = F.aggregate("_b", F.lit(0).cast("long"), lambda s, b: s + F.get(F.col("_r"), b))
     out = out.withColumn("llr", F.coalesce(F.try_divide(total, F.size("_b")).cast("long"), F.lit(0).cast("long"))).drop("_r", "_b")
