@@ -1,7 +1,9 @@
 """Queries cover whole tables: every row of the input, whatever its language or id, against brute force."""
 
+import math
 import re
 
+import numpy as np
 import pytest
 
 from tierwise.functions import text as X
@@ -121,3 +123,19 @@ def test_holm_of_all_events(spark):
             want[event] = high = max(high, min(1.0, p * (len(family) - rank)))
     assert len(want) > 400
     assert dict(tuple(r) for r in queries()["holm_correction"](spark, SF).collect()) == pytest.approx(want, abs=1e-9)
+
+
+def test_kernel_smoothing_at_each_score(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type", "value").collect()
+    groups = {}
+    for event, kind, value in rows:
+        groups.setdefault(kind, []).append((math.floor(value * 10) / 10, (event * 7 + math.floor(value)) % 10 < 6))
+    got = {(r["model"], float(r["d"])): (r["n"], float(r["value"])) for r in queries()["kernel_smoothing"](spark, SF).collect()}
+    assert set(got) == {(k, x) for k, g in groups.items() for x, _ in g}
+    for kind, g in groups.items():
+        xs, ys = np.array([x for x, _ in g]), np.array([y for _, y in g], float)
+        h = 1.06 * (xs.std() or 1.0) * len(xs) ** -0.2
+        for x in set(xs):
+            w = np.exp(-0.5 * ((x - xs) / h) ** 2)
+            n, value = got[kind, x]
+            assert n == (xs == x).sum() and value == pytest.approx((w * ys).sum() / w.sum(), abs=2e-6)
