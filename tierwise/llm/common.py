@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch: long texts make wide rows, so batches stay small.
 BATCH_ROWS = 256
 
-#: Bits of an id filter (512 KB), whatever the number of ids.
-FILTER_WORDS = 1 << 16
+#: 64-bit words of an id filter: 512 KB at least and 8 MB at most, in between by the number of ids.
+FILTER_WORDS = 1 << 16, 1 << 20
 
 #: Entries after which a worker's word cache starts anew.
 CACHE_LIMIT = 1 << 20
@@ -30,10 +31,24 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs run inside: narrow rows need fewer, larger batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. A local session that names none gets a temporary one; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tierwise-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -136,28 +151,29 @@ def texts_with_key(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 class IdFilter:
-    """Bit set of hashed ids with a fixed size: no id is missed; the more ids, the more others pass."""
+    """Bit set of hashed ids, about 16 bits an id up to its largest size: no id is missed; beyond, more others pass."""
 
     def __init__(self, ids: DataFrame):
+        least, most = FILTER_WORDS
+        n = ids.count()
+        self.words = min(most, max(least, 1 << (n // 4).bit_length()))
         h = F.xxhash64(F.col(ids.columns[0]))
         rows = (
-            ids.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("w"), F.shiftright(h, 20).bitwiseAND(F.lit(63)).cast("int").alias("b"))
+            ids.select(F.pmod(h, F.lit(self.words)).cast("int").alias("w"), F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int").alias("b"))
             .groupBy("w")
             .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-            .collect()  # 65,536 rows at most, whatever the number of ids
+            .toArrow()  # FILTER_WORDS rows at most, whatever the number of ids
         )
-        bits = np.zeros(FILTER_WORDS, np.int64)
-        for r in rows:
-            bits[r["w"]] = r["bits"]
-        self.bits, self.empty = bits, not rows
+        self.bits, self.empty = np.zeros(self.words, np.int64), not n
+        self.bits[rows["w"].to_numpy()] = rows["bits"].to_numpy()
 
     @staticmethod
     def key(name: str = "doc_id") -> Column:
         return F.xxhash64(F.col(name)).alias("_key")
 
     def has(self, key: np.ndarray) -> np.ndarray:
-        w = np.mod(key, FILTER_WORDS)
-        return (self.bits[w] >> (np.right_shift(key, 20) & 63)) & 1 == 1
+        w = np.mod(key, self.words)
+        return (self.bits[w] >> (np.right_shift(key, 32) & 63)) & 1 == 1
 
 
 def filtered(docs: DataFrame, keep: IdFilter, outside: bool = False) -> DataFrame:
@@ -192,13 +208,15 @@ def components(edges: DataFrame, stored: Stored, rounds: int = 60) -> DataFrame:
         if (n, s) == before or not n:
             break
         before = n, s
+        # The minima are written before the join, so that it exchanges both sides and splits skewed ids.
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = stored.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored.keep(large.where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
+        least = stored.keep(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
         after = stored.keep(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        stored.drop(low, least)
         stored.drop(now, large)
         now = after
     else:
