@@ -1,8 +1,7 @@
 """Quality rules: base statistics, then a length-normalised log-likelihood ratio of hashed n-grams.
 
-Native DataFrame functions only. A text's words are reduced to their shape (runs of capitals, small
-letters and digits become A, a and 0), and the shapes' unigrams and bigrams are hashed into BUCKETS
-buckets. Two multinomials over the buckets, of the trusted target (documents labelled good) and of the
+Native DataFrame functions only. The words of a text are hashed into BUCKETS buckets, and so are the unigrams and bigrams
+of their shapes (runs of capitals, small letters and digits become A, a and 0), which say something of words never seen, too. Two multinomials over the buckets, of the trusted target (documents labelled good) and of the
 raw corpus, give each bucket a log ratio, rounded to a millionth so that sums do not depend on their
 order. A document is kept when its mean log ratio reaches the threshold.
 """
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 #: Mean log ratio (in millionths) from which a document is kept. Fixed value.
 THRESHOLD = -1_000_000
+#: 64-bit words of the bit set of good ids, by their number: 32 KB at least, 8 MB at most.
+MARK_WORDS = 1 << 12, 1 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -73,38 +74,63 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def buckets_of(text: Column) -> Column:
-    """Hashed unigrams and bigrams of the shapes of a text's words."""
+    """Hashed words, and hashed unigrams and bigrams of the words' shapes."""
     shape = F.coalesce(text, F.lit(""))
     for pattern, mark in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}]+", "a"), (r"\p{N}+", "0")):
         shape = F.regexp_replace(shape, pattern, mark)
     shapes = F.filter(F.split(shape, SPACE), lambda w: w != "")
-    hashes = F.transform(shapes, lambda w: F.xxhash64(w))
     one = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    words = F.transform(words_of(text), lambda w: one(F.xxhash64(w)))
     two = lambda hs: F.transform(F.sequence(F.lit(1), F.size(hs) - 1), lambda i: one(F.xxhash64(F.element_at(hs, i), F.element_at(hs, i + 1))))
     none = F.array().cast("array<int>")
-    return bound(hashes, lambda hs: F.concat(F.transform(hs, one), F.when(F.size(hs) > 1, two(hs)).otherwise(none)))
+    both = lambda hs: F.concat(F.transform(hs, one), F.when(F.size(hs) > 1, two(hs)).otherwise(none))
+    return F.concat(words, bound(F.transform(shapes, lambda w: F.xxhash64(w)), both))
+
+
+def in_order(numbered: DataFrame, size: int, *values: Column) -> DataFrame:
+    """One row with an array for each value (aliased), from rows (i, ...): the one of i = 0, 1, ... size - 1, or 0."""
+    rows = numbered.sparkSession.range(size).select(F.col("id").cast("int").alias("i")).join(numbered.hint("merge"), "i", "left")
+    # Of a fixed size, so one task may gather them.
+    held = rows.agg(F.sort_array(F.collect_list(F.struct("i", *numbered.columns[1:]))).alias("held"))
+    return held.select(*values)
+
+
+def marked(ids: DataFrame, words: int) -> DataFrame:
+    """One row with the array ``marks``: bits set at the hashes of ids (column doc_id), 64 * words in all."""
+    h = F.xxhash64("doc_id")
+    bits = ids.select(F.pmod(h, F.lit(words)).cast("int").alias("i"), F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    bits = bits.groupBy("i").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+    return in_order(bits, words, F.transform("held", lambda x: F.coalesce(x["bits"], F.lit(0).cast("long"))).alias("marks"))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with the array ``ratios``: of each bucket, log target over raw, in millionths.
 
-    Raw counts cover all documents, target counts all that are labelled good. Without labels all ratios are 0 but
+    Raw counts cover all documents, target counts all that are labelled good. Labels are joined by a shuffle at every size, of the documents only
+    that a bounded bit set of the good ids lets through; all others are surely not labelled good. Without labels all ratios are 0 but
     for smoothing.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    flagged = docs.select("doc_id", "text").join(good.select("doc_id", F.lit(1).alias("good")), "doc_id", "left")
+    least, most = MARK_WORDS
+    words = min(most, max(least, 1 << (good.count() // 4).bit_length()))
+    h = F.xxhash64("doc_id")
+    word = F.get(marked(good, words).scalar(), F.pmod(h, F.lit(words)).cast("int"))
+    there = F.call_function("shiftright", word, F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int"))
+    texts = docs.select("doc_id", "text").withColumn("_there", there.bitwiseAND(F.lit(1)) == 1)
+    asked = texts.where("_there").join(good.select("doc_id", F.lit(1).alias("good")).hint("merge"), "doc_id", "left").select("good", "text")
+    others = texts.where("not _there").select(F.lit(None).cast("int").alias("good"), "text")
     counts = (
-        flagged.select("good", F.explode(buckets_of(F.col("text"))).alias("bucket"))
-        .groupBy("bucket")
+        asked.unionByName(others).select("good", F.explode(buckets_of(F.col("text"))).alias("i"))
+        .groupBy("i")
         .agg(F.count("*").alias("raw"), F.count("good").alias("target"))
-    )
-    # A row for each bucket, BUCKETS at most, so one task may sum them up.
-    sums = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"), F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("raw", "target")))).alias("of"))
-    zero = F.struct(F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
-    entry = lambda b: F.coalesce(F.try_element_at(F.col("of"), b), zero)
-    smooth = lambda n, total: (n + 1.0) / (F.coalesce(total, F.lit(0)) + BUCKETS)
-    ratio = lambda b: F.round(1e6 * F.log(smooth(entry(b)["target"], F.col("target")) / smooth(entry(b)["raw"], F.col("raw")))).cast("long")
-    return sums.select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), ratio).alias("ratios"))
+    )
+    zero = F.lit(0).cast("long")
+    both = in_order(counts, BUCKETS, F.transform("held", lambda x: F.coalesce(x["raw"], zero)).alias("raw"), F.transform("held", lambda x: F.coalesce(x["target"], zero)).alias("target"))
+    total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
+    both = both.withColumns({"raws": total("raw"), "targets": total("target")})
+    smooth = lambda n, of: (n + 1.0) / (of + BUCKETS)
+    ratio = lambda t, r: F.round(1e6 * F.log(smooth(t, F.col("targets")) / smooth(r, F.col("raws")))).cast("long")
+    return both.select(F.zip_with("target", "raw", ratio).alias("ratios"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
