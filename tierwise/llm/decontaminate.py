@@ -1,29 +1,33 @@
 """Benchmark decontamination by a positional inverted index that is sharded by document.
 
-Index: each shard holds some documents' token postings, sorted by term and position, for the terms the
-benchmark uses (or for all terms). Shards are written to the shared folder. Search: a window of
-benchmark words starts with the shard's rarest of its terms; the postings lists, shifted back by their
-offsets in the window, are intersected from the rarest on, and what is left are exact phrase
-occurrences. Windows of which some term has no posting cost nothing but a lookup. Proximity matches
-bring the rarest terms of an item together within a span. The benchmark is worked through in blocks of
-BLOCK_WORDS words, so what goes to the tasks has a fixed bound however long it is.
+Index: built once and written to the shared folder. Each shard holds some documents' token postings, sorted by
+term and position, for the terms that a bounded bit set of the benchmark's terms lets through. Search: a
+window of benchmark words starts with the shard's rarest of its terms; the postings lists, shifted back by
+their offsets in the window, are intersected from the rarest on, and what is left are exact phrase
+occurrences. Windows of which some term has no posting cost nothing but a lookup. Proximity matches bring
+the terms of an item that are rarest in all documents together within a span. The benchmark is cut into pieces of
+PIECE_WORDS words that overlap by a window, and worked through in blocks of BLOCK_WORDS words, so what
+goes to the tasks has a fixed bound however long it or one of its items is. Hits of all blocks are
+brought together by the number of the indexed row.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, binary_texts, ids_of, prepare, releasing, texts_with_key, to_batch
 
-#: Benchmark words that one search block sends to the tasks; at most 50 MB or so.
-BLOCK_WORDS = 400_000
+#: Benchmark words that one search block sends to the tasks, at most 50 MB or so, and words of a piece of an item.
+BLOCK_WORDS, PIECE_WORDS = 400_000, 100_000
+#: Bits of the set of benchmark terms (2 MB).
+TERM_BITS = 1 << 24
 #: Text bytes of a shard.
 SHARD_BYTES = 8_000_000
 
@@ -35,18 +39,38 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class TermHash(dict):
+    """63-bit hash of a term, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 10) >> 1
+        return h
+
+
+_hashes = TermHash()
+
+
+def terms_of(text: bytes) -> np.ndarray:
+    """Hashes of a text's words, in order."""
+    words = words_of(text)
+    return np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+
+
 class Phrases:
-    """A block of benchmark items as distinct windows of term numbers."""
+    """A block of benchmark pieces as distinct windows of terms."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int):
-        self.terms: dict[bytes, int] = {}
+        #: Terms in order, so that a number in ``terms`` stands for each; and their words.
+        words = {int(h): w for _, text in items for h, w in zip(terms_of(text).tolist(), words_of(text), strict=True)}
+        self.terms = np.array(sorted(words), np.int64)
+        self.words = [words[h] for h in self.terms.tolist()]
         owners: dict[tuple[int, ...], list[int]] = {}
-        self.sequences: list[tuple[int, tuple[int, ...]]] = []
+        self.sequences: list[tuple[int, np.ndarray]] = []
         for item, text in items:
-            ws = tuple(self.terms.setdefault(w, len(self.terms)) for w in words_of(text))
+            ws = tuple(np.searchsorted(self.terms, terms_of(text)).tolist())
             if not ws:
                 continue
-            self.sequences.append((item, ws))
+            self.sequences.append((item, np.unique(ws)))
             for i in range(max(1, len(ws) - window + 1)):
                 owners.setdefault(ws[i : i + window], []).append(item)
         self.windows = list(owners)
@@ -56,6 +80,17 @@ class Phrases:
             by.setdefault(len(w), []).append(k)
         #: By length: numbers of the windows, and their terms as a matrix.
         self.matrices = [(np.array(ks), np.array([self.windows[k] for k in ks], np.int64)) for ks in by.values()]
+        #: Terms (numbers) that stand for an item in proximity matches, with the item.
+        self.near: list[tuple[int, list[int]]] = []
+
+    def rarest(self, counts: dict[int, int], few: int) -> None:
+        """Chooses each item's ``few`` rarest terms, by their counts in all documents and then by word; items of fewer terms,
+        and those of which a chosen one occurs nowhere, get none."""
+        often = [counts.get(h, 0) for h in self.terms.tolist()]
+        for item, terms in self.sequences:
+            chosen = sorted(terms.tolist(), key=lambda t: (often[t], self.words[t]))[:few]
+            if len(chosen) == few and often[chosen[0]]:
+                self.near.append((item, chosen))
 
 
 class Shard:
@@ -64,22 +99,27 @@ class Shard:
     def __init__(self, starts: np.ndarray, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray):
         #: First position of each document and the position after the last; indexed terms; where each one's list ends.
         self.starts, self.terms, self.ends, self.positions = starts, terms, ends, positions
+        self.numbers = terms
 
     @classmethod
-    def build(cls, texts: list[list[int]]) -> Shard:
-        """texts: term numbers of each document's words, -1 where a word isn't indexed."""
+    def build(cls, texts: list[np.ndarray], wanted: np.ndarray | None = None) -> Shard:
+        """texts: terms of each document's words. wanted: bit set of the terms to index; without it, all of them."""
         starts = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-        flat = np.concatenate([np.array(t, np.int32) for t in texts]) if texts else np.empty(0, np.int32)
-        at = np.flatnonzero(flat >= 0)
+        flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
+        at = np.arange(len(flat)) if wanted is None else np.flatnonzero(has_bits(wanted, flat))
         order = np.argsort(flat[at], kind="stable")
         terms, counts = np.unique(flat[at], return_counts=True)
-        return cls(starts, terms.astype(np.int32), np.cumsum(counts), at[order].astype(np.int32))
+        return cls(starts, terms, np.cumsum(counts), at[order].astype(np.int32))
+
+    def number(self, terms: np.ndarray) -> None:
+        """From now on terms are named by their numbers in a sorted array; others cannot be asked for."""
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        self.numbers = np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(len(terms), -1)
 
     def postings(self, term: int) -> np.ndarray:
-        k = np.searchsorted(self.terms, term)
-        if k == len(self.terms) or self.terms[k] != term:
-            return self.positions[:0]
-        return self.positions[self.ends[k - 1] if k else 0 : self.ends[k]]
+        k = self.numbers[term]
+        return self.positions[:0] if k < 0 else self.positions[self.ends[k - 1] if k else 0 : self.ends[k]]
 
     def phrase(self, window: tuple[int, ...]) -> np.ndarray:
         """Positions at which all terms of a window stand in order in one document."""
@@ -114,55 +154,131 @@ class Shard:
         return np.unique(np.concatenate(found))
 
 
-_INDEX = "doc_ids array<long>, digests array<binary>, starts binary, terms binary, ends binary, positions binary"
+def bit_at(terms: np.ndarray) -> np.ndarray:
+    return terms & (TERM_BITS - 1)
+
+
+def has_bits(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    at = bit_at(terms)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def benchmark_pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, piece, n, words): items cut into PIECE_WORDS words and the window - 1 words that follow, joined by blanks."""
+    schema = pa.schema([("item_id", pa.int64()), ("piece", pa.int32()), ("n", pa.int64()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(ids_of(b, "item_id"), binary_texts(b), strict=True):
+                words = words_of(text)
+                starts = range(0, max(1, len(words) - window + 1), PIECE_WORDS) if words else ()
+                cut = [words[i : i + PIECE_WORDS + window - 1] for i in starts]
+                if cut:
+                    yield to_batch({"item_id": [item] * len(cut), "piece": list(range(len(cut))), "n": [len(c) for c in cut], "words": [b" ".join(c) for c in cut]}, schema)
+
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.mapInArrow(run, "item_id long, piece int, n long, words binary")
+
+
+def term_bits(pieces: DataFrame) -> np.ndarray:
+    """Bit set of all terms of the benchmark; TERM_BITS / 8 bytes reach the driver from each of at most 8 tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(TERM_BITS >> 3, np.uint8)
+        for b in batches:
+            for words in ids_of(b, "words"):
+                at = bit_at(terms_of(words))
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            _hashes.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
+    found = pieces.select("words").coalesce(8).mapInArrow(run, "bits binary")
+    bits = np.zeros(TERM_BITS >> 3, np.uint8)
+    for r in found.toLocalIterator():
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    return bits
 
-def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """Shards of the positional index of ``terms`` (word to number), a row each."""
+
+_INDEX = "shard long, doc_ids array<long>, starts binary, terms binary, ends binary, positions binary"
+
+
+def build_index(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """Shards of the positional index of the terms in a bit set, a row each."""
     prepare(docs.sparkSession)
-    numbers = docs.sparkSession.sparkContext.broadcast(terms)
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), *[(k, pa.binary()) for k in ("starts", "terms", "ends", "positions")]])
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    schema = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("starts", "terms", "ends", "positions")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = numbers.value.get
-        ids, digests, texts, size = [], [], [], 0
+        bits = shared.value
+        ids, texts, size = [], [], 0
+        name = TaskContext.get().partitionId() << 32
 
         def shard() -> pa.RecordBatch:
-            s = Shard.build(texts)
-            return to_batch({"doc_ids": [ids], "digests": [digests], "starts": [s.starts.tobytes()], "terms": [s.terms.tobytes()], "ends": [s.ends.tobytes()], "positions": [s.positions.tobytes()]}, schema)
+            s = Shard.build(texts, bits)
+            return to_batch({"shard": [name], "doc_ids": [ids], "starts": [s.starts.tobytes()], "terms": [s.terms.tobytes()], "ends": [s.ends.tobytes()], "positions": [s.positions.tobytes()]}, schema)
 
         for b in batches:
             for d, t in zip(ids_of(b), binary_texts(b), strict=True):
                 ids.append(d)
-                digests.append(hashlib.blake2b(t, digest_size=16).digest())
-                texts.append([number(w, -1) for w in words_of(t)])
+                texts.append(terms_of(t))
                 size += len(t)
                 if size >= SHARD_BYTES:
                     yield shard()
-                    ids, digests, texts, size = [], [], [], 0
+                    ids, texts, size, name = [], [], 0, name + (1 << 22)
+            if len(_hashes) > 1 << 18:
+                _hashes.clear()
         if ids:
             yield shard()
 
-    return texts_with_key(docs).mapInArrow(releasing(run), _INDEX)
+    return texts_with_key(docs).mapInArrow(releasing(run, _hashes), _INDEX)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, Shard]]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, Shard]]:
     for b in batches:
-        for ids, digests, starts, terms, ends, positions in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
-            yield ids, digests, Shard(np.frombuffer(starts, np.int64), np.frombuffer(terms, np.int32), np.frombuffer(ends, np.int64), np.frombuffer(positions, np.int32))
+        for name, ids, starts, terms, ends, positions in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+            yield name, ids, Shard(np.frombuffer(starts, np.int64), np.frombuffer(terms, np.int64), np.frombuffer(ends, np.int64), np.frombuffer(positions, np.int32))
+
+
+def term_counts(index: DataFrame, phrases: Phrases) -> dict[int, int]:
+    """How often each term of a block stands in all documents; a block has BLOCK_WORDS terms at most."""
+    shared = index.sparkSession.sparkContext.broadcast(phrases.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            for terms, ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                terms, counts = np.frombuffer(terms, np.int64), np.diff(np.frombuffer(ends, np.int64), prepend=0)
+                at = np.searchsorted(shared.value, terms)
+                at[at == len(sums)] = 0
+                there = shared.value[at] == terms if len(sums) else np.zeros(len(terms), bool)
+                sums[at[there]] += counts[there]
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(shared.value[at], pa.int64()), pa.array(sums[at], pa.int64())], ["term", "n"])
+
+    found = index.select("terms", "ends").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found["term"].to_pylist(), found["n"].to_pylist(), strict=True))
+
+
+_HITS = "row long, doc_id long, n_words long, items array<long>, near array<long>, spans array<struct<start:int,end:int>>"
 
 
-def search_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """A row per indexed document: doc_id, digest (of its text), n_words, items (with an occurring window) and spans of words hit."""
+def search(index: DataFrame, phrases: Phrases, span: int, every: bool) -> DataFrame:
+    """A row per indexed document (with a match, unless ``every``): its number, doc_id, n_words, items with an
+    occurring window, items near by, and spans of words hit.
+
+    An item is near when its chosen terms stand within ``span`` words of the document.
+    """
     shared = index.sparkSession.sparkContext.broadcast(phrases)
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    ids = pa.list_(pa.int64())
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", ids), ("near", ids), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for ids, digests, shard in _shards(batches):
-            there = np.zeros(len(p.terms) + 1, bool)
-            there[shard.terms] = True
+        for name, doc_ids, shard in _shards(batches):
+            shard.number(p.terms)
+            there = shard.numbers >= 0
             items: dict[int, set[int]] = {}
+            near: dict[int, set[int]] = {}
             hit = np.zeros(int(shard.starts[-1]) + 1, np.int32)
             for numbers, matrix in p.matrices:
                 for k in numbers[there[matrix].all(axis=1)]:
@@ -172,52 +288,32 @@ def search_phrases(index: DataFrame, phrases: Phrases) -> DataFrame:
                         np.add.at(hit, at + len(p.windows[k]), -1)
                         for d in np.unique(np.searchsorted(shard.starts, at, "right") - 1).tolist():
                             items.setdefault(d, set()).update(p.owners[k])
+            for item, terms in p.near:
+                if there[terms].all():
+                    for d in shard.near(tuple(terms), span).tolist():
+                        near.setdefault(d, set()).add(item)
             covered = np.cumsum(hit)[:-1] > 0
-            spans: list[list[dict]] = [[] for _ in ids]
+            spans: dict[int, list[dict]] = {}
             for d in items:
                 a, z = shard.starts[d], shard.starts[d + 1]
                 edge = np.flatnonzero(np.diff(np.r_[False, covered[a:z], False].astype(np.int8)))
                 spans[d] = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
-            yield to_batch({"doc_id": ids, "digest": digests, "n_words": np.diff(shard.starts), "items": [sorted(items.get(d, ())) for d in range(len(ids))], "spans": spans}, schema)
-
-    return index.mapInArrow(releasing(run), "doc_id long, digest binary, n_words long, items array<long>, spans array<struct<start:int,end:int>>")
+            at = range(len(doc_ids)) if every else sorted(items.keys() | near.keys())
+            n = np.diff(shard.starts)
+            yield to_batch({"row": [name + d for d in at], "doc_id": [doc_ids[d] for d in at], "n_words": [int(n[d]) for d in at], "items": [sorted(items.get(d, ())) for d in at], "near": [sorted(near.get(d, ())) for d in at], "spans": [spans.get(d, []) for d in at]}, schema)
 
+    return index.mapInArrow(releasing(run), _HITS)
 
-def search_near(index: DataFrame, phrases: Phrases, rarest: int = 4, span: int = 30) -> DataFrame:
-    """Proximity matches (doc_id, item_id): an item's rarest terms in the shard within ``span`` words.
-
-    Items of which the shard lacks a term do not match there.
-    """
-    shared = index.sparkSession.sparkContext.broadcast(phrases)
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        for ids, _, shard in _shards(batches):
-            docs, items = [], []
-            for item, seq in p.sequences:
-                terms = sorted(set(seq), key=lambda t: (len(shard.postings(t)), t))
-                if not len(shard.postings(terms[0])):
-                    continue
-                for d in shard.near(tuple(terms[:rarest]), span).tolist():
-                    docs.append(ids[d])
-                    items.append(item)
-            if docs:
-                yield to_batch({"doc_id": docs, "item_id": items}, schema)
-
-    return index.mapInArrow(releasing(run), "doc_id long, item_id long").distinct()
-
-
-def phrase_blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of at most BLOCK_WORDS words (an item alone may be longer)."""
+def phrase_blocks(pieces: DataFrame, window: int) -> Iterator[Phrases]:
+    """The benchmark in blocks of at most BLOCK_WORDS words, or of one piece."""
     block, size = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        n = len(words_of(r["text"].encode()))
-        if block and size + n > BLOCK_WORDS:
+    for r in pieces.orderBy("item_id", "piece", "words").toLocalIterator():
+        if block and size + r["n"] > BLOCK_WORDS:
             yield Phrases(block, window)
             block, size = [], 0
-        block.append((r["item_id"], r["text"].encode()))
-        size += n
+        block.append((r["item_id"], bytes(r["words"])))
+        size += r["n"]
     yield Phrases(block, window)
 
 
@@ -233,34 +329,38 @@ def united_spans(spans: Column) -> Column:
 
 
 def merged(found: list[DataFrame]) -> DataFrame:
-    """Hits of all blocks, one row per input row.
-
-    Rows equal in id and text have equal hits in every block, so they are counted, merged as one and repeated.
-    """
-    parts = [f.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.first("items").alias("items"), F.first("spans").alias("spans"), F.count("*").alias("times")) for f in found]
-    every = reduce(DataFrame.unionByName, parts)
-    one = every.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.first("times").alias("times"))
-    return one.withColumn("spans", united_spans(F.col("spans"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    """Hits of all blocks, one row per indexed row."""
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    one = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), union("items"), union("near"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return one.withColumn("spans", united_spans(F.col("spans")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """Words of documents that stand in an occurrence of a benchmark window.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, rarest: int = 4, span: int = 30) -> DataFrame:
+    """Words of documents that stand in an occurrence of a benchmark window, and proximity matches.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A window is ``window``
     consecutive words of an item, or a shorter item as a whole. Returns doc_id, n_words, n_hit, n_items,
-    items (ids), spans (of words, start to end), items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), one row per
-    input row.
+    items (ids), spans (of words, start to end), items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words) and
+    near_items (ids of items whose ``rarest`` rarest distinct words, by their counts in all documents and then
+    in byte order, all stand within ``span`` consecutive words; an item with fewer distinct words has no proximity
+    match, and an item over PIECE_WORDS words has one where a piece of it has), one row per input row.
 
     Null and wordless texts: no words, no hits. Null doc_id: judged all the same. Null item_id or item
-    text: no item. Repeated items: their windows count once, for each of their ids. Repeated ids and rows: each row is judged by
-    its own text, however many blocks the benchmark takes. Empty tables: no hits, or an empty result.
+    text: no item. Repeated items: their windows count once, for each of their ids; of items that share an id
+    any may be near. Repeated ids and rows: each row is judged by its own text, however many blocks the
+    benchmark takes. Empty tables: no hits, or an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
     stored, found = Stored(spark), []
-    for phrases in phrase_blocks(benchmark, window):
-        index = stored.keep(build_index(docs, phrases.terms))
-        found.append(search_phrases(index, phrases))
+    pieces = stored.keep(benchmark_pieces(benchmark, window))
+    index = stored.keep(build_index(docs, term_bits(pieces)))
+    for phrases in phrase_blocks(pieces, window):
+        phrases.rarest(term_counts(index, phrases), rarest)
+        found.append(search(index, phrases, span, every=not found))
     result = found[0] if len(found) == 1 else merged(found)
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
@@ -274,4 +374,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         "spans",
         F.sha2(names, 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.col("near").alias("near_items"),
     )
