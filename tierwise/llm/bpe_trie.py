@@ -95,10 +95,10 @@ class Trie:
 
     def last(self, path: str, depth: int, end: bool, states: list[str]) -> str:
         """Last token of the first ``depth`` symbols of a path, with the suffix if it ends there."""
-        vocab, pairs, tail = self.vocab, self.pairs, self.suffix if end else ""
-        path = path[:depth] + tail
-        for start in range(max(0, depth - self.longest), depth):
-            if (token := path[start:]) in vocab:
+        vocab, pairs, low = self.vocab, self.pairs, max(0, depth - self.longest)
+        path = path[low:depth] + (self.suffix if end else "")
+        for start in range(low, depth):
+            if (token := path[start - low :]) in vocab:
                 if not start:
                     if self.stands(token):
                         return token
@@ -228,7 +228,14 @@ def _encoder(vocabulary: str, schema: pa.Schema, kept: int = KEPT):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         gc.disable()  # the remembered strings hold no cycles; scanning them again and again costs more than the work
-        c = codec(vocabulary)
+        try:
+            yield from encoded(batches, codec(vocabulary))
+        finally:  # an idle worker holds no codec
+            codec.cache_clear()
+            gc.enable()
+            give_back()
+
+    def encoded(batches: Iterator[pa.RecordBatch], c: WordCodec) -> Iterator[pa.RecordBatch]:
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]

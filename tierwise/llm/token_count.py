@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_LIMIT, ids_of, prepare, texts_with_key, to_batch
+from .common import CACHE_LIMIT, give_back, ids_of, prepare, texts_with_key, to_batch
 
 #: Texts with white space before a space need the library's own cuts.
 _RUN = re.compile(r"\s ")
@@ -119,7 +119,7 @@ def encode_huge(path: str, text: str, chunk: int = 32_768, overlap: int = 512) -
                 begin = at
                 break
             if right == begin:  # widened over the whole chunk: take in more of the text
-                end = min(len(text), end + chunk)
+                end = min(len(text), begin + 2 * (end - begin))  # doubled, so a text without boundaries costs a few encodings
                 got, spans, stops = encode_chunk(path, text, begin, end)
                 if end == len(text):
                     return ids + got
@@ -148,12 +148,18 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, huge: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # remembered units hold no cycles
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            n = []
-            for i in range(0, len(texts), 64):
-                n += count_tokens(vocabulary, texts[i : i + 64], huge, chunk, overlap)
-            yield to_batch({"doc_id": ids_of(b), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n}, schema)
+        try:
+            for b in batches:
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                n = []
+                for i in range(0, len(texts), 64):
+                    n += count_tokens(vocabulary, texts[i : i + 64], huge, chunk, overlap)
+                yield to_batch({"doc_id": ids_of(b), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n}, schema)
+        finally:  # an idle worker holds neither units nor a tokenizer
+            _units.cache_clear()
+            _tokenizer.cache_clear()
+            gc.enable()
+            give_back()
 
     counted = texts_with_key(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.select("*", (F.col("n_tokens") > limit).alias("over_limit"))
