@@ -61,7 +61,7 @@ def test_statistics_and_verdicts(spark):
     good = " ".join("The quick brown foxes jump over lazy dogs and Run home again".split() * 1).split()
     rows = [(i, " ".join(rng.choice(good) for _ in range(rng.randint(9, 60)))) for i in range(60)]
     rows += [(100 + i, " ".join("".join(rng.choice("AZ09#$%|x") for _ in range(8)) for _ in range(20))) for i in range(10)]
-    rows += [(200, None), (201, ""), (202, " \n\t\n"), (203, "same line here\nsame line here\n\n \nother\nsame line here"), (204, "Straße ÉCOLE 3½ 日本 x#y <b> & $5"), (205, "x " * 5000)]
+    rows += [(200, None), (201, ""), (202, " \n\t\n"), (203, "same line here\nsame line here\n\n \nother\nsame line here"), (204, "Straße ÉCOLE 3½ 日本 x#y <b> & $5")]
     labels = [(i, 1) for i in range(50)] + [(100, 0), (None, 1), (7, None), (999, 1)]
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_words int")
     got = {r["doc_id"]: r for r in quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
