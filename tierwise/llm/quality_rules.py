@@ -53,7 +53,7 @@ def repeat_words(hashes: Column) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to docs (column text)."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and _hashes (of the words) to docs (column text)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumns({"_words": words_of(F.col("text"))})
@@ -70,29 +70,32 @@ def base_rules(docs: DataFrame) -> DataFrame:
         }
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_words", "_lines", "_hashes")
+    return out.withColumn("base_failed", failed).drop("_words", "_lines")
 
 
-def buckets_of(text: Column) -> Column:
-    """Hashed words, and hashed unigrams and bigrams of the words' shapes."""
+def hashes_of(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
+def buckets_of(text: Column, hashes: Column) -> Column:
+    """Hashed words (given by their hashes), and hashed unigrams and bigrams of the words' shapes."""
     shape = F.coalesce(text, F.lit(""))
-    for pattern, mark in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}]+", "a"), (r"\p{N}+", "0")):
+    # Small letters first: what is left for the other patterns is short.
+    for pattern, mark in ((r"[\p{Ll}\p{Lo}]+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
         shape = F.regexp_replace(shape, pattern, mark)
     shapes = F.filter(F.split(shape, SPACE), lambda w: w != "")
     one = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    words = F.transform(words_of(text), lambda w: one(F.xxhash64(w)))
     two = lambda hs: F.transform(F.sequence(F.lit(1), F.size(hs) - 1), lambda i: one(F.xxhash64(F.element_at(hs, i), F.element_at(hs, i + 1))))
     none = F.array().cast("array<int>")
     both = lambda hs: F.concat(F.transform(hs, one), F.when(F.size(hs) > 1, two(hs)).otherwise(none))
-    return F.concat(words, bound(F.transform(shapes, lambda w: F.xxhash64(w)), both))
+    return F.concat(F.transform(hashes, one), bound(F.transform(shapes, lambda w: F.xxhash64(w)), both))
 
 
-def in_order(numbered: DataFrame, size: int, *values: Column) -> DataFrame:
-    """One row with an array for each value (aliased), from rows (i, ...): the one of i = 0, 1, ... size - 1, or 0."""
+def in_order(numbered: DataFrame, size: int, *sums: str) -> DataFrame:
+    """One row: an array ``held`` of the rows (i, ...) in order, a row of nulls for each missing i below size; and the sums of columns."""
     rows = numbered.sparkSession.range(size).select(F.col("id").cast("int").alias("i")).join(numbered.hint("merge"), "i", "left")
     # Of a fixed size, so one task may gather them.
-    held = rows.agg(F.sort_array(F.collect_list(F.struct("i", *numbered.columns[1:]))).alias("held"))
-    return held.select(*values)
+    return rows.agg(F.sort_array(F.collect_list(F.struct("i", *numbered.columns[1:]))).alias("held"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
 
 
 def marked(ids: DataFrame, words: int) -> DataFrame:
@@ -100,7 +103,7 @@ def marked(ids: DataFrame, words: int) -> DataFrame:
     h = F.xxhash64("doc_id")
     bits = ids.select(F.pmod(h, F.lit(words)).cast("int").alias("i"), F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int").alias("b"))
     bits = bits.groupBy("i").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-    return in_order(bits, words, F.transform("held", lambda x: F.coalesce(x["bits"], F.lit(0).cast("long"))).alias("marks"))
+    return in_order(bits, words).select(F.transform("held", lambda x: F.coalesce(x["bits"], F.lit(0).cast("long"))).alias("marks"))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,17 +123,14 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     asked = texts.where("_there").join(good.select("doc_id", F.lit(1).alias("good")).hint("merge"), "doc_id", "left").select("good", "text")
     others = texts.where("not _there").select(F.lit(None).cast("int").alias("good"), "text")
     counts = (
-        asked.unionByName(others).select("good", F.explode(buckets_of(F.col("text"))).alias("i"))
+        asked.unionByName(others).select("good", F.explode(bound(hashes_of(F.col("text")), lambda hs: buckets_of(F.col("text"), hs))).alias("i"))
         .groupBy("i")
         .agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     )
-    zero = F.lit(0).cast("long")
-    both = in_order(counts, BUCKETS, F.transform("held", lambda x: F.coalesce(x["raw"], zero)).alias("raw"), F.transform("held", lambda x: F.coalesce(x["target"], zero)).alias("target"))
-    total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
-    both = both.withColumns({"raws": total("raw"), "targets": total("target")})
-    smooth = lambda n, of: (n + 1.0) / (of + BUCKETS)
-    ratio = lambda t, r: F.round(1e6 * F.log(smooth(t, F.col("targets")) / smooth(r, F.col("raws")))).cast("long")
-    return both.select(F.zip_with("target", "raw", ratio).alias("ratios"))
+    both = in_order(counts, BUCKETS, "raw", "target")
+    smooth = lambda n, total: (F.coalesce(n, F.lit(0)) + 1.0) / (F.coalesce(total, F.lit(0)) + BUCKETS)
+    ratio = lambda x: F.round(1e6 * F.log(smooth(x["target"], F.col("sum_target")) / smooth(x["raw"], F.col("sum_raw")))).cast("long")
+    return both.select(F.transform("held", ratio).alias("ratios"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -147,7 +147,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD
     docs = docs.drop(*made)
     out = base_rules(docs)
     ratios = log_ratios(docs, labels)
-    out = out.withColumn("_r", ratios.scalar()).withColumn("_b", buckets_of(F.col("text")))
+    out = out.withColumn("_r", ratios.scalar()).withColumn("_b", buckets_of(F.col("text"), F.col("_hashes")))
     total = F.aggregate("_b", F.lit(0).cast("long"), lambda s, b: s + F.get(F.col("_r"), b))
-    out = out.withColumn("llr", F.coalesce(F.try_divide(total, F.size("_b")).cast("long"), F.lit(0).cast("long"))).drop("_r", "_b")
+    out = out.withColumn("llr", F.coalesce(F.try_divide(total, F.size("_b")).cast("long"), F.lit(0).cast("long"))).drop("_r", "_b", "_hashes")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
