@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_operators import SCHEMA, brute_components, texts
+from tierwise.llm import common
 from tierwise.llm import ngram_join as J
 
 
@@ -63,7 +64,7 @@ def test_limits_change_nothing(spark, monkeypatch, few, chunk):
     docs = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], SCHEMA)
     monkeypatch.setattr(J, "FEW", few)
     monkeypatch.setattr(J, "CHUNK", chunk)
-    monkeypatch.setattr(J, "POST_ROWS", 7)
+    monkeypatch.setattr(common, "BATCH_ROWS", 7)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.ngram_jaccard_join(docs, 4, 70).collect()}
     assert got == brute_components(rows, 4, 70)
 

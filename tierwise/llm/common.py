@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -15,8 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: long texts make wide rows, so batches stay small.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch: the bytes bind where texts are long, the rows where columns are narrow.
+BATCH_ROWS, BATCH_BYTES = 1 << 16, 1 << 21
 
 #: 64-bit words of an id filter: 512 KB at least and 8 MB at most, in between by the number of ids.
 FILTER_WORDS = 1 << 16, 1 << 20
@@ -29,18 +28,7 @@ def prepare(spark: SparkSession) -> None:
     """Session settings that the Arrow operators rely on; Python workers find this package where the driver did."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-@contextlib.contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows for the jobs run inside: narrow rows need fewer, larger batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stored, WordHash, batch_rows, binary_texts, components, filtered, ids_of, mix, prepare, releasing, texts_with_key, to_batch
+from .common import IdFilter, Stored, WordHash, binary_texts, components, filtered, ids_of, mix, prepare, releasing, texts_with_key, to_batch
 
 #: Members and elements of a slice of a large block.
 TILE_DOCS, TILE_ITEMS = 2048, 1_000_000
@@ -41,8 +41,8 @@ TILE_DOCS, TILE_ITEMS = 2048, 1_000_000
 CELLS, PARTS = 1 << 20, 64
 #: Groups of an element that are paired at once; posts of an element that a task holds at a time.
 FEW, CHUNK = 16, 1 << 16
-#: Rows of the batches of posts and words that a task remembers.
-POST_ROWS, WORDS = 1 << 16, 1 << 18
+#: Words that a task remembers.
+WORDS = 1 << 18
 
 _hashes = WordHash()
 
@@ -330,14 +330,12 @@ def _spreads(collapsed: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def _blocks(prefixes: DataFrame, classes: DataFrame, stored: Stored, threshold: int) -> DataFrame:
     """(id, root): blocks of classes that no link crosses. prefixes may hold documents that stand for no class."""
-    spark = prefixes.sparkSession
     members = prefixes.select("doc_id", "gfp").join(classes.select(F.col("class_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     groups = members.groupBy("gfp").agg(F.min("doc_id").alias("g"), F.count("*").alias("members"))
     groups = stored.keep(groups)
     leads = prefixes.join(groups.select(F.col("g").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     posts = leads.select(F.posexplode("prefix").alias("pos", "key"), F.col("doc_id").alias("g"), "n").select("key", "g", "n", "pos")
-    with batch_rows(spark, POST_ROWS):
-        found = stored.keep(_pairs(posts.repartition("key").sortWithinPartitions("key", "n", "g"), threshold))
+    found = stored.keep(_pairs(posts.repartition("key").sortWithinPartitions("key", "n", "g"), threshold))
     collapsed = stored.keep(members.join(groups.where("members > 1"), "gfp").select(F.col("doc_id").alias("a"), F.col("g").alias("b")))
     known = prefixes.select("doc_id", "n", "bits").join(_spreads(collapsed, prefixes), "doc_id", "left").na.fill(0, ["spread"])
     edges = _edges(found.where("key is null"), known, threshold).union(collapsed)
@@ -349,8 +347,7 @@ def _blocks(prefixes: DataFrame, classes: DataFrame, stored: Stored, threshold:
     mixed = hot.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunk").alias("chunks")).where("low < high").select("key", "chunks")
     tiles = hot.join(mixed, "key").withColumn("k", F.explode(F.sequence(F.lit(0), "chunks")))
     tiles = tiles.select("key", F.least("k", "chunk").alias("i"), F.greatest("k", "chunk").alias("j"), F.col("chunk").alias("side"), "n", "g", "pos", "root")
-    with batch_rows(spark, POST_ROWS):
-        cross = stored.keep(_cross_pairs(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), threshold))
+    cross = stored.keep(_cross_pairs(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), threshold))
     more = stored.keep(_edges(cross, known, threshold))
     if not more.isEmpty():
         roots = components(more.union(roots.select("id", "root")), stored)
