@@ -16,7 +16,7 @@ from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
 from .toxicity import toxicity
-from .url_filter import SOFT, STRICT, filter_urls
+from .url_filter import LIMIT, STRICT, VOCABULARY, filter_urls
 
 #: Rules of the url query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -111,10 +111,10 @@ fit AS (SELECT *, CASE
     WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-  {_BOUND.format("|".join(STRICT))} AS strict, {" + ".join(f"CAST({_BOUND.format(t)} AS INT)" for t in SOFT)} AS soft FROM parts)
+  {_BOUND.format("|".join(STRICT))} AS strict, {" + ".join(f"{w} * CAST({_BOUND.format(t)} AS INT)" for t, w in VOCABULARY.items() if w < LIMIT)} AS soft FROM parts)
 SELECT page_id, host, path, rule,
        CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
-            ELSE CASE WHEN strict OR soft >= 2 THEN 'block' ELSE 'allow' END END AS verdict
+            ELSE CASE WHEN strict OR soft >= {LIMIT} THEN 'block' ELSE 'allow' END END AS verdict
 FROM fit
 """
 

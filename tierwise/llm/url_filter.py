@@ -1,7 +1,8 @@
 """URL filter by a weighted vocabulary.
 
 An Aho-Corasick automaton finds all terms in the lower-cased url in one pass. A hit counts when no letter
-or digit of ASCII stands next to it. One strict term rejects, and so do several distinct soft terms.
+or digit of ASCII stands next to it. The weights of the distinct terms hit are summed up, and a url is rejected
+from LIMIT on: a strict term reaches it alone, soft terms only several together.
 """
 
 from __future__ import annotations
@@ -14,9 +15,22 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-#: Default vocabulary. Fixed values.
-STRICT = ("adult", "bets", "casino", "escort", "malware", "phishing", "pills", "porn", "spam", "viagra", "warez", "xxx")
-SOFT = ("ads", "bet", "bonus", "cheap", "click", "deal", "farm", "free", "loan", "poker", "prize", "promo", "track", "win")
+#: Sum of weights that rejects a url.
+LIMIT = 6
+# The default vocabulary by weight. One strict term rejects, two soft ones, three weak ones, or a soft and two weak ones.
+STRICT = (
+    "adult", "bets", "botnet", "camgirl", "camgirls", "carding", "casino", "cialis", "darknet", "erotic", "escort", "escorts", "fakeid", "gambling", "hentai", "keygen", "malware",
+    "milf", "nsfw", "nude", "nudes", "phishing", "pills", "porn", "porno", "ransomware", "roulette", "sexcam", "spam", "sportsbook", "spyware", "striptease", "swingers", "trojan", "viagra", "warez", "xanax", "xxx",
+)
+SOFT = (
+    "ads", "baccarat", "bet", "betting", "bingo", "blackjack", "bonus", "cheap", "click", "coupon", "dating", "deal", "deals", "farm", "forex", "free", "giveaway", "hack", "jackpot", "loan", "loans",
+    "lottery", "lucky", "payday", "pharmacy", "poker", "prize", "promo", "replica", "singles", "slots", "sweepstakes", "torrent", "track", "wager", "win", "winner",
+)
+WEAK = (
+    "affiliate", "bargain", "buy", "cash", "claim", "clearance", "credit", "debt", "discount", "earn", "exclusive", "gift", "guaranteed", "hot", "instant", "limited", "miracle", "money",
+    "now", "offer", "outlet", "popup", "profit", "quick", "referral", "reward", "rich", "sale", "save", "sponsored", "subscribe", "traffic", "trial", "urgent", "vip", "voucher",
+)
+VOCABULARY = {**dict.fromkeys(STRICT, 6), **dict.fromkeys(SOFT, 3), **dict.fromkeys(WEAK, 2)}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -39,47 +53,51 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return chain if chain is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def term_hits(pages: DataFrame, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> DataFrame:
-    """Adds n_strict and n_soft, the distinct terms of each kind in the column url; null url: 0."""
+def term_hits(pages: DataFrame, vocabulary: dict[str, int] = VOCABULARY, limit: int = LIMIT) -> DataFrame:
+    """Adds n_strict and n_soft, the distinct terms in the column url that reach the limit alone and that do not, and
+    their weight together; null url: 0."""
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         find = ahocorasick.Automaton()
-        for kind, terms in enumerate((strict, soft)):
-            for t in terms:
-                find.add_word(t, (kind, t))
-        find.make_automaton()
+        for t in vocabulary:
+            find.add_word(t, t)
+        if vocabulary:
+            find.make_automaton()
         for b in batches:
-            n = [[], []]
+            strict, soft, weight = [], [], []
             for url in b.column(b.schema.get_field_index("url")).to_pylist():
-                got: tuple[set, set] = (set(), set())
+                got = set()
                 low = (url or "").lower() if (url or "").isascii() else "".join(c.lower() if c.isascii() else c for c in url)
-                for end, (kind, t) in find.iter(low):
+                for end, t in find.iter(low) if vocabulary else ():
                     a, z = end - len(t), end + 1
                     if not (a >= 0 and low[a].isascii() and low[a].isalnum()) and not (z < len(low) and low[z].isascii() and low[z].isalnum()):
-                        got[kind].add(t)
-                n[0].append(len(got[0]))
-                n[1].append(len(got[1]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())], [*b.schema.names, "n_strict", "n_soft"])
+                        got.add(t)
+                alone = sum(vocabulary[t] >= limit for t in got)
+                strict.append(alone)
+                soft.append(len(got) - alone)
+                weight.append(sum(map(vocabulary.__getitem__, got)))
+            made = [pa.array(x, pa.int64()) for x in (strict, soft, weight)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "n_strict", "n_soft", "weight"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInArrow(run, f"{ddl}, n_strict long, n_soft long")
+    return pages.mapInArrow(run, f"{ddl}, n_strict long, n_soft long, weight long")
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, several: int = 2) -> DataFrame:
-    """Verdict on every url: that of the longest rule that fits, else block for one strict or ``several`` soft terms.
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], vocabulary: dict[str, int] = VOCABULARY, limit: int = LIMIT) -> DataFrame:
+    """Verdict on every url: that of the longest rule that fits, else block where the weights of the distinct terms reach the limit.
 
-    pages: page_id, url; other columns are ignored. Returns page_id, host, path, rule, verdict, n_strict, n_soft.
+    pages: page_id, url; other columns are ignored. Returns page_id, host, path, rule, verdict, n_strict, n_soft, weight.
 
     Null or scheme-less url: host and path are empty, so only a rule with an empty host could fit; the
     vocabulary still judges the string, and null is allowed. Null ids and repeated rows are kept. Empty
-    table: empty result.
+    table: empty result. Empty vocabulary: rules alone decide.
     """
-    hit = term_hits(pages.select("page_id", "url"), strict, soft)
+    hit = term_hits(pages.select("page_id", "url"), vocabulary, limit)
     host, path = host_and_path(F.col("url"))
-    judged = hit.select("page_id", host.alias("host"), path.alias("path"), "n_strict", "n_soft")
+    judged = hit.select("page_id", host.alias("host"), path.alias("path"), "n_strict", "n_soft", "weight")
     judged = judged.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
-    own = F.when((F.col("n_strict") >= 1) | (F.col("n_soft") >= several), "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "n_strict", "n_soft")
+    own = F.when(F.col("weight") >= limit, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "n_strict", "n_soft", "weight")
