@@ -103,10 +103,10 @@ def test_bpe_equals_the_library():
 
 
 def test_chat_folds_and_round_trips(spark):
-    m = []
+    m = chat_format.Conversation()
     for kind, turn, role, text in [("message", 0, "user", "hi"), ("delta", 1, "assistant", "a"), ("delta", 1, "assistant", "b"), ("message", 2, "user", "late"), ("regenerate", 1, "assistant", ""), ("delta", 1, "assistant", "c"), ("edit", 0, "user", "ho")]:
-        chat_format.fold(m, kind, turn, role, text)
-    assert [(t, r, "".join(p)) for t, r, p in m] == [(0, "user", "ho"), (1, "assistant", "c")]
+        m.apply(kind, turn, role, text)
+    assert m.messages() == [("user", "ho"), ("assistant", "c")] and m.turns == [0, 1]
     turns = [("us:er", "\\### Assistant: </turn> ok"), ("assistant", "#<\\\n"), ("assistant", "")]
     text, a, b = chat_format.render(turns)
     assert chat_format.parse(text) == turns

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,24 +27,41 @@ _TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<])*) </turn>\n", re.S)
 KINDS = ("message", "delta", "edit", "regenerate")
 
 
-def fold(messages: list[list], kind: str, turn: int | None, role: str, text: str) -> None:
-    """Applies one event. messages: [turn, role, parts], changed in place.
-
-    message adds a message. delta appends to the last message of its turn, edit replaces its text,
-    regenerate empties it and drops the messages of later turns; each adds a message where its turn has
-    none. Unknown kinds count as message.
-    """
-    at = next((m for m in reversed(messages) if m[0] == turn), None) if kind in KINDS[1:] else None
-    if at is None:
-        messages.append([turn, role, [text]])
-    elif kind == "delta":
-        at[2].append(text)
-    elif kind == "edit":
-        at[2] = [text]
-    else:
-        at[2] = [text]
-        if turn is not None:
-            messages[:] = [m for m in messages if m[0] is None or m[0] <= turn]
+class Conversation:
+    """Messages that the events of one conversation leave, by turn."""
+
+    def __init__(self):
+        #: Messages (role, parts) of each turn; turns in order, but for the null one.
+        self.of: dict[int | None, list[tuple[str, list[str]]]] = {}
+        self.turns: list[int] = []
+
+    def apply(self, kind: str, turn: int | None, role: str, text: str) -> None:
+        """Applies one event.
+
+        message adds a message. delta appends to the last message of its turn, edit replaces its text,
+        regenerate replaces it and drops the messages of later turns; each adds a message where its turn has
+        none. Unknown kinds count as message.
+        """
+        here = self.of.get(turn)
+        if here is None:
+            here = self.of[turn] = []
+            if turn is not None:
+                insort(self.turns, turn)
+        if not here or kind not in KINDS[1:]:
+            here.append((role, [text]))
+        elif kind == "delta":
+            here[-1][1].append(text)
+        else:
+            here[-1][1][:] = [text]
+            if kind == "regenerate" and turn is not None:
+                later = bisect_right(self.turns, turn)
+                for t in self.turns[later:]:
+                    del self.of[t]
+                del self.turns[later:]
+
+    def messages(self) -> list[tuple[str, str]]:
+        """Roles and texts: those without a turn first, then by turn."""
+        return [(role, "".join(parts)) for t in (None, *self.turns) for role, parts in self.of.get(t, ())]
 
 
 def render(messages: list[tuple[str, str]], learn: str = "assistant") -> tuple[str, list[int], list[int]]:
@@ -84,7 +102,7 @@ def format_conversations(events: DataFrame, order_by: list[str], learn: str = "a
     loss_starts and loss_ends (character spans of the text of role ``learn``).
 
     Null text or role: empty. Null conv_id: one conversation of its own. Null turn: a turn of its own,
-    first in order. Events that tie in order_by are applied in no stated order. Empty table: empty result. A task holds one
+    first in order. Events that tie in order_by are applied by turn, kind, role and text. Repeated rows are events each. Empty table: empty result. A task holds one
     conversation's messages at a time, which is what its rendered row holds as well.
     """
     spark = events.sparkSession
@@ -92,20 +110,19 @@ def format_conversations(events: DataFrame, order_by: list[str], learn: str = "a
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, messages, out = object(), [], []
+        here, log, out = object(), None, []
 
         def done():
-            if messages:
-                messages.sort(key=lambda m: (m[0] is not None, m[0] or 0))
-                text, a, b = render([(role, "".join(parts)) for _, role, parts in messages], learn)
+            if log:
+                text, a, b = render(log.messages(), learn)
                 out.append((here, text, a, b))
 
         for batch in batches:
             for conv, kind, turn, role, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if conv != here:
                     done()
-                    here, messages = conv, []
-                fold(messages, kind, turn, role or "", text or "")
+                    here, log = conv, Conversation()
+                log.apply(kind, turn, role or "", text or "")
             if len(out) >= 256:
                 yield to_batch(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema)
                 out = []
@@ -115,7 +132,7 @@ def format_conversations(events: DataFrame, order_by: list[str], learn: str = "a
 
     keys = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)]
     log = events.select("conv_id", "kind", "turn", "role", "text", *keys)
-    log = log.repartition("conv_id").sortWithinPartitions("conv_id", *[f"_o{i}" for i in range(len(keys))])
+    log = log.repartition("conv_id").sortWithinPartitions("conv_id", *[f"_o{i}" for i in range(len(keys))], "turn", "kind", "role", "text")
     return log.select("conv_id", "kind", "turn", "role", "text").mapInArrow(run, "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>")
 
 
@@ -139,14 +156,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as an event log: a message with the first half of the text, then a delta with the rest."""
+    """Rows by turn as an event log of streamed messages.
+
+    A row of an assistant: a draft, its regeneration, and two deltas with the halves of the text; any other row: a draft,
+    an edit to the first half, and a delta with the rest.
+    """
     half = (F.length("text") / 2).cast("int")
     text = F.coalesce("text", F.lit(""))
     rows = conversations.select("conv_id", "turn", "role", text.alias("text"), F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("uid"))
-    parts = F.array(
-        F.struct(F.lit("message").alias("kind"), F.lit(0).alias("part"), F.substring("text", F.lit(1), half).alias("piece")),
-        F.struct(F.lit("delta").alias("kind"), F.lit(1).alias("part"), F.substring("text", half + 1, F.length("text")).alias("piece")),
-    )
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda part, kind, piece: F.struct(F.lit(kind).alias("kind"), F.lit(part).alias("part"), piece.alias("piece"))
+    draft = event(0, "message", F.lit("draft"))
+    streamed = F.array(draft, event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", rest))
+    parts = F.when(F.col("role") == "assistant", streamed).otherwise(F.array(draft, event(1, "edit", first), event(2, "delta", rest)))
     return rows.select("conv_id", "turn", "role", "tie", "uid", F.explode(parts).alias("e")).select("conv_id", "e.kind", "turn", "role", F.col("e.piece").alias("text"), "tie", "uid", "e.part")
 
 
