@@ -18,10 +18,11 @@ def held_out(modulus: int, fold: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``bound`` labelled ids, the first by hash; few enough to be broadcast."""
+    """(doc_id, text, y) of at most ``bound`` labelled ids, of each label the first half as many by hash; few enough to be broadcast."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound // 2)
+    chosen = first(ids.where("y > 0")).unionByName(first(ids.where("y <= 0")))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def train(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

@@ -16,7 +16,7 @@ from .common import WordHash, mix
 from .linear import calibrated, held_out, scored, sigmoid, train, training_rows
 
 BITS = 18
-#: Labelled rows to learn from, at most.
+#: Labelled rows to learn from, at most; half of them of each label.
 TRAIN_ROWS = 6_000
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 _hashes = WordHash(11)
@@ -70,7 +70,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 4, fol
     """Scores every document by a classifier learned from the labels outside the held-out fold.
 
     docs: doc_id, text; labels: doc_id, quality; other columns are ignored. Learns from at most
-    ``train_rows`` labelled ids. Returns doc_id, held_out, score (0 to 1), predicted (score >= threshold).
+    ``train_rows`` labelled ids, half of them of each label at most. Returns doc_id, held_out, score (0 to 1), predicted (score >= threshold).
 
     Null and empty texts get the bias alone. Null ids are held out. An id labelled twice has the larger
     label. Without labels of both kinds the weights are what one kind gives; without any, every score is 0.5. Empty table: empty result. Repeated rows are all scored.
