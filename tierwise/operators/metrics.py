@@ -27,9 +27,15 @@ def brier(y: Column, p: Column) -> Column:
     return F.coalesce(F.avg(F.pow(p - y.cast("double"), F.lit(2.0))), F.lit(0.0))
 
 
+def linspace(bins: int) -> list[float]:
+    """Inner edges of an even grid over 0 to 1, with the float error of a step added up by multiplication."""
+    return [k * (1.0 / bins) for k in range(1, bins)]
+
+
 def calibration_error(df: DataFrame, by: list[str], y: str, p: str, bins: int) -> DataFrame:
-    """Expected calibration error over half-open bins of equal width, the last closed."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
+    """Expected calibration error over half-open bins of equal width, the last closed. An edge is k times the step with its float error, so 0.3 falls below the third one."""
+    b = F.size(F.filter(F.array(*[F.lit(edge) for edge in linspace(bins)]), lambda edge: edge <= F.col(p)))
+    df = df.where(F.col(p).between(0.0, 1.0))
     per = df.withColumn("_b", b).groupBy(*by, "_b").agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("acc"), F.avg(p).alias("conf"))
     return per.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n")).alias("ece"))
 

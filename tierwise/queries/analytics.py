@@ -52,14 +52,14 @@ QUERIES = {
     "isotonic_curve": (lambda s, d: rounded(C.isotonic(C.count_curve(scored(s, d), ["model"], "d", "event_id", "ok"), ["model"], "center", "cap"), "fitted"), None),
     "confusion_metrics": (lambda s, d: rounded(M.confusion(scored(s, d), ["model"], F.col("ok"), F.col("p") >= 0.3), "precision", "recall", "accuracy", "f1"), f"WITH {_SCORED}, c AS (SELECT model, count(*) FILTER (ok AND p >= 0.3) AS tp, count(*) FILTER (NOT ok AND p >= 0.3) AS fp, count(*) FILTER (ok AND p < 0.3) AS fn, count(*) FILTER (NOT ok AND p < 0.3) AS tn FROM e GROUP BY 1), m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS a, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS b FROM c) SELECT model, tp, fp, fn, tn, round(a, 6) AS precision, round(b, 6) AS recall, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS accuracy, round(coalesce(2 * a * b / nullif(a + b, 0), 0), 6) AS f1 FROM m"),
     "brier_score": (lambda s, d: rounded(scored(s, d).groupBy("model").agg(M.brier(F.col("ok"), F.col("p")).alias("brier")), "brier"), f"WITH {_SCORED} SELECT model, round(avg(power(p - ok::INT, 2)), 6) AS brier FROM e GROUP BY 1"),
-    "calibration_error": (lambda s, d: rounded(M.calibration_error(scored(s, d), ["model"], "ok", "p", 10), "ece"), f"WITH {_SCORED}, b AS (SELECT model, least(floor(p * 10), 9) AS b, count(*) AS n, avg(ok::INT) AS acc, avg(p) AS conf FROM e GROUP BY 1, 2) SELECT model, round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM b GROUP BY 1"),
+    "calibration_error": (lambda s, d: rounded(M.calibration_error(scored(s, d), ["model"], "ok", "p", 10), "ece"), f"WITH {_SCORED}, b AS (SELECT model, len(list_filter([{', '.join(f'{k * (1.0 / 10)!r}::DOUBLE' for k in range(1, 10))}], lambda x: x <= p)) AS b, count(*) AS n, avg(ok::INT) AS acc, avg(p) AS conf FROM e GROUP BY 1, 2) SELECT model, round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM b GROUP BY 1"),
     "roc_auc": (lambda s, d: rounded(M.roc_auc(scored(s, d), ["model"], "ok", "p"), "roc_auc"), f"WITH {_SCORED}, g AS (SELECT model, p, count(*) FILTER (ok) AS pos, count(*) FILTER (NOT ok) AS neg FROM e GROUP BY 1, 2), c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT model, round(sum(pos * (below + 0.5::DOUBLE * neg)) / (sum(pos) * sum(neg))::DOUBLE, 6) AS roc_auc FROM c GROUP BY 1"),
     "pr_auc": (lambda s, d: rounded(M.pr_auc(scored(s, d), ["model"], "ok", "p"), "pr_auc"), f"WITH {_SCORED}, g AS (SELECT model, p, count(*) FILTER (ok) AS pos, count(*) AS n FROM e GROUP BY 1, 2), c AS (SELECT model, pos, sum(pos) OVER w / (sum(n) OVER w)::DOUBLE AS prec FROM g WINDOW w AS (PARTITION BY model ORDER BY p DESC)) SELECT model, round(sum(pos * prec) / sum(pos)::DOUBLE, 6) AS pr_auc FROM c GROUP BY 1"),
     "best_f1_threshold": (lambda s, d: rounded(M.best_f1_threshold(scored(s, d).withColumn("ok", F.col("ok").cast("int")), ["model"], "ok", "p"), "f1"), f"WITH {_SCORED}, g AS (SELECT unnest([{', '.join(f'{x!r}::DOUBLE' for x in M.GRID19)}]) AS t), c AS (SELECT model, t, coalesce(2 * count(*) FILTER (ok AND p >= t) / nullif(2 * count(*) FILTER (ok AND p >= t) + count(*) FILTER (NOT ok AND p >= t) + count(*) FILTER (ok AND p < t), 0)::DOUBLE, 0) AS f1 FROM e, g GROUP BY 1, 2) SELECT model, arg_max(t, (round(f1, 12), -t)) AS tau, round(max(f1), 6) AS f1 FROM c GROUP BY 1"),
     "mean_ci95": (lambda s, d: rounded(M.mean_ci95(scored(s, d), ["model"], "p"), "mean", "ci95"), f"WITH {_SCORED} SELECT model, round(avg(p), 6) AS mean, round(1.96::DOUBLE * stddev_samp(p) / sqrt(count(p)), 6) AS ci95, count(p) AS n FROM e GROUP BY 1"),
     "mcnemar_chi2": (lambda s, d: rounded(M.mcnemar(scored(s, d), ["model"], F.col("ok"), F.col("p") < 0.4), "chi2", n=4).drop("p_value"), f"WITH {_SCORED}, c AS (SELECT model, count(*) FILTER (ok AND p >= 0.4) AS b, count(*) FILTER (NOT ok AND p < 0.4) AS c FROM e GROUP BY 1) SELECT model, b, c, round(coalesce(power(abs(b - c) - 1.0::DOUBLE, 2) / nullif(b + c, 0), 0), 4) AS chi2 FROM c"),
     "mcnemar_p": (lambda s, d: M.mcnemar(scored(s, d), ["model"], F.col("ok"), F.col("p") < 0.4).select("model", "p_value"), None),
-    "holm_correction": (lambda s, d: rounded(M.holm(t(s, d, "events").select("event_id", "event_type", (F.pmod(F.col("event_id") * 37, F.lit(1000)) / 20000).alias("pv")), ["event_type"], "pv", ["event_id"]).select("event_id", "p_holm"), "p_holm", n=9), "WITH p AS (SELECT event_id, event_type, (event_id * 37 % 1000) / 20000.0::DOUBLE AS pv FROM events WHERE event_id < 400), r AS (SELECT *, pv * (count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY pv, event_id) + 1) AS raw FROM p) SELECT event_id, round(least(1.0, max(raw) OVER (PARTITION BY event_type ORDER BY pv, event_id ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM r"),
+    "holm_correction": (lambda s, d: rounded(M.holm(t(s, d, "events").select("event_id", "event_type", (F.pmod(F.col("event_id") * 37, F.lit(1000)) / 20000).alias("pv")), ["event_type"], "pv", ["event_id"]).select("event_id", "p_holm"), "p_holm", n=9), "WITH p AS (SELECT event_id, event_type, (event_id * 37 % 1000) / 20000.0::DOUBLE AS pv FROM events), r AS (SELECT *, pv * (count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY pv, event_id) + 1) AS raw FROM p) SELECT event_id, round(least(1.0, max(raw) OVER (PARTITION BY event_type ORDER BY pv, event_id ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM r"),
     "guarded_correlation": (lambda s, d: rounded(M.guarded_correlation(scored(s, d), ["model"], "d", "risk"), "r"), f"WITH {_SCORED} SELECT model, round(corr(d, risk), 6) AS r FROM e GROUP BY 1"),
     "common_splits": (lambda s, d: build_splits(t(s, d, "events").select(F.lit("t").alias("task"), F.col("event_type").alias("model"), F.col("user_id").alias("sample")), "task", "model", "sample", "42"), "WITH n AS (SELECT user_id AS sample FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events) ORDER BY 1 LIMIT 250), u AS (SELECT sample, ('0x' || substr(sha256('42:t:' || sample), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM n) SELECT 't' AS task, sample, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'val' ELSE 'test' END AS split FROM u"),
 }

@@ -52,7 +52,7 @@ _SCORES = f"""sc AS (SELECT doc_id,
  {_five("[1.0::DOUBLE, 2.0::DOUBLE, 3.2::DOUBLE, 4.2::DOUBLE][doc_id % 4 + 1] + least(1.0::DOUBLE, (" + _cue(SENSITIVE) + ") / 2.0::DOUBLE) + CASE WHEN doc_id % 7 = 0 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN doc_id % 11 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")} AS "DS",
  CASE WHEN doc_id % 6 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END WHEN doc_id % 6 * 900 <= 300 THEN 5 WHEN doc_id % 6 * 900 <= 800 THEN 4 WHEN doc_id % 6 * 900 <= 2000 THEN 3 WHEN doc_id % 6 * 900 <= 5000 THEN 2 ELSE 1 END AS "LT",
  {_five("CASE WHEN doc_id % 700 >= 500 THEN 5.0::DOUBLE WHEN doc_id % 700 >= 100 THEN 4.0::DOUBLE WHEN doc_id % 700 >= 20 THEN 3.0::DOUBLE WHEN doc_id % 700 >= 5 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END + CASE WHEN doc_id % 9 = 0 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END")} AS "VL"
- FROM (SELECT *, {_TASK} AS task FROM documents WHERE lang = 'en'))"""
+ FROM (SELECT *, {_TASK} AS task FROM documents))"""
 
 
 def economics(s, d):

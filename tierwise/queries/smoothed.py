@@ -60,11 +60,11 @@ _NAMES = f"len(list_filter(range(2, len(w) + 1), lambda i: regexp_matches(w[i],
 _AT = "list_transform(list_filter(range(1, len(w) + 1), lambda i: regexp_replace(lower(w[i]), '^[,;:.]+|[,;:.]+$', '', 'g') IN (" + ", ".join(f"'{b}'" for b in X.BREAKS) + ")), lambda i: greatest(i - 1, len(w) - i))"
 
 QUERIES = {
-    "difficulty_proxies": (proxies, f"WITH x AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS w FROM documents WHERE lang = 'en'), y AS (SELECT *, {_AT} AS brk FROM x) SELECT doc_id, round(0.6::DOUBLE * ({_cues(X.REASONING_CUES)}) + 0.25::DOUBLE * len(regexp_extract_all(lower(text), '{X.CLAUSES}')), 6) AS reasoning, round(least(1.0::DOUBLE, (({_cues(X.KNOWLEDGE_CUES)}) + least(2.0::DOUBLE, {_NAMES} / 3.0::DOUBLE) + least(1.5::DOUBLE, len(regexp_extract_all(text, '\\b(19|20)\\d{{2}}\\b')) / 2.0::DOUBLE)) / 6.0::DOUBLE), 6) AS knowledge, round(CASE WHEN len(w) < 2 THEN 0.0::DOUBLE WHEN len(brk) = 0 THEN greatest(1.0::DOUBLE, len(w) / 8.0::DOUBLE) ELSE list_avg(brk) END, 6) AS distance FROM y"),
+    "difficulty_proxies": (proxies, f"WITH x AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS w FROM documents), y AS (SELECT *, {_AT} AS brk FROM x) SELECT doc_id, round(0.6::DOUBLE * ({_cues(X.REASONING_CUES)}) + 0.25::DOUBLE * len(regexp_extract_all(lower(text), '{X.CLAUSES}')), 6) AS reasoning, round(least(1.0::DOUBLE, (({_cues(X.KNOWLEDGE_CUES)}) + least(2.0::DOUBLE, {_NAMES} / 3.0::DOUBLE) + least(1.5::DOUBLE, len(regexp_extract_all(text, '\\b(19|20)\\d{{2}}\\b')) / 2.0::DOUBLE)) / 6.0::DOUBLE), 6) AS knowledge, round(CASE WHEN len(w) < 2 THEN 0.0::DOUBLE WHEN len(brk) = 0 THEN greatest(1.0::DOUBLE, len(w) / 8.0::DOUBLE) ELSE list_avg(brk) END, 6) AS distance FROM y"),
     "tier_policy": (policy, f"WITH {_RUNS}, m AS (SELECT task, avg(fail) AS fail, avg(f1) AS f1, avg(ece) AS ece FROM r GROUP BY 1), k AS (SELECT *, greatest(0, fail - 0.35::DOUBLE) * 2.2::DOUBLE + greatest(0, 0.7::DOUBLE - f1) * 1.4::DOUBLE + greatest(0, ece - 0.2::DOUBLE) - greatest(0, f1 - 0.85::DOUBLE) * 0.8::DOUBLE - greatest(0, 0.2::DOUBLE - fail) * 0.6::DOUBLE AS delta, CASE task WHEN 'purchase' THEN 2.4::DOUBLE WHEN 'view' THEN 2.5::DOUBLE ELSE 3.2::DOUBLE END AS b1, CASE task WHEN 'purchase' THEN 3.2::DOUBLE WHEN 'view' THEN 3.3::DOUBLE ELSE 4.0::DOUBLE END AS b2 FROM m), n AS (SELECT *, greatest(2.0::DOUBLE, least(4.0::DOUBLE, b1 - delta)) AS t1 FROM k) SELECT task, round_even(t1, 3) AS tau1, round_even(greatest(t1 + 0.4::DOUBLE, least(4.5::DOUBLE, b2 - delta)), 3) AS tau2, round_even(fail, 4) AS fail, round_even(f1, 4) AS f1, round_even(ece, 4) AS ece, round_even(delta, 4) AS delta FROM n"),
     "quadrant_zones": (zones, f"WITH {_SCORED}, g AS (SELECT model, floor(d / 5)::INT AS bin, avg(ok::INT) >= 0.6 AS a, avg(risk) <= 0.15 AS b FROM e GROUP BY 1, 2) SELECT model, bin, CASE WHEN a AND b THEN 'Zone1' WHEN a THEN 'Zone2' WHEN b THEN 'Zone3' ELSE 'Zone4' END AS zone FROM g"),
     "zone_strategies": (strategies, f"WITH {_SCORED}, g AS (SELECT model, avg(d) AS tau FROM e GROUP BY 1) SELECT round(min(tau), 6) AS conservative, round(avg(tau), 6) AS balanced, round(max(tau), 6) AS aggressive FROM g"),
-    "kernel_smoothing": (lambda s, d: rounded(S.kernel_smooth(scored(s, d), ["model"], "d", "ok"), "value"), f"WITH {_SCORED}, f AS (SELECT model, floor(d) AS d, ok::INT AS y FROM e), h AS (SELECT model, count(*) AS c, 1.06::DOUBLE * CASE WHEN stddev_pop(d) > 0 THEN stddev_pop(d) ELSE 1 END * pow(count(*), -0.2::DOUBLE) AS h FROM f GROUP BY 1), g AS (SELECT model, d, count(*) AS n, sum(y) AS s FROM f GROUP BY 1, 2) SELECT a.model, a.d, a.n, round(sum(b.s * exp(-0.5::DOUBLE * pow((a.d - b.d) / h, 2))) / sum(b.n * exp(-0.5::DOUBLE * pow((a.d - b.d) / h, 2))), 6) AS value FROM g a JOIN g b USING (model) JOIN h USING (model) GROUP BY 1, 2, 3"),
+    "kernel_smoothing": (lambda s, d: rounded(S.kernel_smooth(scored(s, d), ["model"], "d", "ok"), "value"), f"WITH {_SCORED}, f AS (SELECT model, d, ok::INT AS y FROM e), h AS (SELECT model, count(*) AS c, 1.06::DOUBLE * CASE WHEN stddev_pop(d) > 0 THEN stddev_pop(d) ELSE 1 END * pow(count(*), -0.2::DOUBLE) AS h FROM f GROUP BY 1), g AS (SELECT model, d, count(*) AS n, sum(y) AS s FROM f GROUP BY 1, 2) SELECT a.model, a.d, a.n, round(sum(b.s * exp(-0.5::DOUBLE * pow((a.d - b.d) / h, 2))) / sum(b.n * exp(-0.5::DOUBLE * pow((a.d - b.d) / h, 2))), 6) AS value FROM g a JOIN g b USING (model) JOIN h USING (model) GROUP BY 1, 2, 3"),
     "nearest_tau": (near_tau, f"WITH {_SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY d, event_id) AS r FROM e), p AS (SELECT a.model, a.d, a.r, b.ok::INT::DOUBLE AS ok, b.risk, row_number() OVER (PARTITION BY a.model, a.r ORDER BY abs(a.d - b.d), abs(a.r - b.r), b.r) AS k FROM o a JOIN o b ON a.model = b.model AND b.r BETWEEN a.r - 15 AND a.r + 15), m AS (SELECT model, d, r, avg(ok) AS cap, avg(risk) AS rk FROM p WHERE k <= 15 GROUP BY 1, 2, 3) SELECT model, max(d) FILTER (round(cap, 9) >= 0.55 AND round(rk, 9) <= 0.2) AS tau FROM m GROUP BY 1"),
     "weighted_tier_accuracy": (tiers, f"WITH {_RUNS}, g AS (SELECT b, CASE WHEN f1 >= 0.6 THEN 'SLM' ELSE 'LLM' END AS tier, avg((f1 + fail) / 2) AS a, count(*) AS n FROM r GROUP BY 1, 2) SELECT b::BIGINT AS b, round(sum(a * n) / sum(n), 6) AS overall_weighted_accuracy FROM g GROUP BY 1"),
     "calibration_summary": (lambda s, d: P.calibration_summary(scored(s, d), "ok", "d"), f"WITH {_SCORED} SELECT count(*) FILTER (ok) AS n_pass, count(*) FILTER (NOT ok) AS n_fail, count(DISTINCT d) AS n_tau, min(d) AS min_tau, max(d) AS max_tau FROM e"),

@@ -80,7 +80,7 @@ QUERIES = {
     "dropna_subset": (lambda s, d: R.drop_missing(_customers(s, d), ["c_nationkey"]).select("c_custkey", "c_nationkey"), f"SELECT c_custkey, c_nationkey FROM {_CUSTOMERS} WHERE c_nationkey IS NOT NULL"),
     "rolling_mean": (rolling, "WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 11 <> 0 THEN value END AS v FROM events) SELECT event_id, round(CASE WHEN count(v) OVER w >= 2 THEN avg(v) OVER w END, 6) AS rolling FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"),
     "rolling_centred": (centred, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT event_id, round(CASE WHEN rn <= 2 THEN (SELECT avg(value) FROM r q WHERE q.user_id = r.user_id AND q.rn <= 5) ELSE avg(value) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 6) AS centred FROM r"),
-    "ewm_mean": (ewm, "WITH RECURSIVE r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id <= 20), e AS (SELECT event_id, user_id, rn, value AS y FROM r WHERE rn = 1 UNION ALL SELECT r.event_id, r.user_id, r.rn, 0.3::DOUBLE * r.value + 0.7::DOUBLE * e.y FROM e JOIN r ON r.user_id = e.user_id AND r.rn = e.rn + 1) SELECT event_id, round(y, 6) AS ewm FROM e"),
+    "ewm_mean": (ewm, "WITH RECURSIVE r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), e AS (SELECT event_id, user_id, rn, value AS y FROM r WHERE rn = 1 UNION ALL SELECT r.event_id, r.user_id, r.rn, 0.3::DOUBLE * r.value + 0.7::DOUBLE * e.y FROM e JOIN r ON r.user_id = e.user_id AND r.rn = e.rn + 1) SELECT event_id, round(y, 6) AS ewm FROM e"),
     "qcut_bins": (bins_qcut, "WITH q AS (SELECT event_type, quantile_cont(value, [0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS c FROM events GROUP BY 1) SELECT event_type, CAST(len(list_filter(c, lambda x: x < value)) AS INT) AS bin, count(*) AS n FROM events JOIN q USING (event_type) GROUP BY 1, 2"),
     "cut_bins": (bins_cut, "WITH b AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1) SELECT event_type, CAST(least(floor((value - lo) / ((hi - lo) / 8.0::DOUBLE)), 7) AS INT) AS bin, count(*) AS n FROM events JOIN b USING (event_type) GROUP BY 1, 2"),
     "percentile_bounds": (percentiles, "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(max(value) FILTER (i = least(floor(0.05::DOUBLE * n), n - 1)), 6) AS p05, round(max(value) FILTER (i = least(floor(0.95::DOUBLE * n), n - 1)), 6) AS p95, round(quantile_cont(value, 0.5::DOUBLE), 6) AS p50, round(quantile_cont(value, 0.99::DOUBLE), 6) AS p99 FROM r GROUP BY 1"),

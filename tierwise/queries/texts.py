@@ -34,6 +34,8 @@ def _clamp(x):
     return f"round(least(greatest({x}, 0.0::DOUBLE), 1.0::DOUBLE), 6)"
 
 
+#: Documents with a word character of ASCII for each other letter, digit and mark, as DuckDB knows word ends of ASCII only.
+_MARKED = r"(SELECT doc_id, regexp_replace(text, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]|[^\x00-\x7F\P{M}]', '_', 'g') AS text, text AS raw FROM documents)"
 _ALNUM = "greatest(1, len(regexp_extract_all(text, '[A-Za-z0-9_]+')))"
 _cues = lambda cs: " + ".join(f"CAST(contains(lower(text), '{c}') AS INT)" for c in cs)
 
@@ -66,21 +68,21 @@ QUERIES = {
     "token_entropy": (entropy, f"SELECT doc_id, round(abs(log2(sum(c)) - sum(c * log2(c)) / sum(c)), 6) AS h FROM (SELECT doc_id, w, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1, 2) GROUP BY 1"),
     "classification_features": (
         block(X.classification_features),
-        f"SELECT doc_id, {_clamp(f'({_n(X.CONTRAST)} + {_n(X.HEDGES)} + greatest(0, {_n(chr(92) + 'bor' + chr(92) + 'b')} - 1)) / 8.0::DOUBLE')} AS classification_ambiguity, {_clamp(f'{_n(X.NEGATION)} / greatest(1.0::DOUBLE, {_ALNUM} / 6.0::DOUBLE)')} AS classification_negation_density, "
+        f"SELECT doc_id, {_clamp(f'({_n(X.CONTRAST)} + {_n(X.HEDGES)} + greatest(0, {_n(chr(92) + 'bor' + chr(92) + 'b')} - 1)) / 8.0::DOUBLE')} AS classification_ambiguity, {_clamp(f'{_n(X.NEGATION)} / greatest(1.0::DOUBLE, {_ALNUM.replace(chr(40) + 'text', chr(40) + 'raw')} / 6.0::DOUBLE)')} AS classification_negation_density, "
         + _clamp("(" + _n(r"\b(19|20)\d{2}\b") + " + 0.7::DOUBLE * " + _n(r"\b[A-Z]{2,}\b") + " + 0.15::DOUBLE * " + _n(r"\b[A-Z][a-z]{2,}\b") + ") / 10.0::DOUBLE")
-        + " AS classification_domain_shift FROM documents WHERE lang = 'en'",
+        + f" AS classification_domain_shift FROM {_MARKED}",
     ),
     "math_features": (
         block(X.math_features),
-        "SELECT doc_id, " + _clamp(_n(r"\b\d+(\.\d+)?\b") + f" / greatest(1.0::DOUBLE, {_ALNUM} / 3.0::DOUBLE)") + " AS math_numeric_density, " + _clamp(_n(r"[\=\+\-\*/\^%<>]|≤|≥|≠|√|∑|∫") + f" / greatest(1.0::DOUBLE, {_ALNUM} / 4.0::DOUBLE)") + f" AS math_symbol_density, {_clamp(f'({_cues(X.PRECISION_CUES)}) / 4.0::DOUBLE')} AS math_precision_cues FROM documents WHERE lang = 'en'",
+        "SELECT doc_id, " + _clamp(_n(r"\b\d+(\.\d+)?\b") + f" / greatest(1.0::DOUBLE, {_ALNUM} / 3.0::DOUBLE)") + " AS math_numeric_density, " + _clamp(_n(r"[\=\+\-\*/\^%<>]|≤|≥|≠|√|∑|∫") + f" / greatest(1.0::DOUBLE, {_ALNUM} / 4.0::DOUBLE)") + f" AS math_symbol_density, {_clamp(f'({_cues(X.PRECISION_CUES)}) / 4.0::DOUBLE')} AS math_precision_cues FROM documents",
     ),
     "instruction_features": (
         block(X.instruction_features),
-        f"SELECT doc_id, {_clamp(f'({_cues(X.FORMAT_CUES)}) / 4.0::DOUBLE')} AS instruction_format_strictness, {_clamp(f'{_n(X.PROHIBITIONS)} / 3.0::DOUBLE')} AS instruction_prohibition_count, {_clamp(f'{_n(X.STEPS)} / greatest(2.0::DOUBLE, {_ALNUM} / 12.0::DOUBLE)')} AS instruction_step_count, {_clamp(f'{_n(X.CONFLICTS)} / 3.0::DOUBLE')} AS instruction_conflict_cues FROM documents WHERE lang = 'en'",
+        f"SELECT doc_id, {_clamp(f'({_cues(X.FORMAT_CUES)}) / 4.0::DOUBLE')} AS instruction_format_strictness, {_clamp(f'{_n(X.PROHIBITIONS)} / 3.0::DOUBLE')} AS instruction_prohibition_count, {_clamp(f'{_n(X.STEPS)} / greatest(2.0::DOUBLE, {_ALNUM} / 12.0::DOUBLE)')} AS instruction_step_count, {_clamp(f'{_n(X.CONFLICTS)} / 3.0::DOUBLE')} AS instruction_conflict_cues FROM documents",
     ),
     "readability": (
         lambda s, d: t(s, d, "documents").select("doc_id", *[F.round(v, 5).alias(k) for k, v in X.readability(_text()).items()]),
-        f"WITH r AS (SELECT doc_id, greatest(1, len({_WORDS.format('text')}))::DOUBLE AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+')))::DOUBLE AS s, len(regexp_extract_all(lower(text), '[aeiou]')) AS y, len(list_filter({_WORDS.format('text')}, lambda x: length(x) > 6)) AS l FROM documents WHERE lang = 'en') SELECT doc_id, round(greatest(0.0::DOUBLE, 0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE), 5) AS flesch_kincaid, round(greatest(0.0::DOUBLE, 0.4::DOUBLE * (w / s + 100.0::DOUBLE * l / w)), 5) AS fog FROM r",
+        f"WITH r AS (SELECT doc_id, greatest(1, len({_WORDS.format('text')}))::DOUBLE AS w, greatest(1, len(regexp_extract_all(text, '[.!?]+')))::DOUBLE AS s, len(regexp_extract_all(lower(text), '[aeiou]')) AS y, len(list_filter({_WORDS.format('text')}, lambda x: length(x) > 6)) AS l FROM documents) SELECT doc_id, round(greatest(0.0::DOUBLE, 0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE), 5) AS flesch_kincaid, round(greatest(0.0::DOUBLE, 0.4::DOUBLE * (w / s + 100.0::DOUBLE * l / w)), 5) AS fog FROM r",
     ),
     "stable_splits": (splits, "SELECT doc_id, u, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(sha256('42:' || doc_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM documents)"),
     "embedding_cosine": (embeddings, "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], c) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(c, c))), 5) AS cos FROM embeddings, (SELECT embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id = 0)"),
