@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, governed, smoothed, tables, texts
+from . import analytics, governed, served, smoothed, tables, texts
 
-_MODULES = (tables, texts, analytics, governed, smoothed)
+_MODULES = (tables, texts, analytics, governed, smoothed, served)
 
 
 def queries():
