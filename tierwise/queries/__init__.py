@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, governed, profiled, served, smoothed, tables, texts
+from . import analytics, governed, lexical, profiled, served, smoothed, tables, texts
 
-_MODULES = (tables, texts, analytics, governed, smoothed, served, profiled)
+_MODULES = (tables, texts, analytics, governed, smoothed, served, profiled, lexical)
 
 
 def queries():
