@@ -9,32 +9,41 @@ from ..functions.nullsafe import one_to_five
 from ..functions.text import cue_count, pattern_count, word_count
 
 DIMENSIONS = ("TC", "OS", "SK", "DS", "LT", "VL")
+# Terms of the scores and weights of the dimensions.
+FORMAT_TERMS = ("json", "yaml", "xml", "csv", "table", "schema", "markdown", "bullet", "list", "columns")
+CONSTRAINT_TERMS = ("must", "should", "exactly", "at least", "at most", "do not", "cannot", "required", "only")
+STAKES_TERMS = ("medical", "health", "diagnosis", "clinical", "legal", "compliance", "financial", "fraud", "safety", "security", "critical")
+SENSITIVE_TERMS = ("ssn", "social security", "passport", "credit card", "bank account", "patient", "hipaa", "phi", "pii", "personal data", "gdpr")
+WEIGHTS = {"TC": 3, "OS": 2, "SK": 4, "DS": 2, "LT": 3, "VL": 1}
+# Patterns of complexity and structure.
+HARD, OPERATORS = r"\b(algorithm|proof|optimi[sz]e|derive|complexity|multi-step)\b", r"[\=\+\-\*/\^%<>]"
+BRACKETS, ORDER = r"[\{\}\[\],:|]", r"\b(first|second|third|step|ordered|sorted)\b"
 #: From the laxest to the strictest.
 TIERS = ("pure_slm", "hybrid", "llm_only", "disqualified")
 
 
-def task_complexity(task: Column, prompt: Column, constraints: tuple[str, ...]) -> Column:
+def task_complexity(task: Column, prompt: Column, constraints: tuple[str, ...] = CONSTRAINT_TERMS) -> Column:
     text = F.trim(F.coalesce(prompt, F.lit("")))
     raw = 1.0 + F.least(F.lit(2.0), word_count(text) / 120.0) + F.least(F.lit(1.0), cue_count(text, constraints) / 4.0)
-    raw += F.least(F.lit(1.0), pattern_count(text, r"\b(algorithm|proof|optimi[sz]e|derive|complexity|multi-step)\b") / 3.0)
-    raw += F.least(F.lit(1.0), pattern_count(text, r"[\=\+\-\*/\^%<>]") / 20.0)
+    raw += F.least(F.lit(1.0), pattern_count(text, HARD) / 3.0)
+    raw += F.least(F.lit(1.0), pattern_count(text, OPERATORS) / 20.0)
     prior = F.when(task.isin("maths", "code_generation", "retrieval_grounded"), 0.4).when(task.isin("classification", "summarization"), -0.2).otherwise(0.0)
     return one_to_five(raw + prior)
 
 
-def output_structure(prompt: Column, expected: Column, formats: tuple[str, ...]) -> Column:
+def output_structure(prompt: Column, expected: Column, formats: tuple[str, ...] = FORMAT_TERMS) -> Column:
     text = F.concat(F.coalesce(prompt, F.lit("")), F.lit(" "), F.coalesce(expected, F.lit("")))
-    raw = 1.0 + F.least(F.lit(2.2), cue_count(text, formats) / 2.0) + F.least(F.lit(1.0), pattern_count(text, r"[\{\}\[\],:|]") / 40.0)
-    return one_to_five(raw + F.least(F.lit(1.0), pattern_count(text, r"\b(first|second|third|step|ordered|sorted)\b") / 3.0))
+    raw = 1.0 + F.least(F.lit(2.2), cue_count(text, formats) / 2.0) + F.least(F.lit(1.0), pattern_count(text, BRACKETS) / 40.0)
+    return one_to_five(raw + F.least(F.lit(1.0), pattern_count(text, ORDER) / 3.0))
 
 
-def stakes(task: Column, prompt: Column, terms: tuple[str, ...], critical: Column, approval: Column) -> Column:
+def stakes(task: Column, prompt: Column, critical: Column, approval: Column, terms: tuple[str, ...] = STAKES_TERMS) -> Column:
     raw = 1.0 + F.least(F.lit(2.0), cue_count(F.coalesce(prompt, F.lit("")), terms) / 2.0)
     raw += F.when(task.isin("maths", "code_generation"), 0.4).otherwise(0.0) + F.when(critical, 1.2).otherwise(0.0)
     return one_to_five(raw + F.when(approval, 0.6).otherwise(0.0))
 
 
-def data_sensitivity(prompt: Column, level: Column, terms: tuple[str, ...], pii: Column, phi: Column) -> Column:
+def data_sensitivity(prompt: Column, level: Column, pii: Column, phi: Column, terms: tuple[str, ...] = SENSITIVE_TERMS) -> Column:
     name = F.lower(F.trim(F.coalesce(level, F.lit("internal"))))
     base = F.when(name == "public", 1.0).when(name == "confidential", 3.2).when(name == "restricted", 4.2).otherwise(2.0)
     raw = base + F.least(F.lit(1.0), cue_count(F.coalesce(prompt, F.lit("")), terms) / 2.0)
@@ -62,14 +71,25 @@ def gate(tc: Column, sk: Column) -> Column:
     return F.when((sk == 5) | ((tc == 5) & (sk >= 4)), "disqualified").when(sk >= 4, "hybrid").otherwise("none")
 
 
-def weighted_score(scores: dict[str, Column], weights: dict[str, int]) -> Column:
-    """5 times the weighted sum over its maximum. Weights: all at least 1, stakes no less than complexity."""
+def valid_weights(weights: dict[str, int]) -> dict[str, int]:
+    """The weights, or an error: all six dimensions, each at least 1, stakes no less than complexity."""
     if set(weights) != set(DIMENSIONS) or min(weights.values()) < 1 or weights["SK"] < weights["TC"]:
         raise ValueError("weights need all six dimensions, each at least 1, and SK >= TC")
-    top = float(sum(weights.values()) * 5)
+    return weights
+
+
+def weighted_score(scores: dict[str, Column], weights: dict[str, int] = WEIGHTS) -> Column:
+    """5 times the weighted sum over its maximum."""
+    top = float(sum(valid_weights(weights).values()) * 5)
     return sum((scores[d].cast("double") * float(weights[d]) for d in DIMENSIONS), F.lit(0.0)) / top * 5.0
 
 
+def overridden(scores: dict[str, Column], overrides: Column) -> dict[str, Column]:
+    """Scores with those that a map of overrides names, clipped to 1 to 5. overrides: map<string,int>, null for none."""
+    given = {d: F.try_element_at(overrides, F.lit(d)) for d in scores}
+    return {d: F.when(given[d].isNull(), c).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), given[d]))) for d, c in scores.items()}
+
+
 def governance_tier(score: Column, gated: Column, tau1: float = 3.2, tau2: float = 4.0) -> Column:
     plain = F.when(score <= tau1, "pure_slm").when(score <= tau2, "hybrid").otherwise("llm_only")
     return F.when(gated == "disqualified", "disqualified").when((gated == "hybrid") & (plain == "pure_slm"), "hybrid").otherwise(plain)

@@ -9,8 +9,7 @@ from ..operators import governance as G
 from ..operators.routing import FAMILIES
 from .tables import t
 
-CONSTRAINTS, FORMATS, STAKES, SENSITIVE = ("must", "only", "exactly", "without"), ("json", "table", "list", "schema"), ("legal", "medical", "license", "security"), ("password", "secret", "email", "phone")
-WEIGHTS = {"TC": 3, "OS": 2, "SK": 5, "DS": 4, "LT": 2, "VL": 1}
+CONSTRAINTS, FORMATS, STAKES, SENSITIVE = G.CONSTRAINT_TERMS, G.FORMAT_TERMS, G.STAKES_TERMS, G.SENSITIVE_TERMS
 
 
 def scores(s, d):
@@ -20,17 +19,17 @@ def scores(s, d):
     text, yes = F.col("text"), lambda n: k % n == 0
     return x.select(
         "doc_id",
-        G.task_complexity(task, text, CONSTRAINTS).alias("TC"),
-        G.output_structure(text, F.lit("json"), FORMATS).alias("OS"),
-        G.stakes(task, text, STAKES, yes(3), yes(5)).alias("SK"),
-        G.data_sensitivity(text, level, SENSITIVE, yes(7), yes(11)).alias("DS"),
+        G.task_complexity(task, text).alias("TC"),
+        G.output_structure(text, F.lit("json")).alias("OS"),
+        G.stakes(task, text, yes(3), yes(5)).alias("SK"),
+        G.data_sensitivity(text, level, yes(7), yes(11)).alias("DS"),
         G.latency_tolerance(F.when(k % 6 != 0, (k % 6) * 900), yes(2)).alias("LT"),
         G.volume_load((k % 700).cast("double"), F.lit(None).cast("long"), yes(9)).alias("VL"),
     )
 
 
 def decisions(s, d):
-    x = scores(s, d).withColumns({"gate": G.gate(F.col("TC"), F.col("SK")), "s3": G.weighted_score({c: F.col(c) for c in G.DIMENSIONS}, WEIGHTS)})
+    x = scores(s, d).withColumns({"gate": G.gate(F.col("TC"), F.col("SK")), "s3": G.weighted_score({c: F.col(c) for c in G.DIMENSIONS})})
     final = G.governance_tier(F.col("s3"), F.col("gate"))
     x = x.withColumn("tier", final)
     route = G.enforce(F.col("tier"), F.element_at(F.array(F.lit("slm"), F.lit("HYBRID_ABSTAIN"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int")), F.col("doc_id") % 2 == 0)
@@ -69,10 +68,14 @@ QUERIES = {
     "governance_scores": (scores, f"WITH {_SCORES} SELECT * FROM sc"),
     "governance_decisions": (
         decisions,
-        f"""WITH {_SCORES}, g AS (SELECT *, CASE WHEN "SK" = 5 OR ("TC" = 5 AND "SK" >= 4) THEN 'disqualified' WHEN "SK" >= 4 THEN 'hybrid' ELSE 'none' END AS gate, (3 * "TC" + 2 * "OS" + 5 * "SK" + 4 * "DS" + 2 * "LT" + "VL") / 85.0::DOUBLE * 5 AS s3 FROM sc),
+        f"""WITH {_SCORES}, g AS (SELECT *, CASE WHEN "SK" = 5 OR ("TC" = 5 AND "SK" >= 4) THEN 'disqualified' WHEN "SK" >= 4 THEN 'hybrid' ELSE 'none' END AS gate, (3 * "TC" + 2 * "OS" + 4 * "SK" + 2 * "DS" + 3 * "LT" + "VL") / 75.0::DOUBLE * 5 AS s3 FROM sc),
         t AS (SELECT *, CASE WHEN gate = 'disqualified' THEN gate WHEN s3 <= 3.2::DOUBLE THEN CASE WHEN gate = 'hybrid' THEN 'hybrid' ELSE 'pure_slm' END WHEN s3 <= 4.0 THEN 'hybrid' ELSE 'llm_only' END AS tier, ['SLM', 'HYBRID_ABSTAIN', 'BASELINE'][doc_id % 3 + 1] AS p FROM g)
         SELECT doc_id, gate, round(s3, 6) AS s3, tier, CASE WHEN tier IN ('disqualified', 'llm_only') THEN 'BASELINE' WHEN tier = 'hybrid' THEN p WHEN p = 'SLM' OR doc_id % 2 = 1 THEN 'SLM' ELSE p END AS route, CASE WHEN gate = 'disqualified' THEN -1.0::DOUBLE ELSE least((doc_id % 10) / 10.0::DOUBLE, 0.5::DOUBLE) END AS tau_route FROM t""",
     ),
+    "score_overrides": (
+        lambda s, d: scores(s, d).select("doc_id", *[c.alias(k) for k, c in G.overridden({c: F.col(c) for c in G.DIMENSIONS}, F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("SK"), F.lit(9), F.lit("VL"), (F.col("doc_id") % 4).cast("int")))).items()]),
+        f'''WITH {_SCORES} SELECT doc_id, "TC", "OS", CASE WHEN doc_id % 3 = 0 THEN 5 ELSE "SK" END AS "SK", "DS", "LT", CASE WHEN doc_id % 3 = 0 THEN CAST(greatest(1, doc_id % 4) AS INT) ELSE "VL" END AS "VL" FROM sc''',
+    ),
     "model_economics": (lambda s, d: economics(s, d).select("m", *[F.round(c, 8).alias(c) for c in ("cost", "ev", "loss")]), f"WITH {_ECON} SELECT m, round(cost, 8) AS cost, round(0.05::DOUBLE * cap - 0.2::DOUBLE * risk - 0.0001::DOUBLE * latency - cost, 8) AS ev, round(0.2::DOUBLE * risk + 0.0001::DOUBLE * latency + cost, 8) AS loss FROM k"),
     "pareto_front": (lambda s, d: E.pareto(economics(s, d), ["event_type"], "cap", "risk", "latency", "cost").select("m"), f"WITH {_ECON} SELECT m FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.event_type = a.event_type AND b.cap >= a.cap AND b.risk <= a.risk AND b.latency <= a.latency AND b.cost <= a.cost AND (b.cap > a.cap OR b.risk < a.risk OR b.latency < a.latency OR b.cost < a.cost))"),
 }
