@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -74,3 +78,56 @@ def markdown_report(rows: DataFrame, title: str) -> str:
     names = rows.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     return "\n".join([*lines, *["| " + " | ".join(str(v) for v in r) + " |" for r in rows.limit(1000).collect()]]) + "\n"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share; a local session that names none gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tierwise-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def records(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
+    """A table from rows: lists as long as the schema or shorter (the rest is null), or dicts (missing fields are null)."""
+    kind = spark.createDataFrame([], schema).schema
+    full = [[r.get(n) for n in kind.names] if isinstance(r, dict) else [*r, *[None] * (len(kind) - len(r))] for r in rows]
+    return spark.createDataFrame(full, kind)
+
+
+def to_records(df: DataFrame) -> Iterator[dict]:
+    """Rows as dicts, a partition at a time on the driver."""
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
+
+
+def with_file(df: DataFrame, root: str, name: str, task: str = "task") -> DataFrame:
+    """Rows of tasks whose folder below root holds a file of this name."""
+    there = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    tasks = there.select(F.element_at(F.split("path", "/"), -2).alias(task)).distinct()
+    return df.join(tasks, task, "left_semi")
+
+
+def audit_history(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each raw result file ``benchmark/run/raw/*.json``: benchmark, path, overall_status, notes; dry runs are partial."""
+    df = spark.read.schema("mode string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root, multiLine=True)
+    path = F.col("_metadata.file_path")
+    parts, dry = F.split(path, "/"), F.coalesce(F.col("mode") == "dry_run", F.lit(False))
+    named = df.select(path.alias("path"), F.element_at(parts, -4).alias("benchmark"), F.element_at(parts, -2).alias("_raw"), dry.alias("_dry")).where("_raw = 'raw'")
+    return named.select("benchmark", "path", F.when(F.col("_dry"), "partial").otherwise("complete").alias("overall_status"), F.when(F.col("_dry"), F.array(F.lit("dry_run detected"))).otherwise(F.array().cast("array<string>")).alias("notes"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON file, for reports of a few rows."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def setup_report(task: str, seed: int | None) -> str:
+    return "\n".join(["# Part A - Benchmark Setup", "", "## Task Definition", f"Task: {task}", f"Seed: {'unknown' if seed is None else seed}"])
+
+
+def use_case_rows(df: DataFrame, text: str, position: str, n: int = 500) -> DataFrame:
+    """The first rows of a use case, in file order, that have a text."""
+    return df.where(F.trim(F.col(text)) != "").orderBy(position).limit(n)
