@@ -238,16 +238,17 @@ def _encoder(vocabulary: str, schema: pa.Schema, kept: int = KEPT):
     def encoded(batches: Iterator[pa.RecordBatch], c: WordCodec) -> Iterator[pa.RecordBatch]:
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            out = {k: [] for k in schema.names}
-            out["doc_id"] = ids_of(b)
-            cut = [units_of(t) for t in texts]
-            c.fill(set().union(*cut), kept)
-            for units in cut:
-                ids, decoded = c.encode(units)
-                row = {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": ids, "decoded": decoded, "ids_sha256": digest(ids), "decoded_sha256": digest(decoded)}
-                for k in schema.names[1:]:
-                    out[k].append(row[k])
-            yield to_batch(out, schema)
+            names, column = ids_of(b), b.column(1)
+            for i in range(0, b.num_rows, 64):
+                out = {k: [] for k in schema.names}
+                out["doc_id"] = names[i : i + 64]
+                cut = [units_of(t or "") for t in column.slice(i, 64).to_pylist()]
+                c.fill(set().union(*cut), kept)
+                for units in cut:
+                    ids, decoded = c.encode(units)
+                    row = {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids": ids, "decoded": decoded, "ids_sha256": digest(ids), "decoded_sha256": digest(decoded)}
+                    for k in schema.names[1:]:
+                        out[k].append(row[k])
+                yield to_batch(out, schema)
 
     return run

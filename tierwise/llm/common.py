@@ -15,18 +15,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: the bytes bind where texts are long, the rows where columns are narrow.
-BATCH_ROWS, BATCH_BYTES = 1 << 16, 1 << 21
+BATCH_ROWS, BATCH_BYTES = 1 << 16, 1 << 20
 
 #: 64-bit words of an id filter: 512 KB at least and 8 MB at most, in between by the number of ids.
 FILTER_WORDS = 1 << 16, 1 << 20
 
 #: Entries after which a worker's word cache starts anew.
-CACHE_LIMIT = 1 << 20
+CACHE_LIMIT = 1 << 17
+
+
+#: Settings of the allocator in Python workers, so that idle ones hold little: Arrow allocates from the system, and large blocks go back to it at once.
+ALLOCATOR = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144"}
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings that the Arrow operators rely on; Python workers find this package where the driver did."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    worker = spark.sparkContext.environment
+    worker.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    for name, value in ALLOCATOR.items():
+        worker.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -164,21 +171,28 @@ class IdFilter:
         return (self.bits[w] >> (np.right_shift(key, 32) & 63)) & 1 == 1
 
 
-def filtered(docs: DataFrame, keep: IdFilter, outside: bool = False) -> DataFrame:
-    """Rows whose id may be in the filter, or with outside those whose id is certainly not. Null ids are outside."""
-    bits = docs.sparkSession.sparkContext.broadcast(keep)
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with the key of their id in the first column, for letting_through()."""
+    return docs.select(IdFilter.key(), *docs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = bits.value
-        for b in batches:
-            at = f.has(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
-            at &= b.column(0).is_valid().to_numpy(zero_copy_only=False)
-            got = b.filter(pa.array(~at if outside else at))
-            if got.num_rows:
-                yield got.select(range(b.num_columns - 1))
 
-    narrow = docs.select("doc_id", *[c for c in docs.columns if c != "doc_id"])
-    return narrow.select("*", IdFilter.key()).mapInArrow(run, narrow.schema)
+def letting_through(batches: Iterator[pa.RecordBatch], keep: IdFilter, outside: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of keyed rows those whose id may be in the filter, or with outside those whose id is certainly not; without the key. Null ids are outside.
+
+    It runs inside an operator's own Arrow function, so that a task needs one Python worker and not one more for the filter.
+    """
+    for b in batches:
+        at = keep.has(b.column(0).to_numpy(zero_copy_only=False))
+        at &= b.column(b.schema.get_field_index("doc_id")).is_valid().to_numpy(zero_copy_only=False)
+        got = b.filter(pa.array(~at if outside else at))
+        if got.num_rows:
+            yield got.select(range(1, b.num_columns))
+
+
+def filtered(docs: DataFrame, keep: IdFilter) -> DataFrame:
+    """Rows whose id may be in the filter, for a join that follows."""
+    shared = docs.sparkSession.sparkContext.broadcast(keep)
+    return keyed(docs).mapInArrow(lambda batches: letting_through(batches, shared.value), docs.schema)
 
 
 def components(edges: DataFrame, stored: Stored, rounds: int = 60) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stored, WordHash, binary_texts, components, filtered, ids_of, mix, prepare, releasing, texts_with_key, to_batch
+from .common import IdFilter, Stored, WordHash, binary_texts, components, filtered, ids_of, keyed, letting_through, mix, prepare, releasing, texts_with_key, to_batch
 
 #: Members and elements of a slice of a large block.
 TILE_DOCS, TILE_ITEMS = 2048, 1_000_000
@@ -42,7 +42,7 @@ CELLS, PARTS = 1 << 20, 64
 #: Groups of an element that are paired at once; posts of an element that a task holds at a time.
 FEW, CHUNK = 16, 1 << 16
 #: Words that a task remembers.
-WORDS = 1 << 18
+WORDS = 1 << 17
 
 _hashes = WordHash()
 
@@ -156,18 +156,17 @@ def _levels(sets: DataFrame) -> np.ndarray:
 def _prefixes(docs: DataFrame, keep: IdFilter, levels: np.ndarray, n: int, threshold: int) -> DataFrame:
     """doc_id, n, gfp (digest of prefix and size), prefix and bitmap of the documents that the filter passes."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("gfp", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared, passed = docs.sparkSession.sparkContext.broadcast(levels), docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in letting_through(batches, passed.value):
             got = [(d, s) for d, t in zip(ids_of(b), binary_texts(b), strict=True) if len(s := shingle_set(t, n))]
             _hashes.trim(WORDS)
             prefixes = [prefix_of(s, shared.value, threshold) for _, s in got]
             digests = [xxhash.xxh3_128_digest(p.tobytes() + len(s).to_bytes(8)) for p, (_, s) in zip(prefixes, got, strict=True)]
             yield to_batch({"doc_id": [d for d, _ in got], "n": [len(s) for _, s in got], "gfp": digests, "prefix": [p.view(np.int64) for p in prefixes], "bits": [parity(s) for _, s in got]}, schema)
 
-    kept = filtered(texts_with_key(docs.where("doc_id is not null")), keep)
-    return kept.mapInArrow(releasing(run, _hashes), "doc_id long, n int, gfp binary, prefix array<long>, bits binary")
+    return keyed(texts_with_key(docs)).mapInArrow(releasing(run, _hashes), "doc_id long, n int, gfp binary, prefix array<long>, bits binary")
 
 
 _POST = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("chunk", pa.int32())])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stored, WordHash, binary_texts, filtered, ids_of, mix, prepare, releasing, texts_with_key, to_batch
+from .common import IdFilter, Stored, WordHash, binary_texts, filtered, ids_of, keyed, letting_through, mix, prepare, releasing, texts_with_key, to_batch
 
 #: Perfect difference covers: (period, positions). Fixed values.
 COVERS = ((31, (1, 5, 11, 24, 25, 27)), (21, (3, 6, 7, 12, 14)), (13, (0, 1, 3, 9)), (7, (1, 2, 4)), (3, (0, 1)), (1, (0,)))
@@ -64,7 +64,7 @@ _SCHEMA = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("g", pa.int32()), ("
 _DDL = "k long, h long, g int, doc_id long, row int, pos int, state byte"
 #: Only other tasks can tell; another document of this task has the hash as well; settled, to be returned.
 ASK, KNOWN, SETTLED = 0, 1, 2
-HELD, OUT_ROWS = 1 << 21, 1 << 16
+HELD, OUT_ROWS = 1 << 18, 1 << 16
 
 
 def groups_of(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,13 +211,15 @@ def _row(text: bytes) -> int:
     return int(np.uint32(xxhash.xxh32_intdigest(text)).view(np.int32))
 
 
-def _cut(docs: DataFrame, window: int, passthrough: list[str]) -> DataFrame:
-    """Applies removals. docs: doc_id, text, starts (row << 32 | pos, as an array of long; null: none), passthrough."""
+def _cut(docs: DataFrame, window: int, passthrough: list[str], keep: IdFilter, outside: bool) -> DataFrame:
+    """Applies removals to the rows inside or outside a filter. docs: doc_id, text, starts (row << 32 | pos, as an array of long; null: none), passthrough."""
     out_schema = docs.select("doc_id", "text", *passthrough).schema
     ddl = f"doc_id long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out_schema.fields if f.name != 'doc_id')}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
+    shared = docs.sparkSession.sparkContext.broadcast(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in letting_through(batches, shared.value, outside):
             texts, n_words, n_removed, sha, spans = [], [], [], [], []
             raw = binary_texts(b)
             for t, starts in zip(raw, arrays_of(b, "starts"), strict=True):
@@ -248,7 +250,7 @@ def _cut(docs: DataFrame, window: int, passthrough: list[str]) -> DataFrame:
             arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", *passthrough, "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return docs.select("doc_id", "text", *passthrough, "starts").mapInArrow(releasing(run, _hashes), ddl)
+    return keyed(docs.select("doc_id", "text", *passthrough, "starts")).mapInArrow(releasing(run, _hashes), ddl)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, passthrough: list[str] | None = None) -> DataFrame:
@@ -277,6 +279,6 @@ def substring_dedup(docs: DataFrame, window: int = 50, passthrough: list[str] |
     none = F.lit(None).cast("array<long>").alias("starts")
     touched = IdFilter(starts.select("doc_id"))
     rows = docs.select("doc_id", "text", *passthrough)
-    clean = _cut(filtered(rows, touched, outside=True).select("*", none), window, passthrough)
-    changed = _cut(filtered(rows, touched).join(starts, "doc_id", "left"), window, passthrough)
+    clean = _cut(rows.select("*", none), window, passthrough, touched, outside=True)
+    changed = _cut(filtered(rows, touched).join(starts, "doc_id", "left"), window, passthrough, touched, outside=False)
     return clean.unionByName(changed)
