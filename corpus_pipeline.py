@@ -1,7 +1,12 @@
 """Corpus pipeline: quality rules, near-duplicate removal, passage dedup, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; run() applies
-them to ``documents``. Every stage but the last returns the columns of documents.
+them to ``documents``. Every stage but the last returns the columns of documents, and an empty table gives
+an empty result.
+
+Null texts count as empty and go in the first stage, as too short. Rows without an id are judged by their text in the
+stages of quality and decontamination and are neither duplicates of anything nor cut. Rows that share an id stand for one document in
+the near-duplicate stage and go together; in the others each is judged by its own text. Of equal documents the smallest id stays.
 """
 
 from __future__ import annotations
@@ -45,9 +50,11 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the benchmark does not contaminate. Rows are told apart by id and text, so each is judged by its own."""
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    judged = decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(bad, "_row", "left_anti").select(*COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +70,7 @@ STAGES = [
     ("tokens", tokens_stage),
 ]
 
-#: Similarity classes and byte-pair encoding are beyond SQL; tests/llm holds run() against brute force.
+#: Similarity classes and byte-pair encoding are beyond SQL; tests/llm/test_pipeline.py holds run() against a plain version of all stages.
 ORACLE_SQL = None
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nullsafe import clamp01
+from .nullsafe import clamp01, num
 
 # Cue lists and patterns.
 CONTRAST = r"\b(but|however|although|though|yet|whereas|despite)\b"
@@ -119,10 +119,10 @@ def readability(text: Column) -> dict[str, Column]:
     return {"flesch_kincaid": F.greatest(F.lit(0.0), 0.39 * w / s + 11.8 * syllables / w - 15.59), "fog": F.greatest(F.lit(0.0), 0.4 * (w / s + 100.0 * long_words / w))}
 
 
-def overlap(query: Column, context: Column) -> Column:
-    """Share of the query's distinct words that the context holds."""
+def overlap(query: Column, context: Column, over: str = "query") -> Column:
+    """Share of the distinct words of the query, or of the context, that the other side holds."""
     q, c = F.array_distinct(tokens(F.lower(query))), F.array_distinct(tokens(F.lower(context)))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, c)).cast("double"), F.size(q).cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, c)).cast("double"), F.size(q if over == "query" else c).cast("double")), F.lit(0.0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -189,3 +189,125 @@ def clause_distance(text: Column) -> Column:
 
     # Bound once by the outer transform: an expression named inside a lambda would be computed again for every word.
     return F.element_at(F.transform(F.array(F.struct(words.alias("w"), F.size(words).alias("n"))), distance), 1)
+
+
+def first_of(*candidates: Column) -> Column:
+    """The first candidate that is there."""
+    return F.coalesce(*candidates)
+
+
+def reasoning_steps(text: Column, lists: tuple[Column, ...] = (), numbers: tuple[Column, ...] = (), default: float = 0.0) -> Column:
+    """Annotated steps (the length of a list, else a number, at least 0), else what the text tells."""
+    sizes = [F.when(c.isNotNull(), F.size(c).cast("double")) for c in lists]
+    given = [F.when(num(c).isNotNull(), F.greatest(F.lit(0.0), num(c))) for c in numbers]
+    return first_of(*sizes, *given, reasoning_proxy(text, default))
+
+
+def parametric_dependence(text: Column, with_context: Column, without: Column, given: Column) -> Column:
+    """What retrieval gains over the model alone, else a given value over 0, else what the text tells."""
+    gain = num(with_context) - num(without)
+    return first_of(F.when(gain.isNotNull(), F.greatest(F.lit(0.0), gain)), F.when(num(given) > 0, num(given)), knowledge_dependence(text))
+
+
+def dependency_distance(text: Column, arcs: Column) -> Column:
+    """Mean distance of annotated arcs (array of structs head, dep), else the clause proxy of the text."""
+    spans = F.transform(arcs, lambda a: F.abs(a["head"] - a["dep"]).cast("double"))
+    mean = F.when(F.size(spans) > 0, F.try_divide(F.aggregate(spans, F.lit(0.0), lambda s, x: s + x), F.size(spans)))
+    return first_of(mean, clause_distance(text))
+
+
+def feature_text(task: Column, text: Column, context: Column) -> Column:
+    """The text, with its context where a retrieval task has one."""
+    return F.when((F.lower(F.trim(task)) == "retrieval_grounded") & (F.coalesce(context, F.lit("")) != ""), F.concat(text, F.lit(" "), context)).otherwise(text)
+
+
+def interactions(reasoning: Column, constraints: Column, length: Column, entropy: Column, knowledge: Column) -> dict[str, Column]:
+    """Products of features that are only high when both are."""
+    return {"reasoning_x_constraint": reasoning * constraints, "length_x_entropy": length * entropy, "knowledge_x_reasoning": knowledge * reasoning}
+
+
+def text_entropy(text: Column) -> Column:
+    """Bits a word of the words of one text, as an expression; 0 without words."""
+    words = tokens(F.lower(F.coalesce(text, F.lit(""))))
+
+    def bits(ws: Column) -> Column:
+        n = F.size(ws).cast("double")
+        # Sorted, equal words stand together: the sum over runs of c * log2(c) needs one pass.
+        zero = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
+        run = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+        step = lambda a, w: F.when((a["w"] == w) & (a["c"] > 0), F.struct(w.alias("w"), (a["c"] + 1).alias("c"), a["s"].alias("s"))).otherwise(F.struct(w.alias("w"), F.lit(1.0).alias("c"), (a["s"] + run(a["c"])).alias("s")))
+        total = F.aggregate(ws, zero, step, lambda a: a["s"] + run(a["c"]))
+        return F.when(n > 0, F.abs(F.log2(n) - total / n)).otherwise(0.0)
+
+    return F.element_at(F.transform(F.array(F.array_sort(words)), bits), 1)
+
+
+# Words whose share among themselves is the feature of a family.
+FAMILY_CUES = {
+    "classification": ("sentiment_lexicon_score", ("good", "bad", "positive", "negative", "best", "worst")),
+    "code_generation": ("code_keyword_density", ("function", "code", "python", "javascript", "java", "write", "implement")),
+    "maths": ("math_symbol_density", ("x", "=", "+", "-", "*", "/", "^", "solve")),
+    "retrieval_grounded": ("retrieval_marker_count", ("based", "document", "according", "provided", "from")),
+    "instruction_following": ("instruction_marker_count", ("follow", "step", "format", "output", "require")),
+    "information_extraction": ("extraction_marker_count", ("extract", "find", "identify", "entity", "name")),
+    "text_generation": ("generation_marker_count", ("write", "create", "compose", "story", "creative")),
+}
+
+
+def simple_features(task: Column, text: Column) -> dict[str, Column]:
+    """Counts of a query, and one cue ratio of its family; null for other families."""
+    x, words = F.coalesce(text, F.lit("")), tokens(F.coalesce(text, F.lit("")))
+    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+    out = {
+        "token_count": F.size(words).cast("double"),
+        "char_count": F.length(x).cast("double"),
+        "avg_token_length": letters / F.greatest(F.lit(1), F.size(words)),
+        "punctuation_count": (F.length(x) - F.length(F.translate(x, ".,!?;:", ""))).cast("double"),
+        "question_mark": F.contains(x, F.lit("?")).cast("double"),
+        "uppercase_ratio": F.length(F.regexp_replace(x, r"[^\p{Lu}]", "")) / F.greatest(F.lit(1), F.length(x)),
+    }
+    for family, (name, cues) in FAMILY_CUES.items():
+        out[name] = F.when(task == family, cue_count(x, cues) / float(len(cues)))
+    return out | {"length_indicator": F.when(task == "summarization", F.least(F.lit(1.0), F.size(words) / 100.0))}
+
+
+# Negations and sentiment of the use-case features.
+USE_CASE_NEGATION = r"\b(not|no|never|neither|nobody|nothing|nowhere|n't|cannot|can't|won't|wouldn't|shouldn't|couldn't)\b"
+POSITIVE, NEGATIVE = ("good", "great", "excellent", "amazing", "love", "positive", "best", "happy"), ("bad", "terrible", "awful", "hate", "negative", "worst", "sad", "angry")
+
+
+def use_case_features(text: Column) -> dict[str, Column]:
+    """Features of a use case's text that need no tagger; all 0 for texts under five characters."""
+    x = F.trim(F.coalesce(text, F.lit("")))
+    found = F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]"), F.lit(0))
+    words = F.filter(found, lambda w: w.rlike(r"^[\p{L}\p{M}]+$"))
+    n = F.greatest(F.lit(1), F.size(words))
+    hits = lambda ws: F.size(F.filter(words, lambda w: w.isin(*ws)))
+    read = readability(x)
+    out = {
+        "token_count": F.size(found).cast("double"),
+        "type_token_ratio": F.coalesce(F.try_divide(F.size(F.array_distinct(found)).cast("double"), F.size(found).cast("double")), F.lit(0.0)),
+        "avg_word_length": F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n,
+        "sentence_count": F.regexp_count(x, F.lit(r"[^.!?]+[.!?]*")).cast("double"),
+        "flesch_kincaid_grade": read["flesch_kincaid"],
+        "gunning_fog": read["fog"],
+        "negation_count": F.regexp_count(x, F.lit(f"(?U){USE_CASE_NEGATION}")).cast("double"),
+        "sentiment_lexicon_score": (hits(POSITIVE) - hits(NEGATIVE)) / n,
+    }
+    return {k: F.when(F.length(x) >= 5, v).otherwise(0.0) for k, v in out.items()}
+
+
+def all_features(task: Column, text: Column, context: Column) -> dict[str, Column]:
+    """Everything that one text tells of its difficulty, by the names of the annotation."""
+    x = feature_text(task, text, context)
+    n, h, r, g, k = token_count(x).cast("double"), text_entropy(x), reasoning_proxy(text), constraint_count(text), knowledge_dependence(text)
+    base = {"n_in": n, "entropy": h, "reasoning_proxy": r, "constraint_count": g, "parametric_dependence": k, "dependency_distance": clause_distance(text)}
+    return base | interactions(r, g, n, h, k)
+
+
+def annotate(df: DataFrame, task: str, text: str, context: str) -> DataFrame:
+    """Adds difficulty_dim, difficulty_score (the task's dominant dimension) and the features as difficulty_feature_*."""
+    made = df.withColumns({f"difficulty_feature_{n}": c for n, c in all_features(F.col(task), F.col(text), F.col(context)).items()})
+    dim, of = dominant_dimension(F.col(task)), lambda n: F.col(f"difficulty_feature_{n}")
+    score = F.when(dim == "H", of("entropy")).when(dim == "|Gamma|", of("constraint_count")).when(dim == "R_hat", of("reasoning_proxy")).otherwise(of("n_in"))
+    return made.withColumns({"difficulty_dim": dim, "difficulty_score": score})

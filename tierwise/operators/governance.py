@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nullsafe import one_to_five
@@ -124,3 +124,25 @@ def policy_override(final: Column, requested: Column, reason: Column) -> dict[st
     changed = F.coalesce(applied != now, F.lit(False))
     told = F.concat(F.coalesce(reason, F.lit("Gate pass")), F.lit(" | Policy Tier Override: "), now, F.lit(" -> "), applied)
     return {"tier": F.when(changed, applied).otherwise(final), "policy_tier_requested": asked, "policy_tier_applied": applied, "gate_reason": F.when(changed, told).otherwise(reason)}
+
+
+def decide(df: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame:
+    """Scores, gate, weighted score, tier, route limit and reason of each row.
+
+    df: task, prompt, expected_format, data_classification, business_critical, requires_human_approval, contains_pii, contains_phi, target_p99_ms, real_time, qps,
+    daily_requests, bursty, overrides (map<string,int>), tau_cap, tau_risk, tau1, tau2. Two projections, so no score is computed twice.
+    """
+    flag = lambda n: F.coalesce(F.col(n), F.lit(False))
+    scores = {
+        "TC": task_complexity(F.col("task"), F.col("prompt")),
+        "OS": output_structure(F.col("prompt"), F.col("expected_format")),
+        "SK": stakes(F.col("task"), F.col("prompt"), flag("business_critical"), flag("requires_human_approval")),
+        "DS": data_sensitivity(F.col("prompt"), F.col("data_classification"), flag("contains_pii"), flag("contains_phi")),
+        "LT": latency_tolerance(F.col("target_p99_ms"), flag("real_time")),
+        "VL": volume_load(F.col("qps"), F.col("daily_requests"), flag("bursty")),
+    }
+    out = df.withColumns(overridden(scores, F.col("overrides")))
+    out = out.withColumns({"gate": gate(F.col("TC"), F.col("SK")), "s3_score": weighted_score({d: F.col(d) for d in DIMENSIONS}, weights)})
+    formula = F.when(F.col("s3_score") <= F.col("tau1"), "pure_slm").when(F.col("s3_score") <= F.col("tau2"), "hybrid").otherwise("llm_only")
+    final = F.when(F.col("gate") == "disqualified", "disqualified").when((F.col("gate") == "hybrid") & (formula == "pure_slm"), "hybrid").otherwise(formula)
+    return out.withColumns({"formula_tier": formula, "tier": final, "tau_route": route_limit(F.col("gate"), F.col("tau_risk"), F.col("tau_cap"))})

@@ -97,7 +97,12 @@ def holm(df: DataFrame, family: list[str], p: str, order_by: list[str]) -> DataF
     return df.withColumn("_raw", raw).withColumn("p_holm", F.least(run, F.lit(1.0))).drop("_raw")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson r as an aggregate; 0 where a side hardly varies, which the built-in one divides by."""
+    flat = (F.stddev_pop(x) < 1e-9) | (F.stddev_pop(y) < 1e-9)
+    return F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def guarded_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Pearson r; 0 where a side hardly varies."""
-    flat = (F.stddev_pop(x) < 1e-9) | (F.stddev_pop(y) < 1e-9)
-    return df.groupBy(*by).agg(F.when(flat, 0.0).otherwise(F.corr(x, y)).alias("r"))
+    return df.groupBy(*by).agg(correlation(F.col(x), F.col(y)).alias("r"))

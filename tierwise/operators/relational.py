@@ -5,12 +5,13 @@ Order-sensitive operators take ``order_by``; nothing depends on the order of par
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nullsafe import mean0, present, sum0, true
+from ..functions.nullsafe import mean0, notna, num, present, sum0, true
 
 
 def select(df: DataFrame, names: list[str]) -> DataFrame:
@@ -91,13 +92,15 @@ def centred_mean(value: Column, by: list[str], order_by: list[Column | str], win
     """Centred mean; the left edge keeps a window of full width, the right edge shrinks."""
     half, v = window // 2, present(value)
     base = Window.partitionBy(*by).orderBy(*order_by)
-    inner = base.rowsBetween(-half, window - 1 - half)
-    rn = F.row_number().over(base)
-    whole = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = F.slice(F.collect_list(F.struct(v.alias("v"))).over(whole), 1, window)
-    numbers = F.filter(F.transform(head, lambda s: s["v"]), lambda x: x.isNotNull())
-    first = F.when(F.size(numbers) >= min_periods, F.try_divide(F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x), F.size(numbers).cast("double")))
-    return F.when(rn <= half, first).otherwise(F.when(F.count(v).over(inner) >= min_periods, F.avg(v).over(inner)))
+
+    def mean(frame) -> Column:
+        return F.when(F.count(v).over(frame) >= min_periods, F.avg(v).over(frame))
+
+    rn, out = F.row_number().over(base), mean(base.rowsBetween(-half, window - 1 - half))
+    # The k-th row of the left edge sees the first ``window`` rows too: frames of a fixed size, whatever the group's.
+    for k in range(1, half + 1):
+        out = F.when(rn == k, mean(base.rowsBetween(1 - k, window - k))).otherwise(out)
+    return out
 
 
 def ewm_mean(df: DataFrame, by: list[str], order_by: list[str], value: str, alpha: float, out: str = "ewm") -> DataFrame:
@@ -150,3 +153,58 @@ def nearest_rank_bounds(df: DataFrame, by: list[str], value: str) -> DataFrame:
     at = lambda p: F.max(F.when(F.col("_i") == F.least((F.lit(p) * F.col("_n")).cast("int"), F.col("_n") - 1), F.col(value)))
     out = ranked.groupBy(*by).agg(at(0.05).alias("p05"), at(0.95).alias("p95"))
     return out.withColumn("p95", F.when(F.col("p95") <= F.col("p05"), F.col("p05") + 1.0).otherwise(F.col("p95")))
+
+
+def assign(df: DataFrame, name: str, value, position: str | None = None) -> DataFrame:
+    """A new column: one value for all rows, an expression, or a short list by the row's position (0, 1, ...), null beyond it."""
+    if isinstance(value, (list, tuple)):
+        return df.withColumn(name, F.get(F.array(*[F.lit(v) for v in value]), F.col(position).cast("int")))
+    return df.withColumn(name, value if isinstance(value, Column) else F.lit(value))
+
+
+def get(df: DataFrame, name: str, default=None) -> Column:
+    """A column, or the default where the table has none of this name."""
+    return F.col(name) if name in df.columns else F.lit(default)
+
+
+def fill_missing(df: DataFrame, column: str, value) -> DataFrame:
+    """Null and NaN replaced."""
+    return df.withColumn(column, F.when(notna(F.col(column)), F.col(column)).otherwise(F.lit(value)))
+
+
+def as_type(c: Column, name: str) -> Column:
+    """As Int64 or int, bool (missing: false) or float; what is no number is null, other names change nothing."""
+    if name in ("Int64", "int"):
+        return num(c).cast("long")
+    if name == "bool":
+        return true(c)
+    return num(c) if name == "float" else c
+
+
+def row_apply(df: DataFrame, each: Callable[[dict], dict], schema: str) -> DataFrame:
+    """A Python function of each row, by Arrow batches; for what no expression can say."""
+    import pyarrow as pa
+
+    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+
+    def run(batches):
+        for b in batches:
+            rows = [each(r) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in names})
+
+    return df.mapInArrow(run, schema)
+
+
+def row_at(df: DataFrame, position: str, i: int) -> DataFrame:
+    """The row at a position from 0 in the order of ``position``; negative ones count from the end."""
+    key = F.col(position) if i >= 0 else F.col(position).desc()
+    return df.orderBy(key).offset(i if i >= 0 else -i - 1).limit(1)
+
+
+def difficulty_bins(df: DataFrame, score: str, by: list[str], n_bins: int = 5, method: str = "quantile", out: str = "difficulty_bin") -> DataFrame:
+    """Bins by quantiles or of equal width; without a single score all bins are null. A missing column or an unknown method is an error."""
+    if score not in df.columns:
+        raise ValueError(f"missing score column: {score}")
+    if method not in ("quantile", "uniform"):
+        raise ValueError("method must be 'quantile' or 'uniform'")
+    return (qcut if method == "quantile" else cut)(df, score, n_bins, by, out)

@@ -63,6 +63,15 @@ def recommend_scores(runs: DataFrame, scores: DataFrame) -> DataFrame:
     return t.select("task", level.alias("SK"), level.alias("TC")).where("SK is not null")
 
 
+def recalibrated_policy(tests: DataFrame, runs: DataFrame, scores: DataFrame, base: dict[str, tuple[float, float]]) -> DataFrame:
+    """New tier limits and scores by task, from test reports and validation runs: (task, tau1, tau2, SK, TC), null where nothing is recommended.
+
+    tests: task, positive_rate, f1, ece; runs: task, tau_cap, tau_risk; scores: task, s3.
+    """
+    limits = recommend_tiers(tests, "task", "positive_rate", "f1", "ece", base).select("task", "tau1", "tau2")
+    return limits.join(recommend_scores(runs, scores), "task", "full_outer")
+
+
 def sanitise_features(train: DataFrame, features: list[str], variance: float = 1e-12, correlation: float = 0.95) -> dict[str, list[str]]:
     """Features to keep and to drop, judged on the training rows: any null, low variance, high correlation with one kept before.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +51,8 @@ def greatest_feasible(df: DataFrame, by: list[str], x: str, cap: str, risk: str,
 def bootstrap_mean(df: DataFrame, by: list[str], y: str, key: str, draws: int = 400, alpha: float = 0.1, seed: int = 42) -> DataFrame:
     """Percentile interval of a mean: (by, lo, hi).
 
-    Each row counts Poisson(1) times in each draw, so a draw needs no index of all rows: partial sums of ``draws``
-    numbers by task, then one row by group. Counts follow from the row's key, the draw and the seed. Null values are left out.
+    Each row counts Poisson(1) times in each draw, so a draw needs no index of all rows: one pass of Arrow batches gives partial sums of ``draws``
+    numbers by task and group, then one row by group. Counts follow from the row's key, the draw and the seed. Null values are left out.
     """
     probs, total = [], 0.0
     p = 0.36787944117144233
@@ -56,11 +60,35 @@ def bootstrap_mean(df: DataFrame, by: list[str], y: str, key: str, draws: int =
         total += p
         probs.append(total)
         p /= i
-    keyed = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(key).alias("_i")).where("_y is not null")
-    each = keyed.select(*by, "_y", "_i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_b"))
-    u = F.pmod(F.xxhash64("_i", "_b", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    times = sum(((u >= q).cast("int") for q in probs), F.lit(0))
-    sums = each.groupBy(*by, "_b").agg((F.sum(times * F.col("_y")) / F.nullif(F.sum(times), F.lit(0))).alias("_m"))
+    keyed = df.select(*by, F.col(y).cast("double").alias("_y"), F.xxhash64(F.col(key), F.lit(seed)).alias("_i")).where("_y is not null")
+    kinds = ", ".join(f"`{k}` {keyed.schema[k].dataType.simpleString()}" for k in by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Two numbers a draw for each group of a task, however many rows it has.
+        held: dict[tuple, np.ndarray] = {}
+        marks = np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            names = list(zip(*[b.column(i).to_pylist() for i in range(len(by))], strict=True)) if by else [()] * b.num_rows
+            group: dict[tuple, list[int]] = {}
+            for at, name in enumerate(names):
+                group.setdefault(name, []).append(at)
+            ys, ids = b.column(len(by)).to_numpy(), b.column(len(by) + 1).to_numpy().view(np.uint64)
+            for name, at in group.items():
+                total = held.setdefault(name, np.zeros((2, draws)))
+                for i in range(0, len(at), 1024):
+                    rows = at[i : i + 1024]
+                    h = ids[rows][:, None] ^ marks[None, :]
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                    u = (h ^ (h >> np.uint64(31))) / 2.0**64
+                    times = np.searchsorted(probs, u, "right").astype(np.float64)
+                    total[0] += times.T @ ys[rows]
+                    total[1] += times.sum(axis=0)
+        for name, total in held.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([v] * draws) for v in name], pa.array(range(draws), pa.int32()), pa.array(total[0]), pa.array(total[1])], [*by, "_b", "_s", "_n"])
+
+    part = keyed.mapInArrow(run, f"{kinds}{', ' if by else ''}_b int, _s double, _n double")
+    sums = part.groupBy(*by, "_b").agg((F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0.0))).alias("_m"))
     return sums.groupBy(*by).agg(F.percentile("_m", F.lit(alpha / 2)).alias("lo"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("hi"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_name, stable_unit
+from .profiles import first_clean
 from .relational import common_ids
 
 
@@ -19,3 +20,67 @@ def build_splits(df: DataFrame, task: str, model: str, sample: str, seed: str, c
 
 def label_counts(df: DataFrame, by: list[str], failed: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count_if(~F.col(failed)).alias("fail_0"), F.count_if(F.col(failed)).alias("fail_1"))
+
+
+def repair_train(assigned: DataFrame, passes: int = 3) -> DataFrame:
+    """Moves single ids so that every model of a task has both labels in its training rows, where it has both at all.
+
+    assigned: task, sample, split, model, model_order, failed; a few hundred ids a task, which one task of an applyInPandas holds. Each
+    pass visits the models in order; the first id outside of train with the missing label goes in, the last of train with the other one goes to val.
+    """
+    import pandas as pd
+
+    def fix(g: pd.DataFrame) -> pd.DataFrame:
+        labels = {m: dict(zip(x["sample"], x["failed"].astype(bool))) for m, x in g.sort_values("model_order").groupby("model", sort=False)}
+        split = dict(zip(g["sample"], g["split"]))
+        ids = sorted(split)
+        for _ in range(passes):
+            before = dict(split)
+            for rows in labels.values():
+                inside = [i for i in ids if split[i] == "train"]
+                kinds, every = {rows[i] for i in inside if i in rows}, set(rows.values())
+                if len(kinds) != 1 or len(every) < 2:
+                    continue
+                wanted = (every - kinds).pop()
+                enter = next((i for i in ids if split[i] != "train" and rows.get(i) == wanted), None)
+                leave = next((i for i in reversed(inside) if rows.get(i, wanted) != wanted), None)
+                if enter is not None and leave is not None:
+                    split[enter], split[leave] = "train", "val"
+            if split == before:
+                break
+        return pd.DataFrame({"task": g["task"].iloc[0], "sample": ids, "split": [split[i] for i in ids]})
+
+    kind = assigned.schema["sample"].dataType.simpleString()
+    return assigned.groupBy("task").applyInPandas(fix, f"task string, sample {kind}, split string")
+
+
+def build_clean_splits(rows: DataFrame, ranks: dict[str, int], seed: str = "42", cap: int | None = 250) -> tuple[DataFrame, DataFrame]:
+    """Splits of a task's common ids and their label counts by model and split.
+
+    rows: task, model, canonical_id, file, line, failed. The first row of an id counts, by the rank of its file; ids that all models
+    have are split by a stable hash and repaired, so that training rows hold both labels where there are both.
+    """
+    first = first_clean(rows, ranks)
+    order = F.dense_rank().over(Window.partitionBy("task").orderBy("model"))
+    split = build_splits(first, "task", "model", "canonical_id", seed, cap)
+    labelled = first.join(split, ["task", "canonical_id"]).select("task", F.col("canonical_id").alias("sample"), "split", "model", order.alias("model_order"), "failed")
+    repaired = repair_train(labelled)
+    counts = label_counts(labelled.drop("split").join(repaired, ["task", "sample"]), ["task", "model", "split"], "failed")
+    return repaired, counts
+
+
+# Name parts that select the features of an ablation; None keeps all but those named.
+ABLATIONS = {
+    "all_features": ("",),
+    "no_embedding": None,
+    "lexical_surface": ("token", "ratio", "density", "reading", "grade", "fog", "smog"),
+    "retrieval_context": ("context", "query", "bm25", "compression", "embedding"),
+    "syntax_entities": ("noun", "verb", "adj", "dep_tree", "entity", "imperative"),
+}
+
+
+def ablated(features: list[str], name: str) -> list[str]:
+    """Features of an ablation; all of them where none is left."""
+    parts = ABLATIONS[name]
+    kept = [f for f in features if (f != "embedding_query_context_cosine" if parts is None else any(p in f for p in parts))]
+    return kept or list(features)

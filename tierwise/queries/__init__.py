@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, governed, ingested, lexical, profiled, served, smoothed, tables, texts
+from . import analytics, extras, governed, ingested, lexical, profiled, served, smoothed, tables, texts
 
-_MODULES = (tables, texts, analytics, governed, smoothed, served, profiled, lexical, ingested)
+_MODULES = (tables, texts, analytics, governed, smoothed, served, profiled, lexical, ingested, extras)
 
 
 def queries():

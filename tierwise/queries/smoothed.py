@@ -69,6 +69,6 @@ QUERIES = {
     "weighted_tier_accuracy": (tiers, f"WITH {_RUNS}, g AS (SELECT b, CASE WHEN f1 >= 0.6 THEN 'SLM' ELSE 'LLM' END AS tier, avg((f1 + fail) / 2) AS a, count(*) AS n FROM r GROUP BY 1, 2) SELECT b::BIGINT AS b, round(sum(a * n) / sum(n), 6) AS overall_weighted_accuracy FROM g GROUP BY 1"),
     "calibration_summary": (lambda s, d: P.calibration_summary(scored(s, d), "ok", "d"), f"WITH {_SCORED} SELECT count(*) FILTER (ok) AS n_pass, count(*) FILTER (NOT ok) AS n_fail, count(DISTINCT d) AS n_tau, min(d) AS min_tau, max(d) AS max_tau FROM e"),
     "sweep_best": (lambda s, d: P.sweep_best(runs(s, d).select("b", F.round("f1", 9).alias("f1")), "f1", ["b"]).select("b", F.round("f1", 6).alias("f1")), f"WITH {_RUNS} SELECT b::BIGINT AS b, round(f1, 6) AS f1 FROM r ORDER BY round(r.f1, 9) DESC, r.b LIMIT 1"),
-    "bootstrap_interval": (lambda s, d: S.bootstrap_mean(scored(s, d), ["model"], "p", "event_id", draws=100), None),
+    "bootstrap_interval": (lambda s, d: S.bootstrap_mean(scored(s, d), ["model"], "p", "event_id"), None),
     "sanitised_features": (sanitised, None),
 }

@@ -120,7 +120,7 @@ def audit_history(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON file, for reports of a few rows."""
+    """One file of JSON lines, for reports of a few rows."""
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
