@@ -188,16 +188,3 @@ def test_url_filter(spark):
     assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow") and got[1][2:] == (None, "allow") and got[2][2:] == ("net/", "block")
     assert got[3] == ("sub.org", "/fr/", "org/fr/", "allow") and [got[i][3] for i in (4, 5, 6, 7)] == ["block", "allow", "block", "allow"]
     assert got[8] == ("", "", None, "allow") and got[9] == ("", "", None, "allow") and got[10][2:] == ("example.com/de/", "block")
-
-
-def test_pipeline_keeps_clean_documents(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    first = {r["doc_id"] for r in entry.queries()["op7_quality_rules"](spark, sf).where("kept").collect()}
-    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
-    comps = brute_components([(r["doc_id"], r["text"]) for r in entry.table(spark, sf, "documents").collect() if r["doc_id"] in first], 5, 80)
-    dirty = {r["doc_id"] for r in entry.queries()["op10_decontamination"](spark, sf).where("contaminated").collect()}
-    kept = {i for i in first if comps[i][1] == i}
-    assert set(out) <= kept and len(kept - set(out) - dirty) <= 0.1 * len(kept)
-    assert all(r["n_tokens"] > 0 for r in out.values())

@@ -14,7 +14,16 @@ def test_target_beyond_ten_thousand_labels(spark):
     labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     got = log_ratios(docs, labels.unionByName(labels.limit(5))).first()["ratios"]
     # One word and one shape in all texts, so two buckets, the least ratio: n + 1 good rows (an id stands twice) of n + 3.
-    assert min(got) == pytest.approx(1e6 * math.log((n + 2) / (2 * (n + 1) + BUCKETS) / ((n + 4) / (2 * (n + 3) + BUCKETS))), abs=1)
+    assert min(got) == pytest.approx(1e6 * math.log((n + 2) / ((n + 3) * (n + 1) / (n + 3) + 1)), abs=1)
+    assert max(got) == 0 and sum(g != 0 for g in got) <= 2
+
+
+def test_no_labels_no_verdict(spark):
+    from tierwise.llm.quality_rules import quality_rules
+
+    docs = spark.createDataFrame([(i, "plain words that stand here often enough to be counted well") for i in range(50)], "doc_id long, text string")
+    got = quality_rules(docs, spark.createDataFrame([(None, 1), (3, 0)], "doc_id long, quality int")).collect()
+    assert all(r["kept"] and r["llr"] == 0 for r in got)
 
 
 def brute_rules(rows, good):
@@ -42,7 +51,9 @@ def brute_rules(rows, good):
         for g in grams(t or ""):
             raw[g] += 1
             target[g] += i in good
-    ratios = [round(1e6 * math.log((a + 1) / (sum(target) + BUCKETS) / ((b + 1) / (sum(raw) + BUCKETS)))) for a, b in zip(target, raw)]
+    total = sum(raw)
+    size = sum(target) / sum(raw)
+    ratios = [round(1e6 * math.log((a + 1) / (b * size + 1))) for a, b in zip(target, raw)]
     out = {}
     for i, t in rows:
         t = t or ""

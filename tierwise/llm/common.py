@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -80,19 +80,19 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
-def releasing(run, *memories: dict):
+def releasing(run: Callable, *forget: Callable[[], None]) -> Callable:
     """An Arrow function that forgets its memories at the end of a task and gives their pages back.
 
-    Spark keeps more Python workers than run at once and deals tasks to them in turn, so that what an idle worker
-    holds counts against the executor too.
+    forget: functions of a module, which reach the worker by name; a memory itself would reach it as a copy. Spark keeps more Python workers than
+    run at once and deals tasks to them in turn, so that what an idle worker holds counts against the executor too.
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            for m in memories:
-                m.clear()
+            for f in forget:
+                f()
             give_back()
 
     return wrapped

@@ -50,6 +50,10 @@ class TermHash(dict):
 _hashes = TermHash()
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def terms_of(text: bytes) -> np.ndarray:
     """Hashes of a text's words, in order."""
     words = words_of(text)
@@ -230,7 +234,7 @@ def build_index(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         if ids:
             yield shard()
 
-    return texts_with_key(docs).mapInArrow(releasing(run, _hashes), _INDEX)
+    return texts_with_key(docs).mapInArrow(releasing(run, _forget), _INDEX)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, Shard]]:

@@ -74,7 +74,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("long").alias("n_near"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -143,11 +143,19 @@ item_windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS size, unnest(list
 sizes AS (SELECT DISTINCT size FROM item_windows),
 places AS (SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size),
 hits AS (SELECT doc_id, i, p.size AS size, item_id FROM (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS s FROM places) p JOIN item_windows v ON p.s = v.s AND p.size = v.size),
-summed AS (SELECT doc_id, len(list_distinct(flatten(list(range(i, i + size))))) AS n_hit, list_distinct(list(item_id)) AS ids FROM hits GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+summed AS (SELECT doc_id, len(list_distinct(flatten(list(range(i, i + size))))) AS n_hit, list_distinct(list(item_id)) AS ids FROM hits GROUP BY doc_id),
+said AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM docs),
+counts AS (SELECT t, count(*) AS n FROM said GROUP BY t),
+terms AS (SELECT DISTINCT item_id, unnest(w) AS t FROM items),
+ranked AS (SELECT item_id, terms.t AS t, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), terms.t) AS r FROM terms LEFT JOIN counts ON counts.t = terms.t),
+chosen AS (SELECT item_id, t FROM ranked WHERE r <= 4 QUALIFY count(*) OVER (PARTITION BY item_id) = 4 AND min(n) OVER (PARTITION BY item_id) > 0),
+occurs AS (SELECT doc_id, item_id, said.t AS t, p FROM said JOIN chosen ON chosen.t = said.t),
+spans AS (SELECT a.doc_id, a.item_id FROM occurs a JOIN occurs b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p >= a.p AND b.p < a.p + 30 GROUP BY a.doc_id, a.item_id, a.p HAVING count(DISTINCT b.t) = 4),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM spans GROUP BY doc_id)
+SELECT CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(list_sort(list_transform(ids, lambda x: CAST(x AS VARCHAR))), ','), '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs d LEFT JOIN summed s ON d.doc_id = s.doc_id
+FROM docs d LEFT JOIN summed s ON d.doc_id = s.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, ids_of, prepare, texts_with_key, to_batch
+from .common import binary_texts, ids_of, prepare, releasing, texts_with_key, to_batch
 
 
 def held_out(modulus: int, fold: int) -> Column:
@@ -38,13 +38,13 @@ def train(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], dict[str, np
         made = fit([r[1] for r in got], np.array([r[2] for r in got], np.float64))
         yield to_batch({"name": list(made), "value": [v.astype(np.float32).tobytes() for v in made.values()]}, schema)
 
-    found = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "name string, value binary").collect()
+    found = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(releasing(run), "name string, value binary").collect()
     if not found:  # no rows, so no task ran
         return {k: v.astype(np.float32) for k, v in fit([], np.empty(0)).items()}
     return {r["name"]: np.frombuffer(r["value"], np.float32) for r in found}
 
 
-def scored(docs: DataFrame, model: dict[str, np.ndarray], score: Callable[[dict, list[bytes]], list[float]], out: Column, threshold: float) -> DataFrame:
+def scored(docs: DataFrame, model: dict[str, np.ndarray], score: Callable[[dict, list[bytes]], list[float]], out: Column, threshold: float, *forget: Callable[[], None]) -> DataFrame:
     """doc_id, held_out, score, predicted, one row per input row."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -54,7 +54,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], score: Callable[[dict,
         for b in batches:
             yield to_batch({"doc_id": ids_of(b), "score": score(shared.value, binary_texts(b))}, schema)
 
-    judged = texts_with_key(docs).mapInArrow(run, "doc_id long, score double")
+    judged = texts_with_key(docs).mapInArrow(releasing(run, *forget), "doc_id long, score double")
     return judged.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

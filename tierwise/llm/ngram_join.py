@@ -47,6 +47,10 @@ WORDS = 1 << 17
 _hashes = WordHash()
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams of a text, A-Z lower-cased; fewer words: one for all of them."""
     words = text.lower().split()
@@ -131,7 +135,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         cells = [zlib.compress(counts[k * step : (k + 1) * step].tobytes(), 1) for k in range(PARTS)]
         yield to_batch({"doc_id": none, "n": none, "fp": none, "part": list(range(PARTS)), "cells": cells}, schema)
 
-    return texts_with_key(docs).mapInArrow(releasing(run, _hashes), "doc_id long, n long, fp binary, part int, cells binary")
+    return texts_with_key(docs).mapInArrow(releasing(run, _forget), "doc_id long, n long, fp binary, part int, cells binary")
 
 
 def _levels(sets: DataFrame) -> np.ndarray:
@@ -166,7 +170,7 @@ def _prefixes(docs: DataFrame, keep: IdFilter, levels: np.ndarray, n: int, thres
             digests = [xxhash.xxh3_128_digest(p.tobytes() + len(s).to_bytes(8)) for p, (_, s) in zip(prefixes, got, strict=True)]
             yield to_batch({"doc_id": [d for d, _ in got], "n": [len(s) for _, s in got], "gfp": digests, "prefix": [p.view(np.int64) for p in prefixes], "bits": [parity(s) for _, s in got]}, schema)
 
-    return keyed(texts_with_key(docs)).mapInArrow(releasing(run, _hashes), "doc_id long, n int, gfp binary, prefix array<long>, bits binary")
+    return keyed(texts_with_key(docs)).mapInArrow(releasing(run, _forget), "doc_id long, n int, gfp binary, prefix array<long>, bits binary")
 
 
 _POST = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("chunk", pa.int32())])
@@ -454,7 +458,7 @@ def _verify(members: DataFrame, n: int, threshold: int) -> DataFrame:
             _hashes.trim(WORDS)
         yield from done()
 
-    return members.mapInArrow(releasing(run, _hashes), "doc_id long, root long, links long")
+    return members.mapInArrow(releasing(run, _forget), "doc_id long, root long, links long")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:

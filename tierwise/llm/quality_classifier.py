@@ -22,6 +22,10 @@ _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 _hashes = WordHash(11)
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the features of a text and their values, of unit length together."""
     words = _TOKEN.findall(text)
@@ -76,4 +80,4 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 4, fol
     label. Without labels of both kinds the weights are what one kind gives; without any, every score is 0.5. Empty table: empty result. Repeated rows are all scored.
     """
     rows = training_rows(docs, labels, "quality", ~held_out(modulus, fold), train_rows)
-    return scored(docs, train(rows, fit_calibrated), score, held_out(modulus, fold), threshold)
+    return scored(docs, train(rows, fit_calibrated), score, held_out(modulus, fold), threshold, _forget)

@@ -110,8 +110,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with the array ``ratios``: of each bucket, log target over raw, in millionths.
 
     Raw counts cover all documents, target counts all that are labelled good. Labels are joined by a shuffle at every size, of the documents only
-    that a bounded bit set of the good ids lets through; all others are surely not labelled good. Without labels all ratios are 0 but
-    for smoothing.
+    that a bounded bit set of the good ids lets through; all others are surely not labelled good. The raw counts are scaled to the
+    size of the target, so without labels all ratios are 0.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     least, most = MARK_WORDS
@@ -128,8 +128,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     )
     both = in_order(counts, BUCKETS, "raw", "target")
-    smooth = lambda n, total: (F.coalesce(n, F.lit(0)) + 1.0) / (F.coalesce(total, F.lit(0)) + BUCKETS)
-    ratio = lambda x: F.round(1e6 * F.log(smooth(x["target"], F.col("sum_target")) / smooth(x["raw"], F.col("sum_raw")))).cast("long")
+    # Both multinomials have the target's size and the same smoothing, so a bucket says the less the rarer it is.
+    size = F.coalesce(F.try_divide(F.col("sum_target").cast("double"), F.col("sum_raw").cast("double")), F.lit(0.0))
+    ratio = lambda x: F.round(1e6 * F.log((F.coalesce(x["target"], F.lit(0)) + 1.0) / (F.coalesce(x["raw"], F.lit(0)) * F.col("size") + 1.0))).cast("long")
+    both = both.withColumn("size", size)
     return both.select(F.transform("held", ratio).alias("ratios"))
 
 

@@ -36,6 +36,10 @@ _base, _other = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _hashes = WordHash(7)
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     """The longest period for which anchors keep at least two fifths of the window."""
     return next(c for c in COVERS if 5 * (window - c[0] + 1) >= 2 * window or c[0] == 1)
@@ -172,7 +176,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 yield {"h": run_hashes(_hashes.of(words), length, at, _base).view(np.int64), "g": none, "doc_id": np.full(len(at), d, np.int64), "row": none, "pos": at.astype(np.int32)}
             _hashes.trim()
 
-    return texts_with_key(docs).mapInArrow(releasing(settling(found, later=False), _hashes), _DDL)
+    return texts_with_key(docs).mapInArrow(releasing(settling(found, later=False), _forget), _DDL)
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -196,7 +200,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 yield {"h": run_hashes(w, window, at, _base).view(np.int64), "g": g, "doc_id": np.full(len(at), d, np.int64), "row": np.full(len(at), _row(t), np.int32), "pos": at.astype(np.int32)}
             _hashes.trim()
 
-    return docs.mapInArrow(releasing(settling(found, later=True), _hashes), _DDL)
+    return docs.mapInArrow(releasing(settling(found, later=True), _forget), _DDL)
 
 
 def arrays_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray | None]:
@@ -250,7 +254,7 @@ def _cut(docs: DataFrame, window: int, passthrough: list[str], keep: IdFilter, o
             arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", *passthrough, "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return keyed(docs.select("doc_id", "text", *passthrough, "starts")).mapInArrow(releasing(run, _hashes), ddl)
+    return keyed(docs.select("doc_id", "text", *passthrough, "starts")).mapInArrow(releasing(run, _forget), ddl)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, passthrough: list[str] | None = None) -> DataFrame:
