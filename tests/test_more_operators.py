@@ -248,3 +248,39 @@ def test_use_case_features(spark):
     rows = d.select(*[c.alias(n) for n, c in X.use_case_features(F.col("x")).items()]).collect()
     assert set(rows[0]) == set(rows[1]) == {0.0}
     assert (rows[2]["negation_count"], rows[2]["sentence_count"], rows[2]["token_count"]) == (2.0, 2.0, 10.0) and rows[2]["sentiment_lexicon_score"] == pytest.approx(1 / 7)
+
+
+def test_interpolation_isotonic_and_mcnemar_queries(spark):
+    from tierwise.queries import queries
+
+    sf = "/root/testdata/sf0.01"
+    q = queries()
+    curves = {}
+    for r in q["count_curve"](spark, sf).collect():
+        curves.setdefault(r["model"], []).append((r["center"], r["cap"]))
+    for r in q["curve_interpolation"](spark, sf).collect():
+        x, y = zip(*sorted(curves[r["model"]]))
+        assert r["value"] == pytest.approx(np.interp(r["d"], x, y), abs=1e-4)
+    fitted = {}
+    for r in q["isotonic_curve"](spark, sf).collect():
+        fitted.setdefault(r["model"], []).append((r["center"], r["cap"], r["fitted"]))
+    for rows in fitted.values():
+        rows.sort()
+        caps = [c for _, c, _ in rows]
+        mean = lambda a, b: sum(caps[a : b + 1]) / (b - a + 1)  # noqa: B023, E731
+        want = [max(min(mean(a, b) for b in range(k, len(caps))) for a in range(k + 1)) for k in range(len(caps))]
+        assert [f for _, _, f in rows] == pytest.approx(want, abs=1e-5)
+    chi = {r["model"]: r["chi2"] for r in q["mcnemar_chi2"](spark, sf).collect()}
+    for r in q["mcnemar_p"](spark, sf).collect():
+        assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(chi[r["model"]] / 2)), abs=1e-4)
+
+
+def test_stated_constraints(spark):
+    texts = ["You must include exactly three bullet points and a json table", "nothing", None, "Do not exceed 100 words; cite a source at most once"]
+    got = [r["n"] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(X.constraint_count(F.col("x")).alias("n")).collect()]
+    import re
+
+    for t, n in zip(texts, got):
+        assert n == sum(len(re.findall(p, f" {(t or '').lower()} ")) for p in X.CONSTRAINT_PATTERNS)
+    listed = spark.createDataFrame([("must", ["a", "b"], None)], "x string, p array<string>, q array<string>")
+    assert listed.select(X.constraint_count(F.col("x"), F.col("p"), F.col("q")).alias("n")).first()["n"] == 2
