@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -74,6 +75,11 @@ def clip(c: Column, lower=None, upper=None) -> Column:
     return F.when(c.isNotNull(), out)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a costly value, computed once however often it is named."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def clamp01(c: Column) -> Column:
     return clip(c, 0.0, 1.0)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nullsafe import clamp01, num
+from .nullsafe import clamp01, num, once
 
 # Cue lists and patterns.
 CONTRAST = r"\b(but|however|although|though|yet|whereas|despite)\b"
@@ -64,33 +64,38 @@ def pattern_count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(f"(?iU){pattern}"))
 
 
+def clamped(c: Column) -> Column:
+    """clamp01 of a value that scans the text, which is done once."""
+    return once(c, clamp01)
+
+
 def classification_features(text: Column) -> dict[str, Column]:
     n = F.greatest(F.lit(1), alnum_count(text))
     unsure = pattern_count(text, CONTRAST) + pattern_count(text, HEDGES) + F.greatest(F.lit(0), pattern_count(text, r"\bor\b") - 1)
     shift = pattern_count(text, r"\b(19|20)\d{2}\b") + 0.7 * pattern_count(text, r"\b[A-Z]{2,}\b") + 0.15 * pattern_count(text, r"\b[A-Z][a-z]{2,}\b")
     return {
-        "classification_ambiguity": clamp01(unsure / 8.0),
-        "classification_negation_density": clamp01(pattern_count(text, NEGATION) / F.greatest(F.lit(1.0), n / 6.0)),
-        "classification_domain_shift": clamp01(shift / 10.0),
+        "classification_ambiguity": clamped(unsure / 8.0),
+        "classification_negation_density": clamped(pattern_count(text, NEGATION) / F.greatest(F.lit(1.0), n / 6.0)),
+        "classification_domain_shift": clamped(shift / 10.0),
     }
 
 
 def math_features(text: Column) -> dict[str, Column]:
     n = F.greatest(F.lit(1), alnum_count(text))
     return {
-        "math_numeric_density": clamp01(pattern_count(text, r"\b\d+(\.\d+)?\b") / F.greatest(F.lit(1.0), n / 3.0)),
-        "math_symbol_density": clamp01(pattern_count(text, r"[\=\+\-\*/\^%<>]|≤|≥|≠|√|∑|∫") / F.greatest(F.lit(1.0), n / 4.0)),
-        "math_precision_cues": clamp01(cue_count(text, PRECISION_CUES) / 4.0),
+        "math_numeric_density": clamped(pattern_count(text, r"\b\d+(\.\d+)?\b") / F.greatest(F.lit(1.0), n / 3.0)),
+        "math_symbol_density": clamped(pattern_count(text, r"[\=\+\-\*/\^%<>]|≤|≥|≠|√|∑|∫") / F.greatest(F.lit(1.0), n / 4.0)),
+        "math_precision_cues": clamped(cue_count(text, PRECISION_CUES) / 4.0),
     }
 
 
 def instruction_features(text: Column) -> dict[str, Column]:
     n = F.greatest(F.lit(1), alnum_count(text))
     return {
-        "instruction_format_strictness": clamp01(cue_count(text, FORMAT_CUES) / 4.0),
-        "instruction_prohibition_count": clamp01(pattern_count(text, PROHIBITIONS) / 3.0),
-        "instruction_step_count": clamp01(pattern_count(text, STEPS) / F.greatest(F.lit(2.0), n / 12.0)),
-        "instruction_conflict_cues": clamp01(pattern_count(text, CONFLICTS) / 3.0),
+        "instruction_format_strictness": clamped(cue_count(text, FORMAT_CUES) / 4.0),
+        "instruction_prohibition_count": clamped(pattern_count(text, PROHIBITIONS) / 3.0),
+        "instruction_step_count": clamped(pattern_count(text, STEPS) / F.greatest(F.lit(2.0), n / 12.0)),
+        "instruction_conflict_cues": clamped(pattern_count(text, CONFLICTS) / 3.0),
     }
 
 
