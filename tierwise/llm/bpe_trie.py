@@ -21,10 +21,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_LIMIT, give_back, ids_of, prepare, texts_with_key, to_batch
+from .common import give_back, ids_of, prepare, texts_with_key, to_batch
 
 #: Units and words after which a worker starts new memories; the ones before stay for one more turn.
 KEPT = 1 << 18
+#: Pairs of tokens of which a worker remembers whether one may follow the other.
+PAIRS = 1 << 18
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -63,7 +65,7 @@ class Trie:
         """As merges_apart, remembered."""
         key = left, right
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > CACHE_LIMIT:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merges_apart(left, right)
         return known
@@ -239,10 +241,10 @@ def _encoder(vocabulary: str, schema: pa.Schema, kept: int = KEPT):
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             names, column = ids_of(b), b.column(1)
-            for i in range(0, b.num_rows, 64):
+            for i in range(0, b.num_rows, 256):
                 out = {k: [] for k in schema.names}
-                out["doc_id"] = names[i : i + 64]
-                cut = [units_of(t or "") for t in column.slice(i, 64).to_pylist()]
+                out["doc_id"] = names[i : i + 256]
+                cut = [units_of(t or "") for t in column.slice(i, 256).to_pylist()]
                 c.fill(set().union(*cut), kept)
                 for units in cut:
                     ids, decoded = c.encode(units)
