@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .bpe_trie import bpe_digests
 from .chat_format import EVENT_ORDER, conversation_events, format_conversations, read_back
 from .decontaminate import decontaminate
+from .lm_scoring import lm_scores
 from .ngram_join import ngram_jaccard_join
+from .phrases import phrases
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
 from .toxicity import toxicity
@@ -77,9 +80,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("long").alias("n_near"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), modulus=10, fold=0)
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"), least=10, top=2000, inside=50)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), letters=7, least=2, times=10, every=31)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_ngram_jaccard_join, op2_token_counts, op3_chat_formatting, op4_bpe_encode_decode, op5_substring_dedup]
     ops += [op6_quality_classifier, op7_quality_rules, op8_toxicity, op9_url_filters, op10_decontamination]
+    ops += [op11_lm_scoring, op12_phrase_mining, op13_spelling_variants]
     return {f.__name__: f for f in ops}
 
 
@@ -158,7 +174,29 @@ SELECT CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, d.doc_id, CAST(len(w) AS B
 FROM docs d LEFT JOIN summed s ON d.doc_id = s.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """
 
+OP12_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split WHERE len(w) > 0),
+one AS (SELECT lang, w[i] AS p, count(*) AS f FROM places GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+two AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM places WHERE i < len(w) GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM places WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+holders AS (SELECT lang, x, y, max(f) AS longer FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+pairs AS (SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, p.f AS l, q.f AS r FROM two t JOIN one p ON p.lang = t.lang AND p.p = t.x JOIN one q ON q.lang = t.lang AND q.p = t.y
+          LEFT JOIN holders h ON h.lang = t.lang AND h.x = t.x AND h.y = t.y WHERE h.longer IS NULL OR 100 * h.longer < 50 * t.f),
+cuts AS (SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, p.f AS l1, yz.f AS r1, xy.f AS l2, q.f AS r2,
+           CAST(1000000 AS HUGEINT) * t.f * t.f // (CAST(p.f AS HUGEINT) * yz.f) AS s1, CAST(1000000 AS HUGEINT) * t.f * t.f // (CAST(xy.f AS HUGEINT) * q.f) AS s2
+         FROM three t JOIN one p ON p.lang = t.lang AND p.p = t.x JOIN one q ON q.lang = t.lang AND q.p = t.z
+         JOIN two xy ON xy.lang = t.lang AND xy.x = t.x AND xy.y = t.y JOIN two yz ON yz.lang = t.lang AND yz.x = t.y AND yz.y = t.z),
+found AS (SELECT lang, phrase, a, l, r, CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS score FROM pairs
+          UNION ALL SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM cuts)
+SELECT f.lang AS lang, row_number() OVER (PARTITION BY f.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM found f JOIN total t ON t.lang = f.lang
+QUALIFY row_number() OVER (PARTITION BY f.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are held against brute force in tests/llm."""
-    return {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op9_url_filters": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op9_url_filters": OP9_SQL, "op10_decontamination": OP10_SQL, "op12_phrase_mining": OP12_SQL}
