@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Hidden units; classes; lanes side by side; steps of a window when training, through which gradients go, and when scoring.
-UNITS, CLASSES, LANES, STEPS, SCORE_STEPS = 16, 32, 256, 16, 64
+UNITS, CLASSES, LANES, STEPS, SCORE_STEPS = 16, 32, 512, 16, 32
 
 #: Learning rate and starting squares of Adagrad.
-RATE, SQUARES = 0.1, 1e-6
+RATE, SQUARES = 0.15, 1e-6
 
 F32 = np.float32
 
@@ -28,6 +28,7 @@ class Vocabulary:
         self.counts, self.size = np.asarray(counts, np.int64), len(counts)
         self.end, self.other = self.size, self.size + 1
         root = np.cumsum(np.sqrt(self.counts))
+        assert self.other < 1 << 16, "ids take two bytes"
         cls = np.minimum((root / max(root[-1] if self.size else 1, 1) * CLASSES).astype(np.int64), CLASSES - 1)
         cls = np.unique(cls, return_inverse=True)[1] if self.size else cls
         n = int(cls.max()) + 1 if self.size else 0
@@ -116,49 +117,60 @@ def forward(p: dict, inputs: np.ndarray, h: np.ndarray, end: int) -> dict[str, n
     return {"before": before, "h": h_all, "gates": gates, "cand": cand, "an": an}
 
 
-def outputs(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of each target (others: of their class), and with grads also the gradient at the states, per target."""
-    rows = np.arange(len(h))
-    cls = v.cls[target]
-    e = h @ p["wc"]
-    e += p["bc"]
+def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log probabilities of the chosen columns, exponentials, places of the chosen ones and sums."""
+    e = h @ w
+    e += bias
     np.minimum(e, F32(60), out=e)
-    chosen = e[rows, cls].astype(np.float64)
+    place = np.arange(0, e.size, e.shape[1]) + which
+    chosen = e.reshape(-1)[place]
     np.exp(e, out=e)
-    total = e.sum(1)
+    total = e @ np.ones(e.shape[1], F32)
     logp = chosen - np.log(total)
+    return logp, e, place, total
+
+
+def _slopes(e: np.ndarray, place: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Gradients at the outputs, in place."""
+    e *= (F32(1) / total)[:, None]
+    e.reshape(-1)[place] -= F32(1)
+    return e
+
+
+def outputs(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each target (others: of their class), and with grads also the gradient at the states, per target."""
+    cls = v.cls[target]
+    order = np.argsort(cls.astype(np.uint8 if len(v.mass) < 256 else np.int32), kind="stable")  # classes lie together
+    h, target, cls = h[order], target[order], cls[order]
+    found = np.bincount(cls, minlength=len(v.mass))
+    begin = np.cumsum(found) - found
+    logp, e, place, total = _softmax(h, p["wc"], p["bc"], cls)
     dh = None
     if grads is not None:
-        e /= total[:, None]
-        e[rows, cls] -= F32(1)
+        e = _slopes(e, place, total)
         grads["wc"] += h.T @ e
-        grads["bc"] += e.sum(0)
+        grads["bc"] += np.ones(len(e), F32) @ e
         dh = e @ p["wc"].T
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    found = np.bincount(cls, minlength=len(v.mass))
-    begin = np.cumsum(found) - found
     for k in np.flatnonzero(found[: len(v.edges) - 1]):
         lo, hi = v.edges[k], v.edges[k + 1]
         if hi - lo == 1:
             continue
-        at = order[begin[k] : begin[k] + found[k]]
-        own, which = h[at], target[at] - lo
-        w = p["wo"][lo:hi]
-        e = own @ w.T
-        e += p["bo"][lo:hi]
-        np.minimum(e, F32(60), out=e)
-        r = rows[: len(at)]
-        chosen = e[r, which]
-        np.exp(e, out=e)
-        total = e.sum(1)
-        logp[at] += chosen - np.log(total)
+        at = slice(begin[k], begin[k] + found[k])
+        own, w = h[at], p["wo"][lo:hi]
+        part, e, place, total = _softmax(own, w.T, p["bo"][lo:hi], target[at] - lo)
+        logp[at] += part
         if grads is not None:
-            e /= total[:, None]
-            e[r, which] -= F32(1)
+            e = _slopes(e, place, total)
             grads["wo"][lo:hi] += e.T @ own
-            grads["bo"][lo:hi] += e.sum(0)
+            grads["bo"][lo:hi] += np.ones(len(e), F32) @ e
             dh[at] += e @ w
-    return logp, dh
+    as_given = np.empty_like(logp)
+    as_given[order] = logp
+    if dh is None:
+        return as_given, None
+    slopes = np.empty_like(dh)
+    slopes[order] = dh
+    return as_given, slopes
 
 
 def backward(p: dict, f: dict, inputs: np.ndarray, dh_all: np.ndarray, end: int, grads: dict) -> None:
@@ -187,7 +199,7 @@ def backward(p: dict, f: dict, inputs: np.ndarray, dh_all: np.ndarray, end: int,
     flat = dx.reshape(-1, 3 * n)
     grads["u"] += f["before"].reshape(-1, n).T @ du.reshape(-1, 3 * n)
     ids = inputs.reshape(-1)
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     grads["x"][ids[first]] += np.add.reduceat(flat[order], first)
