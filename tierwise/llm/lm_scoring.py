@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gated_lm
-from .common import Stored, binary_texts, ids_of, prepare, releasing, texts_with_key, to_batch
+from .common import Stored, binary_texts, ids_of, prepare, releasing, reusing, texts_with_key, to_batch
 from .linear import held_out
 
 #: Words of the recurrent model; words whose counts are broadcast, at most, and the parts of an octave that counts are told apart by when those are chosen.
@@ -148,7 +148,7 @@ def trained(rows: DataFrame, vocabulary: gated_lm.Vocabulary) -> dict[str, np.nd
 
         part = rows.where((share >= below) & (share < below + size)).select("row", "ids")
         below += size
-        got = part.mapInArrow(releasing(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row a weight
+        got = part.mapInArrow(releasing(reusing(run)), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row a weight
         i, v = got["i"].to_numpy(), got["v"].to_numpy()
         if len(i):
             change = np.zeros(edges[-1])
@@ -167,7 +167,7 @@ def modelled(rows: DataFrame, vocabulary: gated_lm.Vocabulary, p: dict[str, np.n
         for keys, held in _documents(batches):
             yield to_batch({"row": keys, "model": gated_lm.score(weights, v, held) / np.log(10)}, schema)
 
-    return rows.select("row", "ids").mapInArrow(releasing(run), "row long, model double")
+    return rows.select("row", "ids").mapInArrow(releasing(reusing(run)), "row long, model double")
 
 
 def lm_scores(docs: DataFrame, modulus: int = 10, fold: int = 0) -> DataFrame:
