@@ -95,3 +95,18 @@ def test_edge_cases(spark):
         assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
         assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and [r["held_out"] for r in got if r["doc_id"] is None] == [True]
         assert run(docs.where("false"), one_kind.withColumnRenamed("toxic", label)).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_rows_of_one_labelled_id_are_one_training_row(spark):
+    from pyspark.sql import functions as F
+
+    from tierwise.llm.linear import training_rows
+
+    same = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = same.unionByName(spark.createDataFrame([(2, "é" * 50), (3, "b"), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (1, 1)], "doc_id long, toxic int")
+    got = training_rows(docs, labels, "toxic", F.lit(True), 6_000)
+    assert sorted((r.doc_id, r.text, r.y) for r in got.collect()) == [(1, "text 0", 1), (2, "é" * 50, 0), (3, "b", 1), (4, None, 0)]
+    few = training_rows(docs, labels, "toxic", F.lit(True), 6_000, most_bytes=100).collect()
+    assert sum(len((r.text or "").encode()) for r in few) <= 100 and len(few) < 4
+    assert training_rows(docs, labels, "toxic", F.lit(True), 2).count() == 2

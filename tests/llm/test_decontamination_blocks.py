@@ -28,3 +28,16 @@ def test_blocks_do_not_change_rows(spark, monkeypatch, words):
     assert len(whole) == len(DOCS) and sorted(r[2] for r in whole if r[0] is None) == [0, 0, 6, 6]
     monkeypatch.setattr(D, "BLOCK_WORDS", words)
     assert rows() == whole
+
+
+@pytest.mark.parametrize("limits", [(15, 1 << 20), (8_000_000, 7)])
+def test_shards_of_tiny_texts_keep_their_rows_apart(spark, monkeypatch, limits):
+    """Empty texts add no bytes, so a shard has a bound of rows too, and rows are numbered on from shard to shard."""
+    monkeypatch.setattr(D, "SHARD_BYTES", limits[0])
+    monkeypatch.setattr(D, "SHARD_ROWS", limits[1])
+    made = [(i, "") for i in range(40)] + [(100 + i, "a") for i in range(60)] + [(300, "kappa lambda")]
+    docs, items = spark.createDataFrame(made, "doc_id long, text string").coalesce(1), spark.createDataFrame(ITEMS, "item_id long, text string")
+    whole = sorted(tuple(r) for r in D.decontaminate(docs, items).collect())
+    monkeypatch.setattr(D, "BLOCK_WORDS", 1)
+    cut = sorted(tuple(r) for r in D.decontaminate(docs, items).collect())
+    assert cut == whole and [r[0] for r in cut] == [i for i, _ in made] and cut[-1][2] == 2

@@ -29,7 +29,7 @@ BLOCK_WORDS, PIECE_WORDS = 400_000, 100_000
 #: Bits of the set of benchmark terms (2 MB).
 TERM_BITS = 1 << 24
 #: Text bytes of a shard.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES, SHARD_ROWS = 8_000_000, 1 << 20
 
 #: A-Z lower-cased; other ASCII but digits and letters parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -215,7 +215,7 @@ def build_index(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         ids, texts, size = [], [], 0
-        name = TaskContext.get().partitionId() << 32
+        name = TaskContext.get().partitionId() << 40  # rows of a partition are numbered on from here
 
         def shard() -> pa.RecordBatch:
             s = Shard.build(texts, bits)
@@ -226,9 +226,9 @@ def build_index(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 ids.append(d)
                 texts.append(terms_of(t))
                 size += len(t)
-                if size >= SHARD_BYTES:
+                if size >= SHARD_BYTES or len(ids) >= SHARD_ROWS:
                     yield shard()
-                    ids, texts, size, name = [], [], 0, name + (1 << 22)
+                    ids, texts, size, name = [], [], 0, name + len(ids)
             if len(_hashes) > 1 << 18:
                 _hashes.clear()
         if ids:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_texts, ids_of, prepare, releasing, texts_with_key, to_batch
@@ -17,12 +17,22 @@ def held_out(modulus: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == fold, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``bound`` labelled ids, of each label the first half as many by hash; few enough to be broadcast."""
+#: Bytes of the texts that a model is fitted on, at most.
+TRAIN_BYTES = 256 << 20
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most ``bound`` labelled ids, of each label the first half as many by hash; few enough to be broadcast.
+
+    A row an id: of rows that share one the text that comes first. Texts are whole; by the ids' hash they are taken as long as all together
+    have at most ``most_bytes``, so that what the one training task holds is bounded in rows and bytes.
+    """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound // 2)
     chosen = first(ids.where("y > 0")).unionByName(first(ids.where("y <= 0")))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # ``bound`` rows at most
+    return rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("doc_id", "text", "y")
 
 
 def train(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

@@ -4,7 +4,7 @@ A window is ``window`` consecutive words. With a difference cover D modulo the p
 positions i and j have a shift below v that brings both into D. So when a window repeats, the two places
 share a run of window - v + 1 words that begins at cover positions of both: an anchor. Only anchors
 (6 of 31 positions for the default) are hashed and exchanged. Anchors found in two documents are then
-extended: the whole windows around them, and only these, are hashed in full and matched exactly, and
+extended: the whole windows around them, and only these, are hashed in full and matched by 96 bits of hash, and
 each is charged to the smallest document that holds it.
 
 Both exchanges settle what they can before: a task compares its own rows first, and of a hash that several of
