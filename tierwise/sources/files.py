@@ -74,10 +74,10 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def markdown_report(rows: DataFrame, title: str) -> str:
-    """A short table as Markdown; for reports of a few rows."""
+    """A table as Markdown, with all its rows; they come to the driver a partition at a time."""
     names = rows.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    return "\n".join([*lines, *["| " + " | ".join(str(v) for v in r) + " |" for r in rows.limit(1000).collect()]]) + "\n"
+    return "\n".join([*lines, *["| " + " | ".join(str(v) for v in r) + " |" for r in rows.toLocalIterator()]]) + "\n"
 
 
 def scratch(spark: SparkSession) -> str:
