@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import following, matched, percentiles, running
+
 
 def edges(bins: int = 10) -> list[float]:
     """Bin edges as k times the step, with its float error."""
@@ -20,25 +22,28 @@ def width_curve(df: DataFrame, by: list[str], d: str, correct: str, bins: int =
 
 
 def count_curve(df: DataFrame, by: list[str], d: str, position: str, correct: str, bins: int = 10) -> DataFrame:
-    """Slices of equal count in order of difficulty; the last takes the remainder."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    rn = F.row_number().over(Window.partitionBy(*by).orderBy(d, position))
-    size = F.greatest(F.lit(1), F.floor(n / bins))
-    b = F.least(F.floor((rn - 1) / size), F.lit(bins - 1)).cast("int")
-    sliced = df.withColumn("bin", b)
-    return sliced.groupBy(*by, "bin").agg(F.avg(d).alias("center"), F.avg(F.col(correct).cast("double")).alias("cap"), F.count("*").alias("n"))
+    """Slices of equal count in order of difficulty and then position; the last takes the remainder.
 
+    Rows of one difficulty that fall into one slice are summed before they are ordered; only those that an edge parts are ordered by position.
+    """
+    hit = F.col(correct).cast("double")
+    size = F.greatest(F.lit(1), F.floor(F.col("all_n") / bins))
+    bin_of = lambda rank: F.least(F.floor(rank / size), F.lit(bins - 1)).cast("int")
+    values = running(df, by, d, n=F.lit(1), hits=hit)
+    values = values.withColumns({"bin": bin_of(F.col("below_n")), "_last": bin_of(F.col("below_n") + F.col("n") - 1)})
+    whole = values.where("bin = _last").select(*by, "bin", (F.col(d) * F.col("n")).alias("_d"), "hits", "n")
+    parted = values.where("bin < _last").select(*by, d, F.col("below_n").alias("_below"), "all_n")
+    ties = running(matched(df.select(*by, d, position, correct), parted, [*by, d], "left_semi"), [*by, d], position, n=F.lit(1), hits=hit).drop("all_n")
+    ties = matched(ties, parted, [*by, d]).withColumn("bin", bin_of(F.col("_below") + F.col("below_n")))
+    every = whole.union(ties.select(*by, "bin", (F.col(d) * F.col("n")).alias("_d"), "hits", "n"))
+    return every.groupBy(*by, "bin").agg((F.sum("_d") / F.sum("n")).alias("center"), (F.sum("hits") / F.sum("n")).alias("cap"), F.sum("n").alias("n"))
 
-def prefix_curve(df: DataFrame, by: list[str], d: str, correct: str, risk: str) -> DataFrame:
-    """Capability, risk and share of all rows with a score up to each distinct score: one sort, one window.
 
-    Rows are first summed by score, so that the window sees distinct scores only.
-    """
-    g = df.groupBy(*by, d).agg(F.sum(F.col(correct).cast("double")).alias("_c"), F.sum(F.col(risk).cast("double")).alias("_r"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(d).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("_n").over(w)
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    return g.select(*by, F.col(d).alias("tau"), (F.sum("_c").over(w) / n).alias("cap"), (F.sum("_r").over(w) / n).alias("risk"), (n / total).alias("coverage"))
+def prefix_curve(df: DataFrame, by: list[str], d: str, correct: str, risk: str) -> DataFrame:
+    """Capability, risk and share of all rows with a score up to each distinct score."""
+    g = running(df, by, d, c=F.col(correct).cast("double"), r=F.col(risk).cast("double"), n=F.lit(1))
+    upto = {a: F.col(f"below_{a}") + F.col(a) for a in ("c", "r", "n")}
+    return g.select(*by, F.col(d).alias("tau"), (upto["c"] / upto["n"]).alias("cap"), (upto["r"] / upto["n"]).alias("risk"), (upto["n"] / F.col("all_n")).alias("coverage"))
 
 
 def feasible_tau(curve: DataFrame, by: list[str], cap_target: str, risk_target: str) -> DataFrame:
@@ -56,8 +61,8 @@ def feasible_tau(curve: DataFrame, by: list[str], cap_target: str, risk_target:
 def adaptive_tau(df: DataFrame, by: list[str], d: str, correct: str, risk: str) -> DataFrame:
     """Targets from the candidates themselves: median capability and upper quartile of risk."""
     c = prefix_curve(df, by, d, correct, risk)
-    t = c.groupBy(*by).agg(F.percentile("cap", F.lit(0.5)).alias("cap_t"), F.percentile("risk", F.lit(0.75)).alias("risk_t"))
-    return feasible_tau(c.join(t, by), by, "cap_t", "risk_t")
+    t = matched(percentiles(c, by, "cap", {"cap_t": 0.5}), percentiles(c, by, "risk", {"risk_t": 0.75}), by)
+    return feasible_tau(matched(c, t, by), by, "cap_t", "risk_t")
 
 
 def fixed_tau(df: DataFrame, by: list[str], d: str, correct: str, risk: str, base_cap: str, cap: float = 0.65, max_risk: float = 0.3, margin: float = 0.05) -> DataFrame:
@@ -69,30 +74,8 @@ def fixed_tau(df: DataFrame, by: list[str], d: str, correct: str, risk: str, bas
 
 def interpolate(curve: DataFrame, by: list[str], at: list[float]) -> DataFrame:
     """Piecewise linear values of (center, cap) at fixed points, clamped at the ends."""
-    w = Window.partitionBy(*by).orderBy("center")
-    seg = curve.select(*by, "center", "cap", F.lead("center").over(w).alias("c2"), F.lead("cap").over(w).alias("v2"), F.row_number().over(w).alias("rn"))
-    points = seg.withColumn("d", F.explode(F.array(*[F.lit(float(x)) for x in at])))
-    inside = (F.col("d") >= F.col("center")) & (F.coalesce(F.col("d") < F.col("c2"), F.lit(True)))
-    points = points.where(inside | ((F.col("rn") == 1) & (F.col("d") < F.col("center"))))
+    seg = following(curve.select(*by, "center", "cap"), by, "center", ["center", "cap"]).withColumnsRenamed({"next_center": "c2", "next_cap": "v2"})
+    inside = lambda x: ((x >= F.col("center")) & (F.col("c2").isNull() | (x < F.col("c2")))) | (F.col("first") & (x < F.col("center")))
+    points = seg.withColumn("d", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in at]), inside)))
     slope = F.col("cap") + (F.col("v2") - F.col("cap")) * (F.col("d") - F.col("center")) / (F.col("c2") - F.col("center"))
     return points.select(*by, "d", F.when(F.col("c2").isNull() | (F.col("d") < F.col("center")), F.col("cap")).otherwise(slope).alias("value"))
-
-
-def isotonic(curve: DataFrame, by: list[str], x: str, y: str, increasing: bool = True) -> DataFrame:
-    """Pool-adjacent-violators by group; a group is a curve of a few bins."""
-    import pandas as pd
-
-    fields = [f for f in curve.schema.fields if f.name in (*by, x, y)]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", fitted double"
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[[f.name for f in fields]].sort_values(x)
-        sign, blocks = (1 if increasing else -1), []
-        for v in g[y]:
-            blocks.append([sign * float(v), 1])
-            while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
-                (a, m), (b, n) = blocks[-2:]
-                blocks[-2:] = [[(a * m + b * n) / (m + n), m + n]]
-        return g.assign(fitted=[sign * v for v, n in blocks for _ in range(n)])
-
-    return curve.groupBy(*by).applyInPandas(fit, ddl)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nullsafe import safe_div
+from .ordered import cuts, matched, running, scan
 
 
 def confusion(df: DataFrame, by: list[str], actual: Column, predicted: Column) -> DataFrame:
@@ -41,21 +42,19 @@ def calibration_error(df: DataFrame, by: list[str], y: str, p: str, bins: int) -
 
 
 def _by_score(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
-    return df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
+    """Positives and negatives of each distinct score, below it and in all."""
+    return running(df, by, p, pos=F.col(y).cast("long"), neg=1 - F.col(y).cast("long"))
 
 
 def roc_auc(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
     """Exact area by rank sums, ties at half; null with one class."""
-    w = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0))
-    g = _by_score(df, by, y, p).withColumn("_c", F.col("pos") * (below + 0.5 * F.col("neg")))
+    g = _by_score(df, by, y, p).withColumn("_c", F.col("pos") * (F.col("below_neg") + 0.5 * F.col("neg")))
     return g.groupBy(*by).agg(F.try_divide(F.sum("_c"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def pr_auc(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
     """Average precision: steps of recall times precision over distinct scores; null with one class."""
-    w = Window.partitionBy(*by).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tp, fp = F.sum("pos").over(w), F.sum("neg").over(w)
+    tp, fp = F.col("all_pos") - F.col("below_pos"), F.col("all_neg") - F.col("below_neg")
     g = _by_score(df, by, y, p).withColumn("_c", F.col("pos") * tp / (tp + fp))
     total = g.groupBy(*by).agg(F.sum("_c").alias("c"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return total.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("c") / F.col("pos")).alias("pr_auc"))
@@ -89,12 +88,15 @@ def mcnemar(df: DataFrame, by: list[str], a: Column, b: Column) -> DataFrame:
     return c.withColumn("chi2", chi).withColumn("p_value", F.when(d == 0, 1.0).otherwise(tail("chi2")))
 
 
-def holm(df: DataFrame, family: list[str], p: str, order_by: list[str]) -> DataFrame:
-    """Holm step-down: running maximum of p (m - rank), at most 1."""
-    w = Window.partitionBy(*family).orderBy(p, *order_by)
-    raw = F.col(p) * (F.count("*").over(Window.partitionBy(*family)) - F.row_number().over(w) + 1)
-    run = F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_raw", raw).withColumn("p_holm", F.least(run, F.lit(1.0))).drop("_raw")
+def holm(df: DataFrame, family: list[str], p: str, order_by: list[str] = ()) -> DataFrame:
+    """Holm step-down: running maximum of p (m - rank), at most 1. Of equal p values the first has the greatest product, so the order among them
+    (``order_by``) changes nothing, and the work is done on distinct ones."""
+    at = cuts(df, p)
+    table = scan(df.groupBy(*family, p).agg(F.count("*").alias("_k")), family, p, at, ["_k"])
+    table = table.withColumn("_raw", F.col(p) * (F.col("all__k") - F.col("below__k"))).select(*family, p, "_raw")
+    held = scan(table, family, p, at, most=["_raw"])
+    held = held.select(*family, p, F.least(F.greatest("_raw", "below__raw"), F.lit(1.0)).alias("p_holm"))
+    return matched(df, held, [*family, p])
 
 
 def correlation(x: Column, y: Column) -> Column:

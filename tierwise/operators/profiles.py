@@ -9,6 +9,7 @@ from ..functions.nullsafe import num, safe_div, true
 from .economics import FAILURE_LOSS, LATENCY_COST_PER_SEC, SUCCESS_VALUE
 from .metrics import brier, calibration_error, confusion, pr_auc, roc_auc
 from .relational import latest
+from .ordered import matched, percentiles
 
 # Dollars a query, and fields that a record must have.
 SLM_COST, LLM_COST = 0.0003, 0.0035
@@ -57,8 +58,9 @@ def average_latency(rows: DataFrame, by: list[str], key: str, at: str, position:
 
 def operational_profile(rows: DataFrame, by: list[str], latency: str, success: Column) -> DataFrame:
     """n, mean and percentiles of latency, queries a second of one worker, and rates of success and error."""
-    p = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(latency).alias("avg_latency"), F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("_p"), F.avg(success.cast("double")).alias("success_rate"))
-    return p.select(*by, "n", "avg_latency", *[F.col("_p")[i].alias(k) for i, k in enumerate(("p50", "p95", "p99"))], safe_div(F.lit(1.0), F.col("avg_latency")).alias("qps"), "success_rate", (1 - F.col("success_rate")).alias("error_rate"))
+    p = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(latency).alias("avg_latency"), F.avg(success.cast("double")).alias("success_rate"))
+    p = matched(p, percentiles(rows, by, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by)
+    return p.select(*by, "n", "avg_latency", "p50", "p95", "p99", safe_div(F.lit(1.0), F.col("avg_latency")).alias("qps"), "success_rate", (1 - F.col("success_rate")).alias("error_rate"))
 
 
 def bin_summary(rows: DataFrame, by: list[str], status: str, valid: str, latency: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nullsafe import mean0, notna, num, present, sum0, true
+from .ordered import order_statistics, percentiles
 
 
 def select(df: DataFrame, names: list[str]) -> DataFrame:
@@ -103,37 +104,11 @@ def centred_mean(value: Column, by: list[str], order_by: list[Column | str], win
     return out
 
 
-def ewm_mean(df: DataFrame, by: list[str], order_by: list[str], value: str, alpha: float, out: str = "ewm") -> DataFrame:
-    """Exponentially weighted mean, seeded by the first number; missing values repeat the state.
-
-    Streams through the sorted rows of a key, so a long series never has to fit into one array.
-    """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    keys, schema = list(by), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def run(batches):
-        here, state = object(), None
-        for b in batches:
-            marks = list(zip(*[b.column(b.schema.get_field_index(k)).to_pylist() for k in keys], strict=True)) if keys else [()] * b.num_rows
-            got = []
-            for k, x in zip(marks, b.column(b.schema.get_field_index(value)).to_pylist(), strict=True):
-                if k != here:
-                    here, state = k, None
-                if x is not None and x == x:
-                    state = float(x) if state is None else alpha * float(x) + (1 - alpha) * state
-                got.append(state)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, out])
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order_by).mapInArrow(run, schema)
-
-
 def qcut(df: DataFrame, value: str, q: int, by: list[str], out: str = "bin") -> DataFrame:
     """Bin = number of linear quantiles k/q strictly below the value; null stays null."""
-    x = F.col(value)
-    cuts = df.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(k / q) for k in range(1, q)])).alias("_cuts"))
-    joined = merge(df, cuts, by)
+    x, names = F.col(value), {f"_q{k}": k / q for k in range(1, q)}
+    found = percentiles(df, by, value, names).select(*by, F.array(*names).alias("_cuts"))
+    joined = merge(df, found, by)
     return joined.withColumn(out, F.when(x.isNotNull(), F.size(F.filter("_cuts", lambda t: x > t)))).drop("_cuts")
 
 
@@ -146,12 +121,9 @@ def cut(df: DataFrame, value: str, bins: int, by: list[str], out: str = "bin") -
 
 
 def nearest_rank_bounds(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p05 and p95 by nearest rank; p95 is p05 + 1 where they meet."""
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
-    at = lambda p: F.max(F.when(F.col("_i") == F.least((F.lit(p) * F.col("_n")).cast("int"), F.col("_n") - 1), F.col(value)))
-    out = ranked.groupBy(*by).agg(at(0.05).alias("p05"), at(0.95).alias("p95"))
+    """p05 and p95 by nearest rank; p95 is p05 + 1 where they meet. Groups without a value are left out."""
+    at = lambda p: F.least((F.lit(p) * F.col("n")).cast("int"), F.col("n") - 1)
+    out = order_statistics(df, by, value, {"p05": at(0.05), "p95": at(0.95)}).where("n > 0").drop("n")
     return out.withColumn("p95", F.when(F.col("p95") <= F.col("p05"), F.col("p05") + 1.0).otherwise(F.col("p95")))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nullsafe import clamp01, num
-from .curves import adaptive_tau, fixed_tau, isotonic, prefix_curve, width_curve
+from .carried import isotonic
+from .curves import adaptive_tau, fixed_tau, prefix_curve, width_curve
 
 # Risk by task, factors by category of failure, and capability of the baseline by task.
 TASK_RISK = {"classification": 0.56, "maths": 0.855, "code_generation": 0.9025, "instruction_following": 0.525, "information_extraction": 0.60, "retrieval_grounded": 0.68, "summarization": 0.2475, "text_generation": 0.18}

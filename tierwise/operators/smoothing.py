@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import blocks, ranked
+
 
 def kernel_smooth(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Gaussian smoothing of ``y`` at each distinct ``x``: (by, x, n, value).
@@ -29,14 +31,15 @@ def kernel_smooth(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def nearest_mean(df: DataFrame, by: list[str], x: str, position: str, values: dict[str, str], k: int = 15) -> DataFrame:
-    """Means of the ``k`` rows nearest in ``x`` to each row, itself included; one sort and one window of 2k+1 rows.
+    """Means of the ``k`` rows nearest in ``x`` to each row, itself included: a window of 2k+1 rows within blocks of ranks that overlap by k.
 
     Ties in distance go to the row fewer places away, then to the earlier one. Groups under k rows take all.
     """
-    w = Window.partitionBy(*by).orderBy(x, position)
-    row = F.struct(F.row_number().over(w).alias("_r"), F.col(x).cast("double").alias("_x"), *[F.col(c).cast("double").alias(a) for a, c in values.items()])
-    held = df.withColumn("_row", row)
-    held = held.withColumn("_near", F.collect_list("_row").over(w.rowsBetween(-k, k)))
+    held = blocks(ranked(df, by, x, position, "_r"), "_r", k)
+    row = F.struct("_r", F.col(x).cast("double").alias("_x"), *[F.col(c).cast("double").alias(a) for a, c in values.items()])
+    held = held.withColumn("_row", row)
+    near = Window.partitionBy(*by, "_block").orderBy("_r").rowsBetween(-k, k)
+    held = held.withColumn("_near", F.collect_list("_row").over(near)).where("_own")
     key = lambda e: F.struct(F.abs(e["_x"] - F.col("_row._x")).alias("_d"), F.abs(e["_r"] - F.col("_row._r")).alias("_o"), e["_r"].alias("_r"), *[e[a].alias(a) for a in values])
     held = held.withColumn("_near", F.slice(F.array_sort(F.transform("_near", key)), 1, k))
     mean = lambda a: F.aggregate("_near", F.lit(0.0), lambda s, e: s + e[a]) / F.size("_near")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import curves as C
 from ..operators import metrics as M
 from ..operators import routing as G
+from ..operators.carried import isotonic
 from ..operators.splits import build_splits
 from ..plans.consensus import MODELS, consensus_plan
 from .tables import t
@@ -31,6 +32,20 @@ _PICK = "SELECT model, coalesce(max(tau) FILTER (cap >= cap_t AND risk <= risk_t
 _GRID = [round(0.2 + 0.05 * k, 2) for k in range(15)]
 
 
+_COUNTED = f"{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY d, event_id) AS rn, count(*) OVER (PARTITION BY model) AS n FROM e), curve AS (SELECT model, least((rn - 1) // greatest(1, n // 10), 9) AS bin, avg(d) AS center, avg(ok::INT) AS cap FROM r GROUP BY 1, 2)"
+
+
+def pooled_sql(table: str, by: str, x: str, y: str, out: str, name: str, sign: str = "") -> str:
+    """Common table expressions of a monotonic fit: at each place the greatest, over its starts, of the least mean up to an end."""
+    return f"""{name}_g AS (SELECT {by}, {x}, {sign}{y} AS v, row_number() OVER (PARTITION BY {by} ORDER BY {x}) AS k FROM {table}),
+{name}_s AS (SELECT a.{by}, a.k AS ka, b.k AS kb, avg(m.v) AS v FROM {name}_g a JOIN {name}_g b ON a.{by} = b.{by} AND b.k >= a.k JOIN {name}_g m ON m.{by} = a.{by} AND m.k BETWEEN a.k AND b.k GROUP BY 1, 2, 3),
+{name}_f AS (SELECT i.{by}, i.{x}, s.ka, min(s.v) AS v FROM {name}_g i JOIN {name}_s s ON s.{by} = i.{by} AND s.ka <= i.k AND s.kb >= i.k GROUP BY 1, 2, 3),
+{name} AS (SELECT {by}, {x}, {sign}max(v) AS {out} FROM {name}_f GROUP BY 1, 2)"""
+
+
+_AT = [0.0, 5.0, 20.0, 33.3, 1e9]
+
+
 def rounded(df, *names, n=6):
     return df.select(*[F.round(c, n).alias(c) if c in names else c for c in df.columns])
 
@@ -48,8 +63,8 @@ QUERIES = {
     "tau_fixed": (lambda s, d: C.fixed_tau(scored(s, d), ["model"], "d", "ok", "risk", "ok"), f"WITH {_PREFIX}, t AS (SELECT model, greatest(0.4::DOUBLE, least(1.0::DOUBLE, least(0.65::DOUBLE, avg(ok::INT) - 0.05::DOUBLE))) AS cap_t, greatest(0.0::DOUBLE, least(1.0::DOUBLE, greatest(0.3::DOUBLE, avg(risk) + 0.05::DOUBLE))) AS risk_t FROM e GROUP BY 1) {_PICK}"),
     "width_curve": (lambda s, d: rounded(C.width_curve(scored(s, d), ["model"], "p", "ok"), "cap"), f"WITH {_SCORED}, b AS (SELECT model, greatest(0, len(list_filter([{', '.join(f'{x!r}::DOUBLE' for x in C.edges())}], lambda x: x <= p)) - 1) AS bin, avg(ok::INT) AS cap, count(*) AS n FROM e GROUP BY 1, 2) SELECT f.model, f.bin, round(coalesce(cap, 0.5), 6) AS cap, coalesce(n, 0) AS n FROM (SELECT DISTINCT model, CAST(unnest(range(10)) AS INT) AS bin FROM e) f LEFT JOIN b ON b.model = f.model AND b.bin = f.bin"),
     "count_curve": (lambda s, d: rounded(C.count_curve(scored(s, d), ["model"], "d", "event_id", "ok"), "center", "cap"), f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY d, event_id) AS rn, count(*) OVER (PARTITION BY model) AS n FROM e) SELECT model, CAST(least((rn - 1) // greatest(1, n // 10), 9) AS INT) AS bin, round(avg(d), 6) AS center, round(avg(ok::INT), 6) AS cap, count(*) AS n FROM r GROUP BY 1, 2"),
-    "curve_interpolation": (lambda s, d: rounded(C.interpolate(C.count_curve(scored(s, d), ["model"], "d", "event_id", "ok"), ["model"], [0.0, 5.0, 20.0, 33.3, 1e9]), "value"), None),
-    "isotonic_curve": (lambda s, d: rounded(C.isotonic(C.count_curve(scored(s, d), ["model"], "d", "event_id", "ok"), ["model"], "center", "cap"), "fitted"), None),
+    "curve_interpolation": (lambda s, d: rounded(C.interpolate(C.count_curve(scored(s, d), ["model"], "d", "event_id", "ok"), ["model"], _AT), "value"), f"WITH {_COUNTED}, p AS (SELECT unnest([{', '.join(f'{x!r}::DOUBLE' for x in _AT)}]) AS d), lo AS (SELECT p.d, model, max(center) AS a FROM p JOIN curve ON center <= p.d GROUP BY 1, 2), hi AS (SELECT p.d, model, min(center) AS b FROM p JOIN curve ON center > p.d GROUP BY 1, 2), j AS (SELECT m.model, p.d, a, b, x.cap AS va, y.cap AS vb FROM (SELECT DISTINCT model FROM curve) m CROSS JOIN p LEFT JOIN lo ON lo.d = p.d AND lo.model = m.model LEFT JOIN hi ON hi.d = p.d AND hi.model = m.model LEFT JOIN curve x ON x.model = m.model AND x.center = a LEFT JOIN curve y ON y.model = m.model AND y.center = b) SELECT model, d, round(CASE WHEN a IS NULL THEN vb WHEN b IS NULL THEN va ELSE va + (vb - va) * (d - a) / (b - a) END, 6) AS value FROM j"),
+    "isotonic_curve": (lambda s, d: rounded(isotonic(C.count_curve(scored(s, d), ["model"], "d", "event_id", "ok"), ["model"], "center", "cap"), "center", "cap", "fitted"), f"WITH {_COUNTED}, {pooled_sql('curve', 'model', 'center', 'cap', 'fitted', 'pool')} SELECT model, round(center, 6) AS center, round(cap, 6) AS cap, round(fitted, 6) AS fitted FROM pool JOIN curve USING (model, center)"),
     "confusion_metrics": (lambda s, d: rounded(M.confusion(scored(s, d), ["model"], F.col("ok"), F.col("p") >= 0.3), "precision", "recall", "accuracy", "f1"), f"WITH {_SCORED}, c AS (SELECT model, count(*) FILTER (ok AND p >= 0.3) AS tp, count(*) FILTER (NOT ok AND p >= 0.3) AS fp, count(*) FILTER (ok AND p < 0.3) AS fn, count(*) FILTER (NOT ok AND p < 0.3) AS tn FROM e GROUP BY 1), m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS a, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS b FROM c) SELECT model, tp, fp, fn, tn, round(a, 6) AS precision, round(b, 6) AS recall, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS accuracy, round(coalesce(2 * a * b / nullif(a + b, 0), 0), 6) AS f1 FROM m"),
     "brier_score": (lambda s, d: rounded(scored(s, d).groupBy("model").agg(M.brier(F.col("ok"), F.col("p")).alias("brier")), "brier"), f"WITH {_SCORED} SELECT model, round(avg(power(p - ok::INT, 2)), 6) AS brier FROM e GROUP BY 1"),
     "calibration_error": (lambda s, d: rounded(M.calibration_error(scored(s, d), ["model"], "ok", "p", 10), "ece"), f"WITH {_SCORED}, b AS (SELECT model, len(list_filter([{', '.join(f'{k * (1.0 / 10)!r}::DOUBLE' for k in range(1, 10))}], lambda x: x <= p)) AS b, count(*) AS n, avg(ok::INT) AS acc, avg(p) AS conf FROM e GROUP BY 1, 2) SELECT model, round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM b GROUP BY 1"),

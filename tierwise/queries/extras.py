@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import curves as C
 from ..operators import fit as T
 from ..operators import relational as R
 from ..operators import search as S
 from ..operators.routing import FAMILIES
-from .analytics import _SCORED, rounded, scored
+from .analytics import _SCORED, pooled_sql, rounded, scored
 from .governed import _SCORES
 from .tables import t
 from .texts import _WORDS
@@ -133,6 +134,6 @@ QUERIES = {
     "simple_features": (family, _FAMILY),
     "stored_scores": (stored_scores, f"WITH {_SCORED}, f AS (SELECT *, 4.0::DOUBLE AS flat FROM e) SELECT event_id, {', '.join(map(_score, T.ZERO_SCALE))} FROM f"),
     "correlated_features": (selected, _SELECTED),
-    "smoothed_curve": (lambda s, d: rounded(S.smoothed_curve(scored(s, d), ["model"], "p", "ok", "risk"), "cap", "risk", "mean_risk", "center"), None),
+    "smoothed_curve": (lambda s, d: rounded(S.smoothed_curve(scored(s, d), ["model"], "p", "ok", "risk"), "cap", "risk", "mean_risk", "center"), f"WITH {_SCORED}, w AS (SELECT model, greatest(0, len(list_filter([{', '.join(f'{x!r}::DOUBLE' for x in C.edges())}], lambda x: x <= p)) - 1) AS bin, avg(ok::INT) AS cap, avg(risk) AS risk FROM e GROUP BY 1, 2), b AS (SELECT f.model, f.bin, coalesce(cap, 0.5) AS cap, coalesce(risk, 0.5) AS risk FROM (SELECT DISTINCT model, unnest(range(10)) AS bin FROM e) f LEFT JOIN w ON w.model = f.model AND w.bin = f.bin), {pooled_sql('b', 'model', 'bin', 'cap', 'cap', 'up')}, {pooled_sql('b', 'model', 'bin', 'risk', 'risk', 'down', '-')} SELECT model, bin::DOUBLE AS bin, round(cap, 6) AS cap, round(risk, 6) AS risk, round(mean_risk, 6) AS mean_risk, round((bin + 0.5) / 10, 6) AS center FROM up JOIN down USING (model, bin) JOIN (SELECT model, avg(risk) AS mean_risk FROM e GROUP BY 1) USING (model)"),
     "learned_weights": (learned, None),
 }

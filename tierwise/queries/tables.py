@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import nullsafe as N
 from ..operators import relational as R
+from ..operators.carried import ewm_mean
+from ..operators.ordered import percentiles as exact
 from ..streaming.routing import windowed_ratio
 
 
@@ -45,7 +47,7 @@ def centred(s, d):
 
 def ewm(s, d):
     e = t(s, d, "events").select("event_id", "user_id", "ts", "value")
-    return R.ewm_mean(e, ["user_id"], ["ts", "event_id"], "value", 0.3).select("event_id", F.round("ewm", 6).alias("ewm"))
+    return ewm_mean(e, ["user_id"], ["ts", "event_id"], "value", 0.3).select("event_id", F.round("ewm", 6).alias("ewm"))
 
 
 def bins_qcut(s, d):
@@ -58,7 +60,7 @@ def bins_cut(s, d):
 
 def percentiles(s, d):
     b = R.nearest_rank_bounds(t(s, d, "events"), ["event_type"], "value")
-    p = t(s, d, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.99)).alias("p99"))
+    p = exact(t(s, d, "events"), ["event_type"], "value", {"p50": 0.5, "p99": 0.99})
     return b.join(p, "event_type").select("event_type", *[F.round(c, 6).alias(c) for c in ("p05", "p95", "p50", "p99")])
 
 
