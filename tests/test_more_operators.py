@@ -221,7 +221,7 @@ def test_clean_splits_and_grid(spark):
     assert len(got) == 50 and "only_b" not in {r["sample"] for r in got} and {r["split"] for r in got} == {"train", "val", "test"}
     assert sum(r["fail_0"] + r["fail_1"] for r in counts.collect()) == 100
     train = spark.createDataFrame([(g, i / 40 + 0.1 * (i % 3), int(i > 20)) for g in "xy" for i in range(40)], "g string, f double, y int")
-    models = T.train_grid(train, train, ["g"], ["f"], "y", (0.1, 10.0))
+    models = [r.asDict() for r in T.train_grid(train, train, ["g"], ["f"], "y", (0.1, 10.0)).collect()]
     assert [m["g"] for m in models] == ["x", "y"] and all(m["f1"] > 0.8 and m["weights"][0] > 0 for m in models)
 
 

@@ -6,6 +6,11 @@ features (parts of speech, entities, dependencies) need a model that is not avai
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,7 @@ POSITIVE_WORDS = ("good", "great", "excellent", "amazing", "love", "positive", "
 NEGATIVE_WORDS = ("bad", "terrible", "awful", "hate", "negative", "worst", "sad", "angry")
 NEGATIONS = ("no", "not", "never", "none", "nothing", "neither", "nor", "without", "cannot", "can't", "won't")
 MODALS = ("can", "could", "may", "might", "must", "shall", "should", "will", "would")
+LISTS = (FORMAT_WORDS, ALGORITHM_WORDS, RELATION_WORDS, CREATIVITY_WORDS, TOPIC_WORDS, DISCOURSE_WORDS, POSITIVE_WORDS, NEGATIVE_WORDS, NEGATIONS, MODALS)
 MATH_MARKS, CODE_MARKS = "+-*/=<>^%", "+-*/=<>^%(){}[]:;_"
 QUERY_MARKERS, SUMMARY_MARKERS = ("question:", "query:", "instruction:", "task:"), ("summary:", "summarize", "write a summary")
 
@@ -82,7 +88,10 @@ def lexical_features(df: DataFrame, text: str, task: str) -> DataFrame:
     df = df.withColumns({"_x": t, "_low": F.lower(t), "_tok": tokens_of(t), "_ct": tokens_of(F.col("context")), "_sn": F.greatest(F.lit(1), F.size(sentences_of(t))).cast("double")})
     df = df.withColumns({"_qt": F.when(F.col("query") != "", tokens_of(F.col("query"))).otherwise(F.col("_tok")), "_word": F.filter("_tok", lambda w: w.rlike(WORD))})
     n, words, chars, sents = F.size("_tok").cast("double"), F.greatest(F.lit(1.0), F.size("_word").cast("double")), F.greatest(F.lit(1.0), F.length("_x").cast("double")), F.col("_sn")
-    hits = lambda ws: F.size(F.filter("_tok", lambda w: w.isin(*ws))).cast("double")
+    # One pass keeps the tokens of any list; the counts by list read only those.
+    listed = sorted({w for ws in LISTS for w in ws})
+    df = df.withColumn("_hit", F.filter("_tok", lambda w: w.isin(*listed)))
+    hits = lambda ws: F.size(F.filter("_hit", lambda w: w.isin(*ws))).cast("double")
     inside = lambda ws: sum((F.contains("_low", F.lit(w)).cast("int") for w in ws), F.lit(0))
     count = lambda col, *parts: sum((occurrences(F.col(col), p) for p in parts), F.lit(0))
     query, context = F.array_distinct("_qt"), F.array_distinct("_ct")
@@ -120,28 +129,40 @@ def lexical_features(df: DataFrame, text: str, task: str) -> DataFrame:
         "compression_ratio_proxy": F.size("_qt") / F.greatest(F.lit(1.0), source),
         "context_query_overlap_ratio": F.when((F.size("_qt") > 0) & (F.size("_ct") > 0), F.size(F.array_intersect(query, context)) / F.size(query)).otherwise(0.0),
     }
-    return df.withColumns(made).drop("_x", "_low", "_tok", "_ct", "_qt", "_word", "_sn", "context", "query")
+    return df.withColumns(made).drop("_x", "_low", "_tok", "_hit", "_ct", "_qt", "_word", "_sn", "context", "query")
+
+
+def okapi(sentences: list[list[str]], query: list[str], k1: float, b: float, epsilon: float) -> tuple[float, float]:
+    """Greatest and mean score of a query over sentences of at least one word."""
+    if not sentences or not query:
+        return 0.0, 0.0
+    n, mean_length = len(sentences), sum(map(len, sentences)) / len(sentences)
+    held = Counter()
+    for words in sentences:
+        held.update(set(words))
+    weight = lambda k: math.log((n - k + 0.5) / (k + 0.5))
+    mean = sum(weight(k) * c for k, c in Counter(held.values()).items()) / len(held)
+    asked = {t: c * (weight(held[t]) if weight(held[t]) >= 0 else epsilon * mean) for t, c in Counter(query).items() if t in held}
+    scores = []
+    for words in sentences:
+        norm = k1 * (1 - b + b * len(words) / mean_length)
+        scores.append(sum(asked[t] * f * (k1 + 1) / (f + norm) for t, f in Counter(w for w in words if w in asked).items()))
+    return max(scores), sum(scores) / n
 
 
 def bm25(df: DataFrame, key: str, context: str, query: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(key, bm25_max, bm25_mean): Okapi scores of the query over the sentences of its own context; 0 without words on a side.
 
-    Term counts are aggregated by key, sentence and term, so nothing is larger than the texts. Terms in more than half of the sentences have ``epsilon`` times the mean
-    weight of all terms of the context. A term of the query counts as often as it stands there.
+    The corpus of a score is its own row, so rows are scored where they are, in Arrow batches and in time linear in the text; repeated keys have a row each.
+    Terms in more than half of the sentences have ``epsilon`` times the mean weight of all terms of the context. A term of the query counts as often as it stands there.
     """
     words = lambda c: F.filter(tokens_of(c), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    rows = df.select(F.col(key).alias("_k"), F.filter(F.transform(sentences_of(F.coalesce(F.col(context), F.lit(""))), words), lambda s: F.size(s) > 0).alias("_s"), words(F.coalesce(F.col(query), F.lit(""))).alias("_q"))
-    size = rows.select("_k", F.size("_s").alias("_n"), F.try_divide(F.aggregate("_s", F.lit(0), lambda a, s: a + F.size(s)).cast("double"), F.size("_s")).alias("_avg"))
-    terms = rows.select("_k", F.posexplode("_s").alias("_i", "_w")).select("_k", "_i", F.size("_w").alias("_len"), F.explode("_w").alias("_t"))
-    tf = terms.groupBy("_k", "_i", "_t").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len"))
-    idf = tf.groupBy("_k", "_t").agg(F.count("*").alias("_df")).join(size, "_k").withColumn("_idf", F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
-    mean = idf.groupBy("_k").agg(F.avg("_idf").alias("_mean"))
-    asked = rows.select("_k", F.explode("_q").alias("_t")).groupBy("_k", "_t").agg(F.count("*").alias("_qtf"))
-    weights = idf.join(asked, ["_k", "_t"]).join(mean, "_k").select("_k", "_t", "_avg", (F.col("_qtf") * F.when(F.col("_idf") < 0, epsilon * F.col("_mean")).otherwise(F.col("_idf"))).alias("_w"))
-    part = F.col("_w") * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    scored = tf.join(weights, ["_k", "_t"]).groupBy("_k", "_i").agg(F.sum(part).alias("_s"))
-    best = scored.groupBy("_k").agg(F.max("_s").alias("_max"), F.sum("_s").alias("_sum"), F.count("*").alias("_hit"))
-    out = size.join(best, "_k", "left")
-    # Sentences without a term of the query score 0.
-    top = F.when(F.col("_hit") < F.col("_n"), F.greatest(F.lit(0.0), F.col("_max"))).otherwise(F.col("_max"))
-    return out.select(F.col("_k").alias(key), F.coalesce(top, F.lit(0.0)).alias("bm25_max"), F.coalesce(F.col("_sum") / F.col("_n"), F.lit(0.0)).alias("bm25_mean"))
+    sentences = F.filter(F.transform(sentences_of(F.coalesce(F.col(context), F.lit(""))), words), lambda s: F.size(s) > 0)
+    rows = df.select(key, sentences.alias("_s"), words(F.coalesce(F.col(query), F.lit(""))).alias("_q"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scored = [okapi(s, q, k1, b, epsilon) for s, q in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in scored], pa.float64()), pa.array([x for _, x in scored], pa.float64())], [key, "bm25_max", "bm25_mean"])
+
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, bm25_max double, bm25_mean double")

@@ -14,16 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import scratch
+from ..sources.files import written
 from .ordered import cuts, following, matched, scan
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _keys(b: pa.RecordBatch, names: list[str]) -> list[tuple]:
     return list(zip(*[b.column(b.schema.get_field_index(k)).to_pylist() for k in names], strict=True)) if names else [()] * b.num_rows
 
@@ -54,7 +48,7 @@ def ewm_mean(df: DataFrame, by: list[str], order_by: list[str], value: str, alph
             if columns:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_part", "_i", "_s", "_a", "_b"])
 
-    rows = _written(df.repartitionByRange(*by, *order_by).sortWithinPartitions(*by, *order_by).mapInArrow(run, schema))
+    rows = written(df.repartitionByRange(*by, *order_by).sortWithinPartitions(*by, *order_by).mapInArrow(run, schema))
     parts = rows.groupBy(*by, "_part").agg(F.max_by(F.struct("_s", "_a", "_b"), "_i").alias("_end"))
     chain = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", "_end"))).alias("_chain")).where(F.size("_chain") > 1)
     before = lambda n: F.aggregate(
@@ -107,11 +101,11 @@ def isotonic(curve: DataFrame, by: list[str], x: str, y: str, increasing: bool =
     sign = 1.0 if increasing else -1.0
     there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     rows = curve.select(*by, x, y).where(there(x) & there(y))
-    points = _written(rows.groupBy(*by, x).agg((sign * F.sum(F.col(y).cast("double"))).alias("_total"), F.count("*").cast("double").alias("_n")))
+    points = written(rows.groupBy(*by, x).agg((sign * F.sum(F.col(y).cast("double"))).alias("_total"), F.count("*").cast("double").alias("_n")))
     blocks, turn = points.withColumnRenamed(x, "_lo"), 0
     while True:
         parts = -(-blocks.count() // PART)
-        blocks = _written(_pooled(blocks, by, max(1, parts + turn % 2 if parts > 1 else parts)))
+        blocks = written(_pooled(blocks, by, max(1, parts + turn % 2 if parts > 1 else parts)))
         turn += 1
         if parts <= 1:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from .ordered import following, matched, percentiles, running
 
 
@@ -60,7 +61,7 @@ def feasible_tau(curve: DataFrame, by: list[str], cap_target: str, risk_target:
 
 def adaptive_tau(df: DataFrame, by: list[str], d: str, correct: str, risk: str) -> DataFrame:
     """Targets from the candidates themselves: median capability and upper quartile of risk."""
-    c = prefix_curve(df, by, d, correct, risk)
+    c = written(prefix_curve(df, by, d, correct, risk))
     t = matched(percentiles(c, by, "cap", {"cap_t": 0.5}), percentiles(c, by, "risk", {"risk_t": 0.75}), by)
     return feasible_tau(matched(c, t, by), by, "cap_t", "risk_t")
 

@@ -11,6 +11,7 @@ from ..operators import relational as R
 from ..operators import search as S
 from ..operators.routing import FAMILIES
 from .analytics import _SCORED, pooled_sql, rounded, scored
+from .analytics import QUERIES as CURVES
 from .governed import _SCORES
 from .tables import t
 from .texts import _WORDS
@@ -121,7 +122,28 @@ def decided(s, d):
     return G.decide(x).select("doc_id", "gate", F.round("s3_score", 6).alias("s3"), "tier", "tau_route")
 
 
+def graded(balanced):
+    """Failure models of each model's events, learned from four fifths of them and graded on the others."""
+
+    def run(s, d):
+        e = scored(s, d).withColumn("failed", ~F.col("ok") | (F.col("p") > 0.7))
+        part = F.pmod("event_id", F.lit(5))
+        got = T.train_grid(e.where(part < 4), e.where(part == 4), ["model"], ["p", "risk"], "failed", balanced=balanced)
+        return got.select("model", "c", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), F.round("bias", 6).alias("bias"), F.round("f1", 6).alias("f1"), "tau")
+
+    return run
+
+
+def validation_modes(s, d):
+    """Thresholds of each model in the modes of validation."""
+    runs = [S.run_validation(scored(s, d), ["model"], "d", "ok", "risk", "ok", m).select(F.lit(m).alias("mode"), "model", "tau") for m in ("fixed", "adaptive")]
+    return runs[0].unionByName(runs[1])
+
+
 QUERIES = {
+    "logistic_grid": (graded(False), None),
+    "balanced_grid": (graded(True), None),
+    "validation_modes": (validation_modes, f"SELECT 'fixed' AS mode, model, tau FROM ({CURVES['tau_fixed'][1]}) UNION ALL SELECT 'adaptive', model, tau FROM ({CURVES['tau_adaptive'][1]})"),
     "cell_operators": (cells, "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN -1.0::DOUBLE ELSE value END AS v, CASE WHEN event_id < 3 THEN [10, 20, 30][event_id + 1] END AS three, 'c' AS same, 'none' AS absent, event_type AS there, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 7 ELSE event_id END AS as_int, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 7.9::DOUBLE ELSE event_id::DOUBLE END AS as_float, CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 1 THEN false ELSE value <> 0 END AS as_bool, CASE WHEN event_id % 5 = 0 THEN 'x' WHEN event_id % 5 = 1 THEN '7.9' ELSE event_id::VARCHAR END AS as_is FROM events"),
     "row_apply": (doubled, "SELECT n_nationkey::BIGINT * 2 AS n_nationkey, n_name[1] AS initial FROM nation"),
     "row_at": (places, "(SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 3) UNION ALL (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 1 OFFSET 1)"),

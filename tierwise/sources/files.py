@@ -91,6 +91,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written once to a new folder that all executors share: it cuts the lineage, and later steps read it again without its work."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def records(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
     """A table from rows: lists as long as the schema or shorter (the rest is null), or dicts (missing fields are null)."""
     kind = spark.createDataFrame([], schema).schema
