@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import rollups as P
+from ..operators import routing as G
 from ..operators import smoothing as S
 from .analytics import _SCORED, rounded, scored
 from .tables import t
@@ -56,12 +57,30 @@ def sanitised(s, d):
     return s.createDataFrame([(k, f) for k, fs in got.items() for f in fs], "verdict string, feature string")
 
 
+def recalibrated(s, d):
+    """New limits and scores of each event type, from its runs as test reports and its events as validation runs."""
+    e, k = scored(s, d).withColumnRenamed("model", "task"), F.col("event_id")
+    valid = e.select("task", F.when(k % 3 != 0, F.col("p")).alias("tau_cap"), F.when(k % 4 != 0, F.col("risk")).alias("tau_risk"))
+    got = P.recalibrated_policy(runs(s, d).withColumnRenamed("fail", "positive_rate"), valid, e.groupBy("task").agg((F.avg("d") / 20).alias("s3")), _BASE)
+    return rounded(got, "tau1", "tau2", n=3)
+
+
+def frozen(s, d):
+    """Frozen thresholds by event type; views have no strict validation row, so their test runs count."""
+    e, k = scored(s, d).withColumnRenamed("model", "task"), F.col("event_id")
+    tau = F.when(k % 5 != 0, F.col("p") * 1.5).alias("tau")
+    strict = (k % 3 == 0) & (F.col("task") != "view")
+    valid = e.select("task", tau, F.when(strict, "strict_feasible_max").otherwise("fallback_min_violation").alias("source"), F.when(k % 2 == 0, "True").otherwise("false").alias("passed"))
+    return rounded(G.frozen_taus(e.select("task").distinct(), valid, e.select("task", F.col("risk").alias("tau"))), "tau")
+
+
 _NAMES = f"len(list_filter(range(2, len(w) + 1), lambda i: regexp_matches(w[i], '^[A-Z][a-z]') AND NOT regexp_matches(w[i - 1], '[.!?]$')))"
 _AT = "list_transform(list_filter(range(1, len(w) + 1), lambda i: regexp_replace(lower(w[i]), '^[,;:.]+|[,;:.]+$', '', 'g') IN (" + ", ".join(f"'{b}'" for b in X.BREAKS) + ")), lambda i: greatest(i - 1, len(w) - i))"
 
 QUERIES = {
     "difficulty_proxies": (proxies, f"WITH x AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS w FROM documents), y AS (SELECT *, {_AT} AS brk FROM x) SELECT doc_id, round(0.6::DOUBLE * ({_cues(X.REASONING_CUES)}) + 0.25::DOUBLE * len(regexp_extract_all(lower(text), '{X.CLAUSES}')), 6) AS reasoning, round(least(1.0::DOUBLE, (({_cues(X.KNOWLEDGE_CUES)}) + least(2.0::DOUBLE, {_NAMES} / 3.0::DOUBLE) + least(1.5::DOUBLE, len(regexp_extract_all(text, '\\b(19|20)\\d{{2}}\\b')) / 2.0::DOUBLE)) / 6.0::DOUBLE), 6) AS knowledge, round(CASE WHEN len(w) < 2 THEN 0.0::DOUBLE WHEN len(brk) = 0 THEN greatest(1.0::DOUBLE, len(w) / 8.0::DOUBLE) ELSE list_avg(brk) END, 6) AS distance FROM y"),
     "tier_policy": (policy, f"WITH {_RUNS}, m AS (SELECT task, avg(fail) AS fail, avg(f1) AS f1, avg(ece) AS ece FROM r GROUP BY 1), k AS (SELECT *, greatest(0, fail - 0.35::DOUBLE) * 2.2::DOUBLE + greatest(0, 0.7::DOUBLE - f1) * 1.4::DOUBLE + greatest(0, ece - 0.2::DOUBLE) - greatest(0, f1 - 0.85::DOUBLE) * 0.8::DOUBLE - greatest(0, 0.2::DOUBLE - fail) * 0.6::DOUBLE AS delta, CASE task WHEN 'purchase' THEN 2.4::DOUBLE WHEN 'view' THEN 2.5::DOUBLE ELSE 3.2::DOUBLE END AS b1, CASE task WHEN 'purchase' THEN 3.2::DOUBLE WHEN 'view' THEN 3.3::DOUBLE ELSE 4.0::DOUBLE END AS b2 FROM m), n AS (SELECT *, greatest(2.0::DOUBLE, least(4.0::DOUBLE, b1 - delta)) AS t1 FROM k) SELECT task, round_even(t1, 3) AS tau1, round_even(greatest(t1 + 0.4::DOUBLE, least(4.5::DOUBLE, b2 - delta)), 3) AS tau2, round_even(fail, 4) AS fail, round_even(f1, 4) AS f1, round_even(ece, 4) AS ece, round_even(delta, 4) AS delta FROM n"),
+    "frozen_taus": (frozen, f"WITH {_SCORED}, v AS (SELECT model AS task, CASE WHEN event_id % 5 <> 0 THEN p * 1.5::DOUBLE END AS tau, event_id % 3 = 0 AND model <> 'view' AND event_id % 2 = 0 AS strict, risk FROM e) SELECT task, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(avg(tau) FILTER (strict), avg(risk), avg(tau), 0.5::DOUBLE))), 6) AS tau FROM v GROUP BY 1"),
     "quadrant_zones": (zones, f"WITH {_SCORED}, g AS (SELECT model, floor(d / 5)::INT AS bin, avg(ok::INT) >= 0.6 AS a, avg(risk) <= 0.15 AS b FROM e GROUP BY 1, 2) SELECT model, bin, CASE WHEN a AND b THEN 'Zone1' WHEN a THEN 'Zone2' WHEN b THEN 'Zone3' ELSE 'Zone4' END AS zone FROM g"),
     "zone_strategies": (strategies, f"WITH {_SCORED}, g AS (SELECT model, avg(d) AS tau FROM e GROUP BY 1) SELECT round(min(tau), 6) AS conservative, round(avg(tau), 6) AS balanced, round(max(tau), 6) AS aggressive FROM g"),
     "kernel_smoothing": (lambda s, d: rounded(S.kernel_smooth(scored(s, d), ["model"], "d", "ok"), "value"), f"WITH {_SCORED}, f AS (SELECT model, d, ok::INT AS y FROM e), h AS (SELECT model, count(*) AS c, 1.06::DOUBLE * CASE WHEN stddev_pop(d) > 0 THEN stddev_pop(d) ELSE 1 END * pow(count(*), -0.2::DOUBLE) AS h FROM f GROUP BY 1), g AS (SELECT model, d, count(*) AS n, sum(y) AS s FROM f GROUP BY 1, 2) SELECT a.model, a.d, a.n, round(sum(b.s * exp(-0.5::DOUBLE * pow((a.d - b.d) / h, 2))) / sum(b.n * exp(-0.5::DOUBLE * pow((a.d - b.d) / h, 2))), 6) AS value FROM g a JOIN g b USING (model) JOIN h USING (model) GROUP BY 1, 2, 3"),
@@ -72,3 +91,9 @@ QUERIES = {
     "bootstrap_interval": (lambda s, d: S.bootstrap_mean(scored(s, d), ["model"], "p", "event_id"), None),
     "sanitised_features": (sanitised, None),
 }
+
+_LIMITS = QUERIES["tier_policy"][1]
+QUERIES["recalibrated_policy"] = (
+    recalibrated,
+    f"WITH {_SCORED}, lim AS (SELECT task, tau1, tau2 FROM ({_LIMITS})), r AS (SELECT model AS task, avg(least(coalesce(CASE WHEN event_id % 3 <> 0 THEN p END, 9.0::DOUBLE), coalesce(CASE WHEN event_id % 4 <> 0 THEN risk END, 9.0::DOUBLE))) AS t, avg(d) / 20 AS s3 FROM e GROUP BY 1), rec AS (SELECT task, CAST(CASE WHEN t <= 0.2 THEN 4 WHEN t <= 0.5 THEN 3 WHEN s3 < 2.2 THEN 2 END AS INT) AS level FROM r) SELECT task, tau1, tau2, level AS SK, level AS TC FROM lim FULL JOIN (SELECT * FROM rec WHERE level IS NOT NULL) USING (task)",
+)
