@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import nullsafe as N
 from ..functions import text as X
 from ..operators import curves as C
 from ..operators import fit as T
+from ..operators import governance as GV
 from ..operators import relational as R
 from ..operators import search as S
 from ..operators.routing import FAMILIES
@@ -140,7 +142,25 @@ def validation_modes(s, d):
     return runs[0].unionByName(runs[1])
 
 
+def deployed(s, d):
+    """Route that a tier deploys, a gated feature and a squashed one, of each event."""
+    k = F.col("event_id")
+    final = F.element_at(F.array(*[F.lit(x) for x in GV.TIERS]), (k % 4 + 1).cast("int"))
+    route = GV.deploy(final, F.when(k % 3 == 0, "SLM").otherwise("HYBRID_ABSTAIN"))
+    only = X.gated(F.col("event_type"), ("view", "click"), {"gated": F.col("value")})
+    return t(s, d, "events").select("event_id", route.alias("route"), F.round(N.sigmoid(F.col("value") - 50), 9).alias("squashed"), only["gated"].alias("gated"), N.differ(F.when(k % 3 == 0, k), F.when(k % 2 == 0, k)).alias("differ"))
+
+
+def extremes(s, d):
+    """Least and greatest number of each event type, and whether all that is there is a number."""
+    k = F.col("event_id")
+    e = t(s, d, "events").withColumn("v", F.when(k % 4 == 0, float("nan")).when(k % 4 != 1, F.col("value"))).withColumn("w", F.when((k % 97 == 0) & (F.col("event_type") == "view"), "x").otherwise(F.col("value").cast("string")))
+    return e.groupBy("event_type").agg(N.min_valid(F.col("v")).alias("least"), N.max_valid(F.col("v")).alias("most"), N.is_numeric(F.col("w")).alias("numeric"))
+
+
 QUERIES = {
+    "deployed_routes": (deployed, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SLM' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 'SLM' ELSE 'HYBRID_ABSTAIN' END ELSE 'LLM' END AS route, round(1 / (1 + exp(-greatest(-35.0::DOUBLE, least(35.0::DOUBLE, value - 50)))), 9) AS squashed, CASE WHEN event_type IN ('view', 'click') THEN value ELSE 0.0::DOUBLE END AS gated, CASE WHEN event_id % 3 = 0 THEN event_id END IS DISTINCT FROM CASE WHEN event_id % 2 = 0 THEN event_id END AS differ FROM events"),
+    "valid_extremes": (extremes, "SELECT event_type, min(value) FILTER (event_id % 4 > 1) AS least, max(value) FILTER (event_id % 4 > 1) AS most, NOT bool_or(event_id % 97 = 0 AND event_type = 'view') AS numeric FROM events GROUP BY 1"),
     "logistic_grid": (graded(False), None),
     "balanced_grid": (graded(True), None),
     "validation_modes": (validation_modes, f"SELECT 'fixed' AS mode, model, tau FROM ({CURVES['tau_fixed'][1]}) UNION ALL SELECT 'adaptive', model, tau FROM ({CURVES['tau_adaptive'][1]})"),
