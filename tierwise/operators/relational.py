@@ -180,3 +180,13 @@ def difficulty_bins(df: DataFrame, score: str, by: list[str], n_bins: int = 5, m
     if method not in ("quantile", "uniform"):
         raise ValueError("method must be 'quantile' or 'uniform'")
     return (qcut if method == "quantile" else cut)(df, score, n_bins, by, out)
+
+
+def bin_proxy(bin_: Column, default: float = 5.0, last: float = 9.0) -> Column:
+    """Difficulty that a bin stands for, as its share of the last one; without a bin that of the default."""
+    return F.coalesce(num(bin_), F.lit(default)) / last
+
+
+def bin_of_difficulty(difficulty: Column, bins: int = 4) -> Column:
+    """Bin of a difficulty from 0 to 1, cut towards 0; 1 itself is a bin of its own, and null stays null."""
+    return (num(difficulty) * bins).cast("int")

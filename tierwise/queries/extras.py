@@ -158,7 +158,13 @@ def extremes(s, d):
     return e.groupBy("event_type").agg(N.min_valid(F.col("v")).alias("least"), N.max_valid(F.col("v")).alias("most"), N.is_numeric(F.col("w")).alias("numeric"))
 
 
+def bin_proxies(s, d):
+    k = F.col("event_id")
+    return scored(s, d).select("event_id", F.round(R.bin_proxy(F.when(k % 5 != 0, k % 10)), 9).alias("proxy"), R.bin_of_difficulty(F.when(k % 7 != 0, F.col("p"))).alias("bin"))
+
+
 QUERIES = {
+    "bin_proxies": (bin_proxies, f"WITH {_SCORED} SELECT event_id, round(coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 10 END, 5) / 9.0::DOUBLE, 9) AS proxy, CAST(trunc(CASE WHEN event_id % 7 <> 0 THEN p END * 4) AS INT) AS bin FROM e"),
     "deployed_routes": (deployed, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SLM' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 'SLM' ELSE 'HYBRID_ABSTAIN' END ELSE 'LLM' END AS route, round(1 / (1 + exp(-greatest(-35.0::DOUBLE, least(35.0::DOUBLE, value - 50)))), 9) AS squashed, CASE WHEN event_type IN ('view', 'click') THEN value ELSE 0.0::DOUBLE END AS gated, CASE WHEN event_id % 3 = 0 THEN event_id END IS DISTINCT FROM CASE WHEN event_id % 2 = 0 THEN event_id END AS differ FROM events"),
     "valid_extremes": (extremes, "SELECT event_type, min(value) FILTER (event_id % 4 > 1) AS least, max(value) FILTER (event_id % 4 > 1) AS most, NOT bool_or(event_id % 97 = 0 AND event_type = 'view') AS numeric FROM events GROUP BY 1"),
     "logistic_grid": (graded(False), None),
