@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_name, stable_unit
+from ..sources.files import written
+from .ordered import matched
 from .profiles import first_clean
 from .relational import common_ids
 
@@ -23,35 +25,49 @@ def label_counts(df: DataFrame, by: list[str], failed: str) -> DataFrame:
 
 
 def repair_train(assigned: DataFrame, passes: int = 3) -> DataFrame:
-    """Moves single ids so that every model of a task has both labels in its training rows, where it has both at all.
+    """(task, sample, split): moves single ids so that every model of a task has both labels in its training rows, where it has both at all.
 
-    assigned: task, sample, split, model, model_order, failed; a few hundred ids a task, which one task of an applyInPandas holds. Each
-    pass visits the models in order; the first id outside of train with the missing label goes in, the last of train with the other one goes to val.
+    assigned: task, sample (not null), split, model_order (small whole numbers), failed (null: false). Each pass visits the models in order; the first id
+    outside of train with the missing label goes in, the last one of the model inside goes to val. A model without training rows moves nothing.
+
+    A visit is one aggregate by task of the model's rows, with four extremes a task, of the tasks that lack a label somewhere; what has moved is kept apart, two
+    ids a task and visit at most. So a task may have any number of ids, and only the number of models and passes sets the number of jobs.
     """
-    import pandas as pd
-
-    def fix(g: pd.DataFrame) -> pd.DataFrame:
-        labels = {m: dict(zip(x["sample"], x["failed"].astype(bool))) for m, x in g.sort_values("model_order").groupby("model", sort=False)}
-        split = dict(zip(g["sample"], g["split"]))
-        ids = sorted(split)
-        for _ in range(passes):
-            before = dict(split)
-            for rows in labels.values():
-                inside = [i for i in ids if split[i] == "train"]
-                kinds, every = {rows[i] for i in inside if i in rows}, set(rows.values())
-                if len(kinds) != 1 or len(every) < 2:
-                    continue
-                wanted = (every - kinds).pop()
-                enter = next((i for i in ids if split[i] != "train" and rows.get(i) == wanted), None)
-                leave = next((i for i in reversed(inside) if rows.get(i, wanted) != wanted), None)
-                if enter is not None and leave is not None:
-                    split[enter], split[leave] = "train", "val"
-            if split == before:
-                break
-        return pd.DataFrame({"task": g["task"].iloc[0], "sample": ids, "split": [split[i] for i in ids]})
-
-    kind = assigned.schema["sample"].dataType.simpleString()
-    return assigned.groupBy("task").applyInPandas(fix, f"task string, sample {kind}, split string")
+    inside, failed = F.coalesce(F.col("split") == "train", F.lit(False)), F.coalesce("failed", F.lit(False))
+    rows = assigned.select("task", "sample", "split", "model_order", failed.alias("failed"))
+    labels = rows.groupBy("task", "model_order").agg(F.count_distinct("failed").alias("_all"), F.count_distinct(F.when(inside, F.col("failed"))).alias("_in"))
+    lacking = matched(rows, labels.where("_all = 2 AND _in = 1").select("task").distinct(), ["task"], "left_semi")
+    lacking = written(lacking.select(*rows.columns))
+    ends = lacking.agg(F.min("model_order").alias("first"), F.max("model_order").alias("last")).first()
+    moves = None
+    for _ in range(passes if ends.first is not None else 0):
+        settled = True
+        for order in range(ends.first, ends.last + 1):
+            now = lacking.where(F.col("model_order") == order)
+            swap = written(_swaps(now if moves is None else _moved(now, moves)))
+            if not swap.isEmpty():
+                settled, new = False, swap.select("task", F.explode(F.array(F.struct(F.col("enter").alias("sample"), F.lit("train").alias("to")), F.struct(F.col("leave").alias("sample"), F.lit("val").alias("to")))).alias("_m")).select("task", "_m.*")
+                moves = written(new if moves is None else new.unionByName(moves.alias("old").join(new.alias("new"), F.expr("old.task <=> new.task AND old.sample = new.sample"), "left_anti")))
+        if settled:
+            break
+    out = assigned.select("task", "sample", "split").distinct()
+    return out if moves is None else _moved(out, moves)
+
+
+def _moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """Rows with the split that their ids were moved to."""
+    return matched(rows, moves, ["task", "sample"], "left").withColumn("split", F.coalesce("to", "split")).drop("to")
+
+
+def _swaps(rows: DataFrame) -> DataFrame:
+    """(task, enter, leave) of the tasks where one model's rows have one label in train and another one elsewhere."""
+    inside, at = F.coalesce(F.col("split") == "train", F.lit(False)), F.col("sample")
+    ends = rows.groupBy("task").agg(
+        F.max(F.when(inside & F.col("failed"), at)).alias("bad_in"), F.max(F.when(inside & ~F.col("failed"), at)).alias("good_in"),
+        F.min(F.when(~inside & F.col("failed"), at)).alias("bad_out"), F.min(F.when(~inside & ~F.col("failed"), at)).alias("good_out"),
+    )
+    enter = F.when(F.col("bad_in").isNull() & F.col("good_in").isNotNull(), F.col("bad_out")).when(F.col("bad_in").isNotNull() & F.col("good_in").isNull(), F.col("good_out"))
+    return ends.select("task", enter.alias("enter"), F.coalesce("bad_in", "good_in").alias("leave")).where("enter IS NOT NULL")
 
 
 def build_clean_splits(rows: DataFrame, ranks: dict[str, int], seed: str = "42", cap: int | None = 250) -> tuple[DataFrame, DataFrame]:
@@ -61,9 +77,11 @@ def build_clean_splits(rows: DataFrame, ranks: dict[str, int], seed: str = "42",
     have are split by a stable hash and repaired, so that training rows hold both labels where there are both.
     """
     first = first_clean(rows, ranks)
-    order = F.dense_rank().over(Window.partitionBy("task").orderBy("model"))
+    order = F.row_number().over(Window.partitionBy("task").orderBy("model")).alias("model_order")
     split = build_splits(first, "task", "model", "canonical_id", seed, cap)
-    labelled = first.join(split, ["task", "canonical_id"]).select("task", F.col("canonical_id").alias("sample"), "split", "model", order.alias("model_order"), "failed")
+    labelled = first.join(split, ["task", "canonical_id"]).select("task", F.col("canonical_id").alias("sample"), "split", "model", "failed")
+    models = labelled.select("task", "model").distinct().select("task", "model", order)
+    labelled = written(labelled.join(models, ["task", "model"]))
     repaired = repair_train(labelled)
     counts = label_counts(labelled.drop("split").join(repaired, ["task", "sample"]), ["task", "model", "split"], "failed")
     return repaired, counts

@@ -11,6 +11,7 @@ from ..operators import fit as T
 from ..operators import governance as GV
 from ..operators import relational as R
 from ..operators import search as S
+from ..operators import splits as P
 from ..operators.routing import FAMILIES
 from .analytics import _SCORED, pooled_sql, rounded, scored
 from .analytics import QUERIES as CURVES
@@ -163,7 +164,43 @@ def bin_proxies(s, d):
     return scored(s, d).select("event_id", F.round(R.bin_proxy(F.when(k % 5 != 0, k % 10)), 9).alias("proxy"), R.bin_of_difficulty(F.when(k % 7 != 0, F.col("p"))).alias("bin"))
 
 
+def _calls(s, d):
+    """Calls of three models on the ids of each task: every row of lineitem is a call, of which few fail."""
+    x = t(s, d, "lineitem")
+    return x.select(F.concat(F.lit("n"), F.col("l_linenumber")).alias("task"), F.col("l_returnflag").alias("model"), F.col("l_suppkey").cast("string").alias("canonical_id"), F.col("l_linestatus").alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), (F.col("l_quantity") >= 50).alias("failed"))
+
+
+def clean_splits(s, d):
+    return P.build_clean_splits(_calls(s, d), {"F": 0, "O": 1}, cap=None)[0]
+
+
+def clean_counts(s, d):
+    return P.build_clean_splits(_calls(s, d), {"F": 0, "O": 1}, cap=None)[1]
+
+
+def _visits(passes, models):
+    """SQL of the visits of a repair: each model's, in each pass."""
+    at, out = 0, []
+    for _ in range(passes):
+        for m in range(1, models + 1):
+            ends = ", ".join(f"{f}(sample) FILTER ({'split' if i else 'NOT split'} AND {'' if y else 'NOT '}failed) AS {f[1]}{int(y)}" for f, i in (("max", True), ("min", False)) for y in (True, False))
+            out.append(f"""s{at + 1} AS MATERIALIZED (SELECT s.task, s.sample, CASE WHEN s.sample = enter THEN 'train' WHEN s.sample = leave THEN 'val' ELSE split END AS split FROM s{at} s LEFT JOIN (
+ SELECT task, CASE WHEN a1 IS NULL AND a0 IS NOT NULL THEN i1 WHEN a1 IS NOT NULL AND a0 IS NULL THEN i0 END AS enter, coalesce(a1, a0) AS leave FROM (
+  SELECT task, {ends} FROM (SELECT r.task, r.sample, failed, split = 'train' AS split FROM r JOIN s{at} USING (task, sample) WHERE model_order = {m}) GROUP BY 1)) m ON m.task = s.task AND enter IS NOT NULL)""")
+            at += 1
+    return ", ".join(out), f"s{at}"
+
+
+_VISITS, _REPAIRED = _visits(3, 3)
+_SPLITS = f"""c AS (SELECT 'n' || l_linenumber AS task, l_returnflag AS model, l_suppkey::VARCHAR AS sample, l_quantity >= 50 AS failed FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_linenumber, l_returnflag, l_suppkey ORDER BY CASE l_linestatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, l_orderkey * 8 + l_linenumber) = 1),
+ ids AS (SELECT task, sample FROM c JOIN (SELECT task, count(DISTINCT model) AS models FROM c GROUP BY 1) USING (task) WHERE models >= 2 GROUP BY 1, 2, models HAVING count(*) = models),
+ s0 AS MATERIALIZED (SELECT task, sample, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, ('0x' || substr(sha256('42:' || task || ':' || sample), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM ids)),
+ r AS MATERIALIZED (SELECT c.*, dense_rank() OVER (PARTITION BY task ORDER BY model) AS model_order FROM c JOIN ids USING (task, sample)), {_VISITS}"""
+
+
 QUERIES = {
+    "clean_splits": (clean_splits, f"WITH {_SPLITS} SELECT * FROM {_REPAIRED}"),
+    "clean_split_counts": (clean_counts, f"WITH {_SPLITS} SELECT task, model, split, count(*) FILTER (NOT failed) AS fail_0, count(*) FILTER (failed) AS fail_1 FROM r JOIN {_REPAIRED} USING (task, sample) GROUP BY 1, 2, 3"),
     "bin_proxies": (bin_proxies, f"WITH {_SCORED} SELECT event_id, round(coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 10 END, 5) / 9.0::DOUBLE, 9) AS proxy, CAST(trunc(CASE WHEN event_id % 7 <> 0 THEN p END * 4) AS INT) AS bin FROM e"),
     "deployed_routes": (deployed, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SLM' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 'SLM' ELSE 'HYBRID_ABSTAIN' END ELSE 'LLM' END AS route, round(1 / (1 + exp(-greatest(-35.0::DOUBLE, least(35.0::DOUBLE, value - 50)))), 9) AS squashed, CASE WHEN event_type IN ('view', 'click') THEN value ELSE 0.0::DOUBLE END AS gated, CASE WHEN event_id % 3 = 0 THEN event_id END IS DISTINCT FROM CASE WHEN event_id % 2 = 0 THEN event_id END AS differ FROM events"),
     "valid_extremes": (extremes, "SELECT event_type, min(value) FILTER (event_id % 4 > 1) AS least, max(value) FILTER (event_id % 4 > 1) AS most, NOT bool_or(event_id % 97 = 0 AND event_type = 'view') AS numeric FROM events GROUP BY 1"),
