@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..sources.files import written
 from .metrics import best_f1_threshold, correlation
 from .ordered import matched
+from .simplex import learn_weights, simplex_weights  # noqa: F401
 
 
 def fit_logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0) -> dict:
@@ -75,83 +76,6 @@ def select_by_correlation(df: DataFrame, by: list[str], features: list[str], tar
     return rows.select(*by, F.col("_q.feature").alias("feature"), F.col("_q.r").alias("r"), F.when(F.col("_e"), -F.col("_q.k") >= least).otherwise(F.col("_n") < 2).alias("active"))
 
 
-def simplex_weights(x: np.ndarray, y: np.ndarray, steps: int = 800, rate: float = 0.05, slope: float = 8.0, folds: int = 3, grid: tuple[float, ...] = (1e-3, 1e-2, 0.1, 0.3), base: float = 1e-2, least: float = 0.03) -> tuple[np.ndarray, float]:
-    """Weights that sum to 1 of features whose weighted, normalised sum tells the targets (0 to 1), and the regularisation chosen.
-
-    Features are bounded by their 5th and 95th percentiles; rows are weighted so that both kinds of targets count alike. A step
-    goes down the gradient of the loss, less ``ent`` times (1 + log w), and back onto the simplex. ``ent`` is the one with the least loss over folds by rank of
-    the target; rare targets (under 20 or 10 in 100) raise its floor. Features that never vary or hardly correlate get almost nothing.
-    """
-    n, d = x.shape
-    y = np.clip(y, 0, 1)
-
-    def bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v, m = np.sort(rows, axis=0), len(rows)
-        low, high = v[int(0.05 * m)], v[min(m - 1, int(0.95 * m))]
-        return low, np.where(high <= low, low + 1.0, high)
-
-    def normal(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return np.clip((rows - low) / (high - low), 0, 1)
-
-    def descend(z: np.ndarray, t: np.ndarray, ent: float) -> np.ndarray:
-        pos = t > 0.5
-        weight = np.where(pos, len(t) / (2 * max(1, pos.sum())), len(t) / (2 * max(1, (~pos).sum())))
-        w = np.full(z.shape[1], 1 / z.shape[1])
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(slope * (z @ w - 0.5), -35, 35)))
-            g = slope * ((p - t) * weight) @ z / len(t) - ent * (np.log(np.maximum(w, 1e-9)) + 1)
-            w = np.maximum(np.maximum(w, 1e-9) - rate * g, 0)
-            w = np.full(len(w), 1 / len(w)) if w.sum() <= 0 else np.maximum(w / w.sum(), 1e-9)
-            w = w / w.sum()
-        return w
-
-    varies = x.max(axis=0) - x.min(axis=0) >= 1e-9
-    usable = np.flatnonzero(varies) if varies.any() else np.arange(d)
-    sd, r = x.std(axis=0), np.zeros(d)
-    if y.std() >= 1e-9:
-        ok = sd >= 1e-9
-        r[ok] = ((x - x.mean(axis=0)) * (y - y.mean())[:, None]).mean(axis=0)[ok] / (sd[ok] * y.std())
-    active = [k for k in usable if abs(r[k]) >= least]
-    if len(active) < 2:
-        active = sorted(usable, key=lambda k: -abs(r[k]))[:2]
-    share = (y > 0.5).mean()
-    floor = 0.1 if share < 0.1 else 0.03 if share < 0.2 else 0.0
-    xs, best, chosen = x[:, active], np.inf, max(floor, base)
-    if n >= 8:
-        k = max(2, min(folds, n))
-        fold = np.empty(n, int)
-        fold[np.argsort(y, kind="stable")] = np.arange(n) % k
-        for ent in [e for e in grid if e >= floor] or [max(floor, 1e-3)]:
-            losses = []
-            for f in range(k):
-                a, b = fold != f, fold == f
-                if a.any() and b.any():
-                    lim = bounds(xs[a])
-                    w = descend(normal(xs[a], *lim), y[a], ent)
-                    p = np.clip(1 / (1 + np.exp(-np.clip(slope * (normal(xs[b], *lim) @ w - 0.5), -35, 35))), 1e-9, 1 - 1e-9)
-                    losses.append(-(y[b] * np.log(p) + (1 - y[b]) * np.log(1 - p)).mean())
-            if losses and np.mean(losses) < best:
-                best, chosen = np.mean(losses), ent
-    chosen = max(floor, chosen)
-    out = np.full(d, 1e-9)
-    out[active] = descend(normal(xs, *bounds(xs[: max(1, int(0.8 * n))])), y, chosen)
-    return out / out.sum(), float(chosen)
-
-
-def learn_weights(df: DataFrame, by: list[str], features: list[str], target: str, order_by: list[str]) -> DataFrame:
-    """(by, weights, entropy_reg) by group; a group is a task's training rows, some thousands, in the order given. Missing values count as 0."""
-    import pandas as pd
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
-
-    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order_by)
-        w, ent = simplex_weights(g[features].fillna(0.0).to_numpy(float), g[target].fillna(0.0).to_numpy(float))
-        return pd.DataFrame([[*key, w.tolist(), ent]], columns=[*by, "weights", "entropy_reg"])
-
-    return df.select(*by, *order_by, *features, target).groupBy(*by).applyInPandas(fit, f"{kinds}, weights array<double>, entropy_reg double")
-
-
 #: Newton steps at most, and the largest change of a weight at which they end.
 STEPS, SETTLED = 40, 1e-9
 

@@ -112,13 +112,14 @@ def percentiles(df: DataFrame, by: list[str], value: str, at: dict[str, float])
     return found.select(*by, *[between(a) for a in at])
 
 
-def ranked(df: DataFrame, by: list[str], value: str, position: str, out: str = "_rank") -> DataFrame:
-    """Rows with their rank from 0 by value and then position, in their group; rows equal in both share the first one's rank."""
-    one = F.lit(1)
-    first = running(df, by, value, _n=one).select(*by, value, F.col("below__n").alias("_b1"))
-    second = running(df, [*by, value], position, _n=one).select(*by, value, position, F.col("below__n").alias("_b2"))
-    rows = matched(matched(df, first, [*by, value]), second, [*by, value, position])
-    return rows.withColumn(out, F.col("_b1") + F.col("_b2")).drop("_b1", "_b2")
+def ranked(df: DataFrame, by: list[str], value: str, position: str | list[str], out: str = "_rank") -> DataFrame:
+    """Rows with their rank from 0 by value and then position (one column or more), in their group; rows equal in all share the first one's rank."""
+    columns, rows, rank = [value, *([position] if isinstance(position, str) else position)], df, F.lit(0)
+    for i, c in enumerate(columns):
+        keys = [*by, *columns[:i]]
+        below = running(df, keys, c, _n=F.lit(1)).select(*keys, c, F.col("below__n").alias(f"_b{i}"))
+        rows, rank = matched(rows, below, [*keys, c]), rank + F.col(f"_b{i}")
+    return rows.withColumn(out, rank).drop(*[f"_b{i}" for i in range(len(columns))])
 
 
 def blocks(rows: DataFrame, rank: str, reach: int) -> DataFrame:
