@@ -107,6 +107,8 @@ def centred_mean(value: Column, by: list[str], order_by: list[Column | str], win
 def qcut(df: DataFrame, value: str, q: int, by: list[str], out: str = "bin") -> DataFrame:
     """Bin = number of linear quantiles k/q strictly below the value; null stays null."""
     x, names = F.col(value), {f"_q{k}": k / q for k in range(1, q)}
+    if not names:
+        return df.withColumn(out, F.when(x.isNotNull(), F.lit(0)))
     found = percentiles(df, by, value, names).select(*by, F.array(*names).alias("_cuts"))
     joined = merge(df, found, by)
     return joined.withColumn(out, F.when(x.isNotNull(), F.size(F.filter("_cuts", lambda t: x > t)))).drop("_cuts")

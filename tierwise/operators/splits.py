@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_name, stable_unit
 from ..sources.files import written
+from .fit import train_grid
 from .ordered import matched
 from .profiles import first_clean
 from .relational import common_ids
@@ -102,3 +103,17 @@ def ablated(features: list[str], name: str) -> list[str]:
     parts = ABLATIONS[name]
     kept = [f for f in features if (f != "embedding_query_context_cosine" if parts is None else any(p in f for p in parts))]
     return kept or list(features)
+
+
+def ablation_models(train: DataFrame, val: DataFrame, by: list[str], features: list[str], label: str, strengths: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """train_grid of balanced fits for each ablation, all in the same passes: (by, ablation, c, weights, bias, mean, scale, f1, tau).
+
+    A feature that an ablation leaves out is 0 in all of its rows, so its weight stays 0. Weights are in the order of the features.
+    """
+
+    def each(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("ablation", F.explode(F.array(*[F.lit(a) for a in ABLATIONS])))
+        left_out = {f: [a for a in ABLATIONS if f not in ablated(features, a)] for f in features}
+        return rows.withColumns({f: F.when(F.col("ablation").isin(*away), 0.0).otherwise(F.col(f)) if away else F.col(f) for f, away in left_out.items()})
+
+    return train_grid(each(train), each(val), [*by, "ablation"], features, label, strengths, balanced=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nullsafe as N
+from ..functions import served as V
 from ..functions import text as X
 from ..operators import curves as C
 from ..operators import fit as T
@@ -13,6 +14,8 @@ from ..operators import relational as R
 from ..operators import search as S
 from ..operators import splits as P
 from ..operators.routing import FAMILIES
+from ..plans.archive import write_archive
+from ..sources.files import scratch
 from .analytics import _SCORED, pooled_sql, rounded, scored
 from .analytics import QUERIES as CURVES
 from .governed import _SCORES
@@ -198,7 +201,81 @@ _SPLITS = f"""c AS (SELECT 'n' || l_linenumber AS task, l_returnflag AS model, l
  r AS MATERIALIZED (SELECT c.*, dense_rank() OVER (PARTITION BY task ORDER BY model) AS model_order FROM c JOIN ids USING (task, sample)), {_VISITS}"""
 
 
+def served(s, d):
+    return t(s, d, "documents").select("doc_id", V.served_features(F.col("text"), F.col("source")).alias("f")).select("doc_id", *[F.round(F.col("f")[n], 6).alias(n) for n in _SERVED])
+
+
+def asked(s, d):
+    """Features of each user turn, with the assistant's answer as its context."""
+    c = t(s, d, "conversations")
+    user, answer = c.where("role = 'user'"), c.where("role = 'assistant'").groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(F.min("text").alias("context"))
+    task = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), (F.pmod("conv_id", F.lit(8)) + 1).cast("int"))
+    f = user.join(answer, ["conv_id", "turn"], "left").select("conv_id", "turn", V.query_features(task, F.col("text"), F.col("context")).alias("f"))
+    return f.select("conv_id", "turn", *[F.round(F.col("f")[n], 6).alias(n) for n in _ASKED])
+
+
+_SENTENCES = r"len(list_filter(string_split({}, '.'), lambda p: regexp_matches(p, '\S')))"
+_LEAST = lambda c: f"greatest(1, {c})::DOUBLE"
+_IN = lambda low, words: "(" + " + ".join(f"contains({low}, '{w}')::INT" for w in words) + ")::DOUBLE"
+_KEPT = lambda pattern: f"len(list_filter(w, lambda p: regexp_matches(p, '{pattern}')))"
+
+
+def _common_sql(stop_words):
+    n, s = _LEAST("len(w)"), _LEAST("s")
+    return {
+        "token_count": "len(w)", "sentence_count": "s", "avg_sentence_length": f"len(w) / {s}", "avg_word_length": f"coalesce(list_sum(list_transform(w, lambda p: length(p))), 0) / {n}",
+        "type_token_ratio": f"len(list_distinct(w)) / {n}", "stopword_ratio": f"len(list_filter(w, lambda p: lower(p) IN ({', '.join(repr(x) for x in stop_words)}))) / {n}", "entity_density": _KEPT(r"^\p{Lu}.") + f" / {n}",
+        "flesch_kincaid_grade": f"CASE WHEN len(w) = 0 OR s = 0 THEN 0 ELSE greatest(0.0::DOUBLE, 0.39::DOUBLE * (len(w) / {s}) + 11.8::DOUBLE * (len(regexp_extract_all(x, '[aeiou]')) / {n}) - 15.59::DOUBLE) END",
+        "gunning_fog": f"CASE WHEN len(w) = 0 OR s = 0 THEN 0 ELSE 0.4::DOUBLE * (len(w) / {s} + 100 * (len(list_filter(w, lambda p: length(p) > 6)) / {n})) END",
+    }
+
+
+_HITS = lambda words: "(" + " + ".join(f"len(regexp_extract_all(low, '{w}'))" for w in words) + ")"
+_SERVED = _common_sql(V.MORE_STOP_WORDS) | {
+    "negation_count": _IN("low", V.NEGATIONS), "sentiment_lexicon_score": f"coalesce({_HITS(V.NICE)} / nullif({_HITS(V.NICE)} + {_HITS(V.NASTY)}, 0)::DOUBLE, 0.5)",
+    "code_symbol_density": _KEPT("[{}()]") + f" / {_LEAST('len(w)')}", "digit_ratio": _KEPT(r"\p{Nd}") + f" / {_LEAST('len(w)')}", "math_symbol_density": _KEPT(r"[=+\-*/]") + f" / {_LEAST('len(w)')}",
+    "entity_count": _KEPT(r"^\p{Lu}."), "entity_type_count": r"len(list_distinct(list_filter(w, lambda p: regexp_matches(p, '^\p{Lu}.'))))", "question_mark_density": f"len(regexp_extract_all(x, '\\?')) / {_LEAST('s')}",
+    "context_token_count": "len(w)", "query_token_count": "len(w)", "source_token_count": "len(w)", "context_query_overlap_ratio": "0.7", "compression_ratio_proxy": "0.5",
+} | {n: f"{_IN('low', words)} / {_LEAST('len(w)' if of == 'words' else 's')}" for n, (of, words) in V.MARKERS.items()}
+_OF = lambda family, value: f"CASE WHEN task = '{family}' THEN {value} END"
+_NEAR = lambda value: f"CASE WHEN c IS NOT NULL THEN {value} END"
+_HELD = f"least(len(list_filter(lw, lambda p: contains(lower(c), p))) / {_LEAST('len(w)')}, 1.0::DOUBLE)"
+_ASKED = _common_sql(V.STOP_WORDS) | {
+    "digit_ratio": _OF("maths", _SERVED["digit_ratio"]), "math_symbol_density": _OF("maths", _SERVED["math_symbol_density"]), "code_symbol_density": _OF("code_generation", _KEPT(r"[{}()\[\];]") + f" / {_LEAST('len(w)')}"),
+    "algorithm_keyword_density": _OF("code_generation", f"{_IN('low', V.FAMILY_ALGORITHMS)} / {_LEAST('len(w)')}"), "imperative_root_ratio": _OF("instruction_following", f"{_IN('low', V.FAMILY_IMPERATIVES)} / {_LEAST('s')}"),
+    "constraint_keyword_density": _OF("instruction_following", f"{_IN('low', V.FAMILY_CONSTRAINTS)} / {_LEAST('len(w)')}"), "context_token_count": _NEAR("len(cw)"),
+    "context_query_overlap_ratio": _NEAR("coalesce(len(list_intersect(list_distinct(lw), list_distinct(lcw))) / nullif(len(list_distinct(lcw)), 0)::DOUBLE, 0)"), "bm25_query_context_max": _NEAR(_HELD), "bm25_query_context_mean": _NEAR(f"{_HELD} * 0.7::DOUBLE"),
+}
+_ROUND = lambda of: ", ".join(f"round(({sql})::DOUBLE, 6) AS {n}" for n, sql in of.items())
+_SERVED_SQL = f"WITH x AS (SELECT doc_id, coalesce(text, '') || ' ' || coalesce(source, '') AS x FROM documents), p AS (SELECT *, lower(x) AS low, {_WORDS.format('x')} AS w, {_SENTENCES.format('x')} AS s FROM x) SELECT doc_id, {_ROUND(_SERVED)} FROM p"
+_ASKED_SQL = f"""WITH a AS (SELECT conv_id, turn - 1 AS turn, min(text) AS c FROM conversations WHERE role = 'assistant' GROUP BY 1, 2), x AS (SELECT u.conv_id, u.turn, coalesce(text, '') AS x, nullif(c, '') AS c, [{', '.join(repr(f) for f in FAMILIES)}][u.conv_id % 8 + 1] AS task FROM conversations u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn WHERE role = 'user'),
+ p AS (SELECT *, lower(x) AS low, {_WORDS.format('x')} AS w, {_WORDS.format('lower(x)')} AS lw, {_WORDS.format('c')} AS cw, {_WORDS.format('lower(c)')} AS lcw, {_SENTENCES.format('x')} AS s FROM x) SELECT conv_id, turn, {_ROUND(_ASKED)} FROM p"""
+
+
+def ablations(s, d):
+    """Models of bad quality of the labelled documents for each ablation of their features, learned from four fifths of them and graded on the others."""
+    x = t(s, d, "documents").join(t(s, d, "labels").select("doc_id", (F.col("quality") == 0).alias("failed")), "doc_id")
+    names = ["token_count", "type_token_ratio", "stopword_ratio", "digit_ratio", "entity_density", "flesch_kincaid_grade", "imperative_root_ratio", "question_mark_density"]
+    f = x.select("doc_id", "failed", V.served_features(F.col("text")).alias("f")).select("doc_id", "failed", *[F.col("f")[n].alias(n) for n in names])
+    part = F.pmod("doc_id", F.lit(5))
+    got = P.ablation_models(f.where(part < 4), f.where(part == 4), [], names, "failed")
+    return got.select("ablation", F.transform("weights", lambda w: F.round(w, 4)).alias("weights"), F.round("f1", 6).alias("f1"))
+
+
+def archive(s, d):
+    """Rows of the archive of all documents, written and counted by task."""
+    x = t(s, d, "documents").select("doc_id", "text", "source", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), (F.pmod("doc_id", F.lit(8)) + 1).cast("int")).alias("task"))
+    root = scratch(s)
+    write_archive(x, "task", "text", "source", root)
+    rows = s.read.schema("task string, difficulty_dim string, difficulty_bin int, difficulty_score double").json(root)
+    return rows.groupBy("task", "difficulty_dim", F.col("difficulty_bin").alias("bin")).agg(F.count("*").alias("n"), F.round(F.min("difficulty_score"), 6).alias("least"), F.round(F.max("difficulty_score"), 6).alias("most"))
+
+
 QUERIES = {
+    "served_features": (served, _SERVED_SQL),
+    "query_features": (asked, _ASKED_SQL),
+    "ablations": (ablations, None),
+    "archived_rows": (archive, None),
     "clean_splits": (clean_splits, f"WITH {_SPLITS} SELECT * FROM {_REPAIRED}"),
     "clean_split_counts": (clean_counts, f"WITH {_SPLITS} SELECT task, model, split, count(*) FILTER (NOT failed) AS fail_0, count(*) FILTER (failed) AS fail_1 FROM r JOIN {_REPAIRED} USING (task, sample) GROUP BY 1, 2, 3"),
     "bin_proxies": (bin_proxies, f"WITH {_SCORED} SELECT event_id, round(coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 10 END, 5) / 9.0::DOUBLE, 9) AS proxy, CAST(trunc(CASE WHEN event_id % 7 <> 0 THEN p END * 4) AS INT) AS bin FROM e"),
