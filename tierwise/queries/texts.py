@@ -63,7 +63,7 @@ def constraints(s, d):
 
 
 QUERIES = {
-    "constraint_count": (constraints, None),
+    "constraint_count": (constraints, "SELECT doc_id, (" + " + ".join("coalesce(len(regexp_extract_all(text, '(?i){}')), 0)".format(p.replace("'", "''")) for p in X.CONSTRAINT_PATTERNS) + ")::DOUBLE AS constraint_count FROM documents"),
     "token_features": (token_features, f"SELECT doc_id, CAST(len({_WORDS.format('text')}) AS BIGINT) AS n_in, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS n_alnum, CAST({_cues(('the', 'and', 'que'))} AS BIGINT) AS cues FROM documents"),
     "token_entropy": (entropy, f"SELECT doc_id, round(abs(log2(sum(c)) - sum(c * log2(c)) / sum(c)), 6) AS h FROM (SELECT doc_id, w, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1, 2) GROUP BY 1"),
     "classification_features": (
