@@ -14,7 +14,7 @@ from ..sources.files import written
 from .metrics import correlation
 from .ordered import matched, order_statistics, ranked
 
-#: Rows of a group that one task fits, rows of a block of a larger group, and steps between two tables of its weights.
+#: Different rows of a group that one task fits, those of a block of a larger group, and steps between two tables of its weights.
 WHOLE, BLOCK_ROWS, BETWEEN = 1 << 16, 4096, 8
 
 
@@ -45,9 +45,9 @@ class Descent:
     def likelihood(self, z: np.ndarray, w: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (z @ w - 0.5), -35, 35)))
 
-    def gradient(self, z: np.ndarray, t: np.ndarray, w: np.ndarray, n: float, positive: float) -> np.ndarray:
-        """Of the rows' share of the loss; both kinds of targets count alike among the n rows, of which ``positive`` are over a half."""
-        weight = np.where(t > 0.5, n / (2 * max(1, positive)), n / (2 * max(1, n - positive)))
+    def gradient(self, z: np.ndarray, t: np.ndarray, w: np.ndarray, n: float, positive: float, times: np.ndarray | float = 1.0) -> np.ndarray:
+        """Of the rows' share of the loss, each as often as ``times`` tells; both kinds of targets count alike among the n rows, of which ``positive`` are over a half."""
+        weight = times * np.where(t > 0.5, n / (2 * max(1, positive)), n / (2 * max(1, n - positive)))
         return self.slope * ((self.likelihood(z, w) - t) * weight) @ z / n
 
     def step(self, w: np.ndarray, g: np.ndarray, ent: float) -> np.ndarray:
@@ -115,8 +115,9 @@ def simplex_weights(x: np.ndarray, y: np.ndarray, **options) -> tuple[np.ndarray
 def learn_weights(df: DataFrame, by: list[str], features: list[str], target: str, order_by: list[str], descent: Descent = Descent(), whole: int = WHOLE) -> DataFrame:
     """(by, weights, entropy_reg) by group; order_by must tell a group's rows apart. Missing values count as 0.
 
-    A group of up to ``whole`` rows is fitted by simplex_weights in one task. Larger ones take the same steps from sums of blocks of rows, with the same result
-    but for the order of sums: ranks, bounds and moments come from slices, and each step is one pass over the blocks of all such groups.
+    A group of up to ``whole`` rows is fitted by simplex_weights in one task. Larger ones take the same steps with the same result but for the order of sums: ranks,
+    bounds and moments come from slices, and equal rows are counted by fold. Up to ``whole`` different rows are fitted in one task; of more, each step is one pass
+    over sums of blocks of all such groups.
     """
     value = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = df.select(*by, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)], F.array(*[value(f) for f in features]).alias("_x"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value(target))).alias("_y"))
@@ -134,11 +135,11 @@ def learn_weights(df: DataFrame, by: list[str], features: list[str], target: str
     if sizes.where(F.col("_n") > bound).isEmpty():
         return small
     large = matched(rows, sizes.where(F.col("_n") > bound), by)
-    return small.unionByName(_by_sums(large, by, kinds, len(features), order, descent))
+    return small.unionByName(_by_sums(large, by, kinds, len(features), order, descent, bound))
 
 
-def _by_sums(rows: DataFrame, by: list[str], kinds: str, d: int, order: list[str], descent: Descent) -> DataFrame:
-    """learn_weights of groups whose rows lie in many tasks. rows: by, order, _x, _y and the group's size _n."""
+def _by_sums(rows: DataFrame, by: list[str], kinds: str, d: int, order: list[str], descent: Descent, bound: int) -> DataFrame:
+    """learn_weights of groups whose rows lie in many tasks; up to ``bound`` different ones are fitted in one. rows: by, order, _x, _y and the group's size _n."""
     k, tries = descent.folds, len(descent.grid)
     by_target = ranked(ranked(rows, by, order[0], order[1:], "_at"), by, "_y", order, "_r")
     placed = written(by_target.select(*by, "_x", "_y", "_r", (F.col("_r") % k).cast("int").alias("_fold"), (F.col("_at") < F.greatest(F.lit(1), F.floor(F.lit(0.8) * F.col("_n")))).alias("_early")))
@@ -158,9 +159,17 @@ def _by_sums(rows: DataFrame, by: list[str], kinds: str, d: int, order: list[str
     limits = at.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_set", "_f", "lo", "hi"))), lambda e: F.array(e["lo"], e["hi"])).alias("_limits"))
     state = matched(facts, limits.withColumn("_limits", F.flatten("_limits")), by)
 
-    kept = f"{kinds}, _size array<double>, _above array<double>, _limits array<double>, _active array<int>, _floor double, _ents array<double>, _w array<double>"
-    carried = [*by, "_size", "_above", "_limits", "_active", "_floor", "_ents", "_w"]
-    used = ["_active", "_ys", "_folds", "_xs", "_limits", "_w", "_size", "_above"]
+    counts = F.array(*[F.count_if(F.col("_fold") == s).cast("double") for s in range(k)])
+    packed = written(placed.groupBy(*by, "_x", "_y").agg(counts.alias("_c")))
+    state = matched(state, packed.groupBy(*by).agg(F.count("*").alias("_m")), by)
+
+    fixed = f"{kinds}, _size array<double>, _above array<double>, _limits array<double>, _active array<int>, _floor double, _ents array<double>, _m long"
+    kept, fixed_names = f"{fixed}, _w array<double>", ["_size", "_above", "_limits", "_active", "_floor", "_ents", "_m"]
+    carried = [*by, *fixed_names, "_w"]
+    used = ["_active", "_ys", "_cs", "_xs", "_limits", "_w", "_size", "_above"]
+    # (set, place of its regularisation): with each fold left out, and the last fit of each regularisation, of which the chosen one's is kept.
+    folded = [(s, e) for e in range(tries) for s in range(k)]
+    problems = [*folded, *[(k, e) for e in range(tries)]]
 
     def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in frames:
@@ -168,80 +177,97 @@ def _by_sums(rows: DataFrame, by: list[str], kinds: str, d: int, order: list[str
             g["_active"], g["_floor"] = [a for a, _ in found], [f for _, f in found]
             # Unused places of the grid repeat its last value.
             g["_ents"] = [(e := descent.tried(f)) + [e[-1]] * (tries - len(e)) for _, f in found]
-            g["_w"] = [np.full(k * tries * len(a), 1 / len(a)) for a, _ in found]
+            g["_w"] = [np.full(len(problems) * len(a), 1 / len(a)) for a, _ in found]
             yield g[carried]
 
-    blocks = placed.groupBy(*by, F.floor(F.col("_r") / BLOCK_ROWS).alias("_block")).agg(F.collect_list(F.struct("_x", "_y", "_fold")).alias("_rows"))
-    blocks = written(blocks.select(*by, F.flatten(F.col("_rows._x")).alias("_xs"), F.col("_rows._y").alias("_ys"), F.col("_rows._fold").alias("_folds")))
+    def sets_of(x: np.ndarray, c: np.ndarray, limits: np.ndarray, active: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The rows as each set bounds them, and how often they are in it."""
+        lim, every = np.asarray(limits).reshape(k + 1, d, 2)[:, active], c.sum(axis=1)
+        return [(normal(x[:, active], lim[s, :, 0], lim[s, :, 1]), every - c[:, s] if s < k else every) for s in range(k + 1)]
+
+    def slopes(sets: list, t: np.ndarray, w: np.ndarray, size: np.ndarray, above: np.ndarray) -> np.ndarray:
+        return np.stack([descent.gradient(sets[s][0], t, w[i], size[s], above[s], sets[s][1]) for i, (s, _) in enumerate(problems)])
+
+    def losses(sets: list, t: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.array([(log_losses(descent.likelihood(sets[s][0], w[i]), t) * c[:, s]).sum() for i, (s, _) in enumerate(folded)])
+
+    def stepped(w: np.ndarray, total: np.ndarray, ents: np.ndarray) -> np.ndarray:
+        return np.stack([descent.step(w[i], total[i], ents[e]) for i, (_, e) in enumerate(problems)])
 
-    def problems(last: bool) -> list[tuple[int, int]]:
-        """(set, place of its regularisation)"""
-        return [(k, 0)] if last else [(s, e) for e in range(tries) for s in range(k)]
+    def chosen(total: np.ndarray, size: np.ndarray) -> int:
+        return int(np.argmin((np.asarray(total).reshape(tries, k) / (size[k] - np.asarray(size)[:k])).mean(axis=1)))
 
-    def per_block(last: bool, held_out: bool):
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        r = g.iloc[0]
+        x, t, c, active = np.stack(g["_x"].to_list()), g["_y"].to_numpy(float), np.stack(g["_c"].to_list()), np.asarray(r["_active"], int)
+        sets, w = sets_of(x, c, r["_limits"], active), np.full((len(problems), len(active)), 1 / len(active))
+        for _ in range(descent.steps):
+            w = stepped(w, slopes(sets, t, w, r["_size"], r["_above"]), r["_ents"])
+        e = chosen(losses(sets, t, c, w), r["_size"])
+        full = np.full(d, 1e-9)
+        full[active] = w[len(folded) + e]
+        return pd.DataFrame([[*key, (full / full.sum()).tolist(), float(r["_ents"][e])]], columns=[*by, "weights", "entropy_reg"])
+
+    state = written(state.mapInPandas(begin, kept))
+    few = matched(packed, state.where(F.col("_m") <= bound).drop("_w"), by).groupBy(*by).applyInPandas(fit, f"{kinds}, weights array<double>, entropy_reg double")
+    state = state.where(F.col("_m") > bound)
+    if state.isEmpty():
+        return few
+
+    # The number of blocks follows from that of the different rows.
+    put = F.pmod(F.xxhash64("_x", "_y"), F.ceil(F.col("_m") / BLOCK_ROWS))
+    blocks = matched(packed, state.select(*by, "_m"), by).groupBy(*by, put.alias("_block")).agg(F.collect_list(F.struct("_x", "_y", "_c")).alias("_rows"))
+    blocks = written(blocks.select(*by, F.flatten(F.col("_rows._x")).alias("_xs"), F.col("_rows._y").alias("_ys"), F.flatten(F.col("_rows._c")).alias("_cs")))
+
+    def per_block(held_out: bool):
         """Each block's part of every problem's gradient, or of its loss on the rows held out; gradients have d places a problem, of which the first are used."""
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g in frames:
                 out = []
                 for r in g.rename(columns={c: f"{c[1:]}_" for c in used}).itertuples(index=False):
-                    active, t, fold = np.asarray(r.active_, int), np.asarray(r.ys_), np.asarray(r.folds_)
-                    x, lim = np.asarray(r.xs_).reshape(len(t), d)[:, active], np.asarray(r.limits_).reshape(k + 1, d, 2)[:, active]
-                    w = np.asarray(r.w_).reshape(-1, len(active))
-                    z = {s: normal(x, lim[s, :, 0], lim[s, :, 1]) for s in {s for s, _ in problems(last)}}
-                    parts = np.zeros((len(w), 1 if held_out else d))
-                    for i, (s, _) in enumerate(problems(last)):
-                        use = (fold == s) if held_out else (fold != s)
-                        if held_out:
-                            parts[i, 0] = log_losses(descent.likelihood(z[s][use], w[i]), t[use]).sum()
-                        else:
-                            parts[i, : len(active)] = descent.gradient(z[s][use], t[use], w[i], r.size_[s], r.above_[s])
-                    out.append(parts.ravel())
+                    active, t, c = np.asarray(r.active_, int), np.asarray(r.ys_), np.asarray(r.cs_).reshape(-1, k)
+                    sets, w = sets_of(np.asarray(r.xs_).reshape(len(t), d), c, r.limits_, active), np.asarray(r.w_).reshape(-1, len(active))
+                    if held_out:
+                        out.append(losses(sets, t, c, w))
+                    else:
+                        parts = np.zeros((len(w), d))
+                        parts[:, : len(active)] = slopes(sets, t, w, r.size_, r.above_)
+                        out.append(parts.ravel())
                 g["_part"] = out
                 yield g[[*carried, "_part"]]
 
         return run
 
-    def sums(state: DataFrame, last: bool, held_out: bool = False) -> DataFrame:
-        width = len(problems(last)) * (1 if held_out else d)
-        parts = matched(blocks, state, by).mapInPandas(per_block(last, held_out), f"{kept}, _part array<double>")
+    def sums(state: DataFrame, held_out: bool = False) -> DataFrame:
+        width = len(folded) if held_out else len(problems) * d
+        parts = matched(blocks, state, by).mapInPandas(per_block(held_out), f"{kept}, _part array<double>")
         # The state comes along with the sums, so that it is read once a step.
         return parts.groupBy(*by).agg(F.array(*[F.sum(F.col("_part")[i]) for i in range(width)]).alias("_sum"), *[F.first(c).alias(c) for c in carried[len(by) :]])
 
-    def descend(state: DataFrame, last: bool) -> DataFrame:
-        def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for g in frames:
-                new = []
-                for active, ents, w, total in zip(g["_active"], g["_ents"], g["_w"], g["_sum"], strict=True):
-                    n = len(active)
-                    w, total = np.asarray(w).reshape(-1, n), np.asarray(total).reshape(-1, d)[:, :n]
-                    new.append(np.concatenate([descent.step(w[i], total[i], ents[e]) for i, (_, e) in enumerate(problems(last))]))
-                g["_w"] = new
-                yield g[carried]
-
-        for i in range(descent.steps):
-            state = sums(state, last).mapInPandas(step, kept)
-            if i % BETWEEN == BETWEEN - 1:
-                state = written(state)
-        return state if descent.steps % BETWEEN == 0 else written(state)
-
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in frames:
-            losses = [(np.asarray(s).reshape(tries, k) / (size[k] - np.asarray(size)[:k])).mean(axis=1) for s, size in zip(g["_sum"], g["_size"], strict=True)]
-            g["_ents"] = [[max(f, e[int(np.argmin(x))])] for f, e, x in zip(g["_floor"], g["_ents"], losses, strict=True)]
-            g["_w"] = [np.full(len(a), 1 / len(a)) for a in g["_active"]]
+            new = []
+            for active, ents, w, total in zip(g["_active"], g["_ents"], g["_w"], g["_sum"], strict=True):
+                n = len(active)
+                new.append(stepped(np.asarray(w).reshape(-1, n), np.asarray(total).reshape(-1, d)[:, :n], ents).ravel())
+            g["_w"] = new
             yield g[carried]
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in frames:
-            out = []
-            for active, w in zip(g["_active"], g["_w"], strict=True):
-                full = np.full(d, 1e-9)
-                full[np.asarray(active, int)] = w
+            out, ents = [], []
+            for active, w, total, size, tried in zip(g["_active"], g["_w"], g["_sum"], g["_size"], g["_ents"], strict=True):
+                e, full = chosen(total, size), np.full(d, 1e-9)
+                full[np.asarray(active, int)] = np.asarray(w).reshape(len(problems), -1)[len(folded) + e]
                 out.append(full / full.sum())
-            g["weights"], g["entropy_reg"] = out, [float(e[0]) for e in g["_ents"]]
+                ents.append(float(tried[e]))
+            g["weights"], g["entropy_reg"] = out, ents
             yield g[[*by, "weights", "entropy_reg"]]
 
-    state = descend(written(state.mapInPandas(begin, kept)), False)
-    state = descend(written(sums(state, False, True).mapInPandas(choose, kept)), True)
-    return state.mapInPandas(finish, f"{kinds}, weights array<double>, entropy_reg double")
+    for i in range(descent.steps):
+        state = sums(state).mapInPandas(step, kept)
+        if i % BETWEEN == BETWEEN - 1:
+            state = written(state)
+    state = state if descent.steps % BETWEEN == 0 else written(state)
+    return few.unionByName(sums(state, True).mapInPandas(finish, f"{kinds}, weights array<double>, entropy_reg double"))
