@@ -31,11 +31,12 @@ MATH_MARKS, CODE_MARKS = "+-*/=<>^%", "+-*/=<>^%(){}[]:;_"
 QUERY_MARKERS, SUMMARY_MARKERS = ("question:", "query:", "instruction:", "task:"), ("summary:", "summarize", "write a summary")
 
 TOKEN, WORD, SENTENCE = r"[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]", r"^[\p{L}\p{M}]+$", r"[^.!?]+[.!?]*"
-EDGES = r"^\s+|\s+$"
+# A token with a letter or number in it, and white space.
+SPOKEN, SPACE = r"(?<![\p{M}_])[\p{M}_]*+[\p{L}\p{N}][\p{L}\p{N}\p{M}_]*+", " \t\n\x0b\f\r"
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, EDGES, "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -65,9 +66,11 @@ def split_query(df: DataFrame, text: str, task: str) -> DataFrame:
     t, low = F.coalesce(F.col(text), F.lit("")), F.lower(F.coalesce(F.col(text), F.lit("")))
     first = lambda ms: F.least(*[F.nullif(F.locate(m, low), F.lit(0)) for m in ms])
     at = F.when(F.col(task) == "summarization", first(SUMMARY_MARKERS)).otherwise(first(QUERY_MARKERS))
-    out = df.withColumns({"_t": t, "_at": at, "_s": sentences_of(t)})
-    before, after = stripped(F.substring("_t", F.lit(1), F.col("_at") - 1)), stripped(F.substring("_t", F.col("_at"), F.length("_t")))
+    out = df.withColumns({"_t": t, "_at": at})
+    out = out.withColumns({"_b": stripped(F.substring("_t", F.lit(1), F.col("_at") - 1)), "_a": stripped(F.substring("_t", F.col("_at"), F.length("_t")))})
+    before, after = F.col("_b"), F.col("_a")
     marked = F.col("_at").isNotNull() & (before != "") & (after != "")
+    out = out.withColumn("_s", F.when(~marked, sentences_of(F.col("_t"))))
     several = F.size("_s") >= 2
     words = found(F.col("_t"), TOKEN)
     out = out.withColumn("_w", F.when(~marked & ~several, words))
@@ -75,7 +78,7 @@ def split_query(df: DataFrame, text: str, task: str) -> DataFrame:
     many = F.size("_w") >= 8
     context = F.when(marked, before).when(several, F.concat_ws(" ", F.slice("_s", 1, F.size("_s") - 1))).when(many, F.concat_ws(" ", F.slice("_w", 1, cut))).otherwise(F.col("_t"))
     query = F.when(marked, after).when(several, F.element_at("_s", -1)).when(many, F.concat_ws(" ", F.slice("_w", cut + 1, F.size("_w") - cut))).otherwise(F.lit(""))
-    return out.withColumns({"context": F.coalesce(context, F.col("_t")), "query": F.coalesce(query, F.lit(""))}).drop("_t", "_at", "_s", "_w")
+    return out.withColumns({"context": F.coalesce(context, F.col("_t")), "query": F.coalesce(query, F.lit(""))}).drop("_t", "_at", "_b", "_a", "_s", "_w")
 
 
 def lexical_features(df: DataFrame, text: str, task: str) -> DataFrame:
@@ -156,8 +159,8 @@ def bm25(df: DataFrame, key: str, context: str, query: str, k1: float = 1.5, b:
     The corpus of a score is its own row, so rows are scored where they are, in Arrow batches and in time linear in the text; repeated keys have a row each.
     Terms in more than half of the sentences have ``epsilon`` times the mean weight of all terms of the context. A term of the query counts as often as it stands there.
     """
-    words = lambda c: F.filter(tokens_of(c), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    sentences = F.filter(F.transform(sentences_of(F.coalesce(F.col(context), F.lit(""))), words), lambda s: F.size(s) > 0)
+    words = lambda c: found(F.lower(c), SPOKEN)
+    sentences = F.filter(F.transform(found(F.coalesce(F.col(context), F.lit("")), SENTENCE), words), lambda s: F.size(s) > 0)
     rows = df.select(key, sentences.alias("_s"), words(F.coalesce(F.col(query), F.lit(""))).alias("_q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
