@@ -284,3 +284,31 @@ def test_stated_constraints(spark):
         assert n == sum(len(re.findall(p, f" {(t or '').lower()} ")) for p in X.CONSTRAINT_PATTERNS)
     listed = spark.createDataFrame([("must", ["a", "b"], None)], "x string, p array<string>, q array<string>")
     assert listed.select(X.constraint_count(F.col("x"), F.col("p"), F.col("q")).alias("n")).first()["n"] == 2
+
+
+def test_early_patterns_count_as_the_plain_ones(spark):
+    """Odd letters of the same case class, word ends beyond ASCII, and white space and line terminators of all kinds."""
+    texts = ["Step ſtep STEP éstep stepé step_ 1step; (first) do not don't DON'T doNot words Word(s) at least atmost Kor or", "nör nor ör or_ or, OR 1999 1850ß é1999 a1999 2024", "", None, "must́ must, ́must no more than format|JSON", "that Which, while;or AND"]
+    d = spark.createDataFrame([(x,) for x in texts], "x string")
+    plain = [X.CONTRAST, X.HEDGES, X.NEGATION, X.PROHIBITIONS, X.STEPS, X.CONFLICTS, X.YEARS, r"\bor\b", *X.CONSTRAINT_PATTERNS, r"\b(first|second|third|step|ordered|sorted)\b"]
+    assert all(X.early(p) != p for p in plain)
+    for r in d.select(*[F.struct(X.pattern_count(F.col("x"), p), F.regexp_count("x", F.lit(f"(?iU){p}"))) for p in plain], F.struct(X.stated_constraints(F.col("x")), X.total([F.coalesce(F.regexp_count("x", F.lit(f"(?iU){p}")), F.lit(0)) for p in X.CONSTRAINT_PATTERNS]))).collect():
+        for p, (got, want) in zip([*plain, "all"], r, strict=True):
+            assert got == want, p
+
+
+def test_texts_are_read_once(spark):
+    """What words tell is one call of a query; no plan lower-cases a text for each cue or finds tokens for each feature."""
+    from tierwise.queries import queries
+
+    plan = lambda n: queries()[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    for n, calls in (("difficulty_proxies", 1), ("difficulty_annotation", 2), ("annotated_proxies", 1)):
+        assert 0 < plan(n).count("_word_facts(") <= calls, n
+    assert plan("use_case_features").count("regexp_extract_all(lower(") + plan("use_case_features").count("\\p{N}\\p{M}_]+|") <= 2
+    assert 0 < plan("governance_scores").count("lower(") <= 8
+
+
+def test_names_behind_terminators_and_all_white_space(spark):
+    rows = ["A Big Dog. Then Cat", "x\u0085 Big", "x.\u0085 Big", "x   Big", " First word", "a\x0bBig b Big", None]
+    d = spark.createDataFrame([(x,) for x in rows], "x string")
+    assert [r[0] for r in d.select(X.word_facts(F.col("x"))["names"]).collect()] == [3.0, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0]

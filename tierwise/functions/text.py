@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .nullsafe import clamp01, num, once
 
@@ -23,6 +28,7 @@ REASONING_CUES = ("because", "therefore", "hence", "if", "then", "after", "befor
 KNOWLEDGE_CUES = ("who", "when", "where", "which country", "capital", "president", "prime minister", "year", "date", "historical", "according to", "latest", "current", "fact", "evidence")
 CLAUSES = r"[;,:]|\band\b|\bor\b|\bwhile\b|\bwhich\b|\bthat\b"
 BREAKS = ("that", "which", "while", "because", "although", "if", "when")
+YEARS = r"\b(19|20)\d{2}\b"
 CONSTRAINT_PATTERNS = (
     r"\bmust\b", r"\bshould\b", r"\brequired\b", r"\bexactly\b", r"\bat least\b", r"\bat most\b", r"\bno more than\b", r"\bno less than\b", r"\binclude\b",
     r"\bdo not\b|\bdon't\b|\bwithout\b", r"\bonly\b", r"\bformat\b|\bjson\b|\bxml\b|\bmarkdown\b|\bcsv\b", r"\bbullet\b|\btable\b|\blist\b",
@@ -55,13 +61,25 @@ def word_count(text: Column) -> Column:
 
 
 def cue_count(text: Column, cues: tuple[str, ...]) -> Column:
-    """Number of distinct cues present as substrings."""
-    return total([F.contains(F.lower(text), F.lit(c)).cast("int") for c in cues])
+    """Number of distinct cues present as substrings; the text is lower-cased once."""
+    return once(F.lower(text), lambda low: total([F.contains(low, F.lit(c)).cast("int") for c in cues]))
+
+
+def early(pattern: str) -> str:
+    """The same pattern, which fails sooner where each of its alternatives begins with a word end and a letter or digit.
+
+    Only where one of the first characters follows none of ASCII's word characters are the alternatives tried: that is cheap to tell, Unicode's word ends are not.
+    """
+    listed = re.fullmatch(r"\\b\(([^()]*)\)(?:\\d\{2\})?\\b", pattern)
+    words = [rf"\b{w}" for w in listed[1].split("|")] if listed else pattern.split("|")
+    if not all(re.match(r"\\b[a-z0-9]", w) for w in words):
+        return pattern
+    return f"(?=[{''.join(sorted({w[2] for w in words}))}])(?<![A-Za-z0-9_])(?:{pattern})"
 
 
 def pattern_count(text: Column, pattern: str) -> Column:
     """Matches, whatever their case; word ends, digits and case are those of Unicode on every Java version."""
-    return F.regexp_count(text, F.lit(f"(?iU){pattern}"))
+    return F.regexp_count(text, F.lit(f"(?iU){early(pattern)}" if re.search("[A-Za-z]", pattern) else pattern))
 
 
 def clamped(c: Column) -> Column:
@@ -72,7 +90,7 @@ def clamped(c: Column) -> Column:
 def classification_features(text: Column) -> dict[str, Column]:
     n = F.greatest(F.lit(1), alnum_count(text))
     unsure = pattern_count(text, CONTRAST) + pattern_count(text, HEDGES) + F.greatest(F.lit(0), pattern_count(text, r"\bor\b") - 1)
-    shift = pattern_count(text, r"\b(19|20)\d{2}\b") + 0.7 * pattern_count(text, r"\b[A-Z]{2,}\b") + 0.15 * pattern_count(text, r"\b[A-Z][a-z]{2,}\b")
+    shift = pattern_count(text, YEARS) + 0.7 * pattern_count(text, r"\b[A-Z]{2,}\b") + 0.15 * pattern_count(text, r"\b[A-Z][a-z]{2,}\b")
     return {
         "classification_ambiguity": clamped(unsure / 8.0),
         "classification_negation_density": clamped(pattern_count(text, NEGATION) / F.greatest(F.lit(1.0), n / 6.0)),
@@ -105,8 +123,8 @@ def gated(task: Column, tasks: tuple[str, ...], features: dict[str, Column]) ->
 
 
 def stated_constraints(text: Column) -> Column:
-    """Occurrences of the 15 constraint patterns in a text; null or empty: 0."""
-    return total([F.coalesce(pattern_count(text, p), F.lit(0)) for p in CONSTRAINT_PATTERNS])
+    """Occurrences of the 15 constraint patterns in a text; null or empty: 0. They share no word, so one pass counts them all."""
+    return F.coalesce(pattern_count(text, "|".join(CONSTRAINT_PATTERNS)), F.lit(0))
 
 
 def constraint_count(text: Column, *lists: Column) -> Column:
@@ -115,15 +133,20 @@ def constraint_count(text: Column, *lists: Column) -> Column:
     return F.when(listed > 0, listed).otherwise(stated_constraints(text)).cast("double")
 
 
-def readability(text: Column) -> dict[str, Column]:
-    """Closed forms of Flesch-Kincaid and Fog; floor 0."""
-    w = F.greatest(F.lit(1), token_count(text))
+def readability_of(words: Column, text: Column, low: Column) -> dict[str, Column]:
+    """readability of a text whose words and lower-cased form are there."""
+    w = F.greatest(F.lit(1), F.coalesce(F.size(words), F.lit(0)).cast("long"))
     s = F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[.!?]+")))
-    syllables = F.regexp_count(F.lower(text), F.lit("[aeiou]"))
-    long_words = F.size(F.filter(tokens(text), lambda x: F.length(x) > 6))
+    syllables = F.regexp_count(low, F.lit("[aeiou]"))
+    long_words = F.size(F.filter(words, lambda x: F.length(x) > 6))
     return {"flesch_kincaid": F.greatest(F.lit(0.0), 0.39 * w / s + 11.8 * syllables / w - 15.59), "fog": F.greatest(F.lit(0.0), 0.4 * (w / s + 100.0 * long_words / w))}
 
 
+def readability(text: Column) -> dict[str, Column]:
+    """Closed forms of Flesch-Kincaid and Fog; floor 0."""
+    return readability_of(tokens(text), text, F.lower(text))
+
+
 def overlap(query: Column, context: Column, over: str = "query") -> Column:
     """Share of the distinct words of the query, or of the context, that the other side holds."""
     q, c = F.array_distinct(tokens(F.lower(query))), F.array_distinct(tokens(F.lower(context)))
@@ -163,37 +186,62 @@ def dominant_dimension(task: Column) -> Column:
     return F.coalesce(F.try_element_at(table, task), F.lit("n_in"))
 
 
+_FACTS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("entropy", "distance", "reasoning", "knowledge", "names")])
+_ENDS = tuple(c.encode() for c in (".", "!", "?"))
+#: ``$`` of the patterns may stand before one of these at the end of a word.
+_TERMINATORS = tuple(c.encode() for c in ("\u0085", "\u2028", "\u2029"))
+
+
+def _names(words: list[bytes]) -> int:
+    """Capitalised words behind one that ends no sentence."""
+    found = 0
+    for before, w in zip(words, words[1:], strict=False):
+        if w[0] < 91 and re.match(b"[A-Z][a-z]", w):
+            before = next((before[: -len(c)] for c in _TERMINATORS if before.endswith(c)), before)
+            found += not before.endswith(_ENDS)
+    return found
+
+
+@F.arrow_udf(_FACTS)
+def _word_facts(texts: pa.Array, low: pa.Array) -> pa.Array:
+    """Entropy and clause distance of the words of each text, its cues and its names. Bytes split at ASCII's white space, as the patterns' ``\\s`` does."""
+    breaks, cues = {w.encode() for w in BREAKS}, [[c.encode() for c in cs] for cs in (REASONING_CUES, KNOWLEDGE_CUES)]
+    out = []
+    for text, lowered in zip(texts.cast(pa.binary()).to_pylist(), low.cast(pa.binary()).to_pylist(), strict=True):
+        words = lowered.split()
+        n = len(words)
+        entropy = abs(math.log2(n) - sum(c * math.log2(c) for c in Counter(words).values()) / n) if n else 0.0
+        at = [max(i, n - i - 1) for i, w in enumerate(words) if w.strip(b",;:.") in breaks]
+        distance = 0.0 if n < 2 else sum(at) / len(at) if at else max(1.0, n / 8)
+        out.append((entropy, distance, *[float(sum(c in lowered for c in cs)) for cs in cues], float(_names(text.split()))))
+    columns = zip(*out, strict=True) if out else [()] * 5
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], names=_FACTS.names)
+
+
+def word_facts(text: Column) -> Column:
+    """Struct of what the words of a text tell; several of its fields are one call. Null counts as empty."""
+    x = F.coalesce(text, F.lit(""))
+    return _word_facts(x, F.lower(x))
+
+
 def reasoning_proxy(text: Column, default: float = 0.0) -> Column:
     """Estimated reasoning steps from cues and clauses; the default where there are none."""
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    steps = 0.6 * cue_count(low, REASONING_CUES) + 0.25 * F.regexp_count(low, F.lit(f"(?U){CLAUSES}"))
-    return F.when(steps > 0, steps.cast("double")).otherwise(F.lit(float(default)))
+    marks, words = CLAUSES.split("|", 1)
+    steps = 0.6 * word_facts(text)["reasoning"] + 0.25 * F.regexp_count(low, F.lit(f"(?U){marks}|{early(words)}"))
+    return steps if default == 0 else once(steps, lambda n: F.when(n > 0, n).otherwise(F.lit(float(default))))
 
 
 def knowledge_dependence(text: Column) -> Column:
     """Share from 0 to 1: cues, capitalised words inside sentences, and years."""
-    words = tokens(F.coalesce(text, F.lit("")))
-    before = F.concat(F.array(F.lit(".")), words)  # each word's predecessor; one more than there are words
-    inside = F.zip_with(words, before, lambda w, p: w.rlike("^[A-Z][a-z]") & ~p.rlike("[.!?]$"))
-    names = F.size(F.filter(inside, lambda x: x))
-    years = F.coalesce(F.regexp_count(text, F.lit(r"(?U)\b(19|20)\d{2}\b")), F.lit(0))
-    raw = cue_count(F.coalesce(text, F.lit("")), KNOWLEDGE_CUES) + F.least(F.lit(2.0), names / 3.0) + F.least(F.lit(1.5), years / 2.0)
+    years = F.coalesce(F.regexp_count(text, F.lit(f"(?U){early(YEARS)}")), F.lit(0))
+    raw = word_facts(text)["knowledge"] + F.least(F.lit(2.0), word_facts(text)["names"] / 3.0) + F.least(F.lit(1.5), years / 2.0)
     return F.least(F.lit(1.0), raw / 6.0)
 
 
 def clause_distance(text: Column) -> Column:
     """Proxy of the mean dependency distance: the longer side of each clause word, else an eighth of the words (1 at least)."""
-    words = tokens(F.coalesce(text, F.lit("")))
-    trimmed = lambda w: F.regexp_replace(F.lower(w), r"^[,;:.]+|[,;:.]+$", "")
-
-    def distance(bound: Column) -> Column:
-        n = bound["n"]
-        at = F.filter(F.transform(bound["w"], lambda w, i: F.when(trimmed(w).isin(*BREAKS), F.greatest(i, n - i - 1))), lambda x: x.isNotNull())
-        spans = F.aggregate(at, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c")), lambda o, x: F.struct((o["s"] + x).alias("s"), (o["c"] + 1).alias("c")), lambda o: F.when(o["c"] > 0, F.try_divide(o["s"], o["c"])))
-        return F.when(n < 2, F.lit(0.0)).otherwise(F.coalesce(spans, F.greatest(F.lit(1.0), n / 8.0)))
-
-    # Bound once by the outer transform: an expression named inside a lambda would be computed again for every word.
-    return F.element_at(F.transform(F.array(F.struct(words.alias("w"), F.size(words).alias("n"))), distance), 1)
+    return word_facts(text)["distance"]
 
 
 def first_of(*candidates: Column) -> Column:
@@ -233,18 +281,7 @@ def interactions(reasoning: Column, constraints: Column, length: Column, entropy
 
 def text_entropy(text: Column) -> Column:
     """Bits a word of the words of one text, as an expression; 0 without words."""
-    words = tokens(F.lower(F.coalesce(text, F.lit(""))))
-
-    def bits(ws: Column) -> Column:
-        n = F.size(ws).cast("double")
-        # Sorted, equal words stand together: the sum over runs of c * log2(c) needs one pass.
-        zero = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
-        run = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
-        step = lambda a, w: F.when((a["w"] == w) & (a["c"] > 0), F.struct(w.alias("w"), (a["c"] + 1).alias("c"), a["s"].alias("s"))).otherwise(F.struct(w.alias("w"), F.lit(1.0).alias("c"), (a["s"] + run(a["c"])).alias("s")))
-        total = F.aggregate(ws, zero, step, lambda a: a["s"] + run(a["c"]))
-        return F.when(n > 0, F.abs(F.log2(n) - total / n)).otherwise(0.0)
-
-    return F.element_at(F.transform(F.array(F.array_sort(words)), bits), 1)
+    return word_facts(text)["entropy"]
 
 
 # Words whose share among themselves is the feature of a family.
@@ -281,38 +318,60 @@ USE_CASE_NEGATION = r"\b(not|no|never|neither|nobody|nothing|nowhere|n't|cannot|
 POSITIVE, NEGATIVE = ("good", "great", "excellent", "amazing", "love", "positive", "best", "happy"), ("bad", "terrible", "awful", "hate", "negative", "worst", "sad", "angry")
 
 
-def use_case_features(text: Column) -> dict[str, Column]:
-    """Features of a use case's text that need no tagger; all 0 for texts under five characters."""
+def use_case_struct(text: Column) -> Column:
+    """Struct of the features of a use case's text that need no tagger, whose tokens are found once; all 0 for texts under five characters."""
+
+    def body(b: Column) -> Column:
+        x, found, words = b["x"], b["found"], b["words"]
+        n = F.greatest(F.lit(1), F.size(words))
+        hits = lambda ws: F.size(F.filter(words, lambda w: w.isin(*ws)))
+        read = readability_of(b["split"], x, b["low"])
+        out = {
+            "token_count": F.size(found).cast("double"),
+            "type_token_ratio": F.coalesce(F.try_divide(F.size(F.array_distinct(found)).cast("double"), F.size(found).cast("double")), F.lit(0.0)),
+            "avg_word_length": F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n,
+            "sentence_count": F.regexp_count(x, F.lit(r"[^.!?]+[.!?]*")).cast("double"),
+            "flesch_kincaid_grade": read["flesch_kincaid"],
+            "gunning_fog": read["fog"],
+            "negation_count": F.regexp_count(x, F.lit(f"(?U){early(USE_CASE_NEGATION)}")).cast("double"),
+            "sentiment_lexicon_score": (hits(POSITIVE) - hits(NEGATIVE)) / n,
+        }
+        return F.struct(*[F.when(F.length(x) >= 5, v).otherwise(0.0).alias(k) for k, v in out.items()])
+
+    def parts(b: Column) -> Column:
+        found = F.regexp_extract_all(b["low"], F.lit(r"[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]"), F.lit(0))
+        return F.struct(b["x"].alias("x"), b["low"].alias("low"), tokens(b["x"]).alias("split"), found.alias("found"))
+
+    def worded(b: Column) -> Column:
+        words = F.filter(b["found"], lambda w: w.rlike(r"^[\p{L}\p{M}]+$"))
+        return F.struct(b["x"].alias("x"), b["low"].alias("low"), b["split"].alias("split"), b["found"].alias("found"), words.alias("words"))
+
     x = F.trim(F.coalesce(text, F.lit("")))
-    found = F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]"), F.lit(0))
-    words = F.filter(found, lambda w: w.rlike(r"^[\p{L}\p{M}]+$"))
-    n = F.greatest(F.lit(1), F.size(words))
-    hits = lambda ws: F.size(F.filter(words, lambda w: w.isin(*ws)))
-    read = readability(x)
-    out = {
-        "token_count": F.size(found).cast("double"),
-        "type_token_ratio": F.coalesce(F.try_divide(F.size(F.array_distinct(found)).cast("double"), F.size(found).cast("double")), F.lit(0.0)),
-        "avg_word_length": F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n,
-        "sentence_count": F.regexp_count(x, F.lit(r"[^.!?]+[.!?]*")).cast("double"),
-        "flesch_kincaid_grade": read["flesch_kincaid"],
-        "gunning_fog": read["fog"],
-        "negation_count": F.regexp_count(x, F.lit(f"(?U){USE_CASE_NEGATION}")).cast("double"),
-        "sentiment_lexicon_score": (hits(POSITIVE) - hits(NEGATIVE)) / n,
-    }
-    return {k: F.when(F.length(x) >= 5, v).otherwise(0.0) for k, v in out.items()}
+    return once(once(once(F.struct(x.alias("x"), F.lower(x).alias("low")), parts), worded), body)
+
+
+# The features' names, in their order.
+USE_CASE = ("token_count", "type_token_ratio", "avg_word_length", "sentence_count", "flesch_kincaid_grade", "gunning_fog", "negation_count", "sentiment_lexicon_score")
+
+
+def use_case_features(text: Column) -> dict[str, Column]:
+    """The fields of use_case_struct; where more than one is wanted, name the struct in a projection of its own first."""
+    made = use_case_struct(text)
+    return {n: made[n] for n in USE_CASE}
 
 
 def all_features(task: Column, text: Column, context: Column) -> dict[str, Column]:
-    """Everything that one text tells of its difficulty, by the names of the annotation."""
+    """What one text tells of its difficulty, by the names of the annotation; interactions follow from these."""
     x = feature_text(task, text, context)
-    n, h, r, g, k = token_count(x).cast("double"), text_entropy(x), reasoning_proxy(text), constraint_count(text), knowledge_dependence(text)
-    base = {"n_in": n, "entropy": h, "reasoning_proxy": r, "constraint_count": g, "parametric_dependence": k, "dependency_distance": clause_distance(text)}
-    return base | interactions(r, g, n, h, k)
+    base = {"n_in": token_count(x).cast("double"), "entropy": text_entropy(x), "reasoning_proxy": reasoning_proxy(text), "constraint_count": constraint_count(text)}
+    return base | {"parametric_dependence": knowledge_dependence(text), "dependency_distance": clause_distance(text)}
 
 
 def annotate(df: DataFrame, task: str, text: str, context: str) -> DataFrame:
-    """Adds difficulty_dim, difficulty_score (the task's dominant dimension) and the features as difficulty_feature_*."""
+    """Adds difficulty_dim, difficulty_score (the task's dominant dimension) and the features as difficulty_feature_*, each computed once."""
     made = df.withColumns({f"difficulty_feature_{n}": c for n, c in all_features(F.col(task), F.col(text), F.col(context)).items()})
+    pairs = interactions(*[F.col(f"difficulty_feature_{n}") for n in ("reasoning_proxy", "constraint_count", "n_in", "entropy", "parametric_dependence")])
+    made = made.withColumns({f"difficulty_feature_{n}": c for n, c in pairs.items()})
     dim, of = dominant_dimension(F.col(task)), lambda n: F.col(f"difficulty_feature_{n}")
     score = F.when(dim == "H", of("entropy")).when(dim == "|Gamma|", of("constraint_count")).when(dim == "R_hat", of("reasoning_proxy")).otherwise(of("n_in"))
     return made.withColumns({"difficulty_dim": dim, "difficulty_score": score})

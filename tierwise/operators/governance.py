@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nullsafe import once, one_to_five
+from ..functions.nullsafe import one_to_five
 from ..functions.text import cue_count, pattern_count, word_count
 
 DIMENSIONS = ("TC", "OS", "SK", "DS", "LT", "VL")
@@ -22,32 +22,37 @@ BRACKETS, ORDER = r"[\{\}\[\],:|]", r"\b(first|second|third|step|ordered|sorted)
 TIERS = ("pure_slm", "hybrid", "llm_only", "disqualified")
 
 
+def within_five(raw: Column) -> Column:
+    """one_to_five of a sum that is never null, named once."""
+    return F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.bround(raw, 0))).cast("int")
+
+
 def task_complexity(task: Column, prompt: Column, constraints: tuple[str, ...] = CONSTRAINT_TERMS) -> Column:
     text = F.trim(F.coalesce(prompt, F.lit("")))
     raw = 1.0 + F.least(F.lit(2.0), word_count(text) / 120.0) + F.least(F.lit(1.0), cue_count(text, constraints) / 4.0)
     raw += F.least(F.lit(1.0), pattern_count(text, HARD) / 3.0)
     raw += F.least(F.lit(1.0), pattern_count(text, OPERATORS) / 20.0)
     prior = F.when(task.isin("maths", "code_generation", "retrieval_grounded"), 0.4).when(task.isin("classification", "summarization"), -0.2).otherwise(0.0)
-    return once(raw + prior, one_to_five)
+    return within_five(raw + prior)
 
 
 def output_structure(prompt: Column, expected: Column, formats: tuple[str, ...] = FORMAT_TERMS) -> Column:
     text = F.concat(F.coalesce(prompt, F.lit("")), F.lit(" "), F.coalesce(expected, F.lit("")))
     raw = 1.0 + F.least(F.lit(2.2), cue_count(text, formats) / 2.0) + F.least(F.lit(1.0), pattern_count(text, BRACKETS) / 40.0)
-    return once(raw + F.least(F.lit(1.0), pattern_count(text, ORDER) / 3.0), one_to_five)
+    return within_five(raw + F.least(F.lit(1.0), pattern_count(text, ORDER) / 3.0))
 
 
 def stakes(task: Column, prompt: Column, critical: Column, approval: Column, terms: tuple[str, ...] = STAKES_TERMS) -> Column:
     raw = 1.0 + F.least(F.lit(2.0), cue_count(F.coalesce(prompt, F.lit("")), terms) / 2.0)
     raw += F.when(task.isin("maths", "code_generation"), 0.4).otherwise(0.0) + F.when(critical, 1.2).otherwise(0.0)
-    return once(raw + F.when(approval, 0.6).otherwise(0.0), one_to_five)
+    return within_five(raw + F.when(approval, 0.6).otherwise(0.0))
 
 
 def data_sensitivity(prompt: Column, level: Column, pii: Column, phi: Column, terms: tuple[str, ...] = SENSITIVE_TERMS) -> Column:
     name = F.lower(F.trim(F.coalesce(level, F.lit("internal"))))
     base = F.when(name == "public", 1.0).when(name == "confidential", 3.2).when(name == "restricted", 4.2).otherwise(2.0)
     raw = base + F.least(F.lit(1.0), cue_count(F.coalesce(prompt, F.lit("")), terms) / 2.0)
-    return once(raw + F.when(pii, 0.8).otherwise(0.0) + F.when(phi, 1.0).otherwise(0.0), one_to_five)
+    return within_five(raw + F.when(pii, 0.8).otherwise(0.0) + F.when(phi, 1.0).otherwise(0.0))
 
 
 def latency_tolerance(p99_ms: Column, real_time: Column) -> Column:

@@ -56,9 +56,11 @@ def annotated(s, d):
     steps = X.reasoning_steps(F.col("text"), (facts,), (F.when(i % 4 == 1, F.lit(-2.0)),), 0.5)
     knows = X.parametric_dependence(F.col("text"), F.when(i % 3 == 0, 0.9), F.when(i % 3 == 0, 0.4), F.when(i % 3 == 1, 0.7))
     distance = X.dependency_distance(F.col("text"), arcs)
-    more = X.interactions(steps, F.lit(2), X.token_count(F.col("text")), X.text_entropy(F.col("text")), knows)
     of = X.feature_text(F.when(i % 2 == 0, "retrieval_grounded").otherwise("maths"), F.col("text"), F.when(i % 4 != 0, F.col("source")))
-    return x.select("doc_id", F.round(steps, 6).alias("steps"), F.round(knows, 6).alias("knows"), F.round(distance, 6).alias("distance"), *[F.round(c, 4).alias(n) for n, c in more.items()], F.md5(of).alias("feature_text"))
+    # Named before they are used more than once.
+    x = x.select("doc_id", steps.alias("steps"), knows.alias("knows"), distance.alias("distance"), X.token_count(F.col("text")).alias("n"), X.text_entropy(F.col("text")).alias("h"), F.md5(of).alias("feature_text"))
+    more = X.interactions(F.col("steps"), F.lit(2), F.col("n"), F.col("h"), F.col("knows"))
+    return x.select("doc_id", *[F.round(c, 6).alias(c) for c in ("steps", "knows", "distance")], *[F.round(c, 4).alias(n) for n, c in more.items()], "feature_text")
 
 
 _CUED = lambda cs: " + ".join(f"CAST(contains(lower(text), '{c}') AS INT)" for c in cs)
@@ -111,7 +113,8 @@ def annotations(s, d):
 
 
 def of_use_cases(s, d):
-    return t(s, d, "documents").select("doc_id", *[F.round(c, 6).alias(n) for n, c in X.use_case_features(F.col("text")).items()])
+    x = t(s, d, "documents").select("doc_id", X.use_case_struct(F.col("text")).alias("f"))
+    return x.select("doc_id", *[F.round(F.col("f")[n], 6).alias(n) for n in X.USE_CASE])
 
 
 def decided(s, d):
