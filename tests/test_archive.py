@@ -76,3 +76,14 @@ def test_ablations_equal_fits_without_the_features(spark):
         one = fit.fit_balanced(d, kept, "y")
         weights = dict(zip(names, r.weights, strict=True))
         assert [weights[f] for f in kept] == pytest.approx(one["weights"], abs=2e-3) and all(weights[f] == 0 for f in names if f not in kept)
+
+
+def test_ablations_write_their_features_once(spark, monkeypatch):
+    """The fits read written rows, not the features' expressions, in each of their passes."""
+    kept, held = [], splits.written
+    monkeypatch.setattr(splits, "written", lambda x: kept.append(x.columns) or held(x))
+    seen = []
+    monkeypatch.setattr(splits, "train_grid", lambda train, val, *rest, **more: seen.extend([train, val]))
+    d = spark.range(8).select(F.length(F.sha2(F.col("id").cast("string"), 256)).alias("token_count"), F.col("id").alias("unused"), (F.col("id") > 3).alias("y"))
+    splits.ablation_models(d, d, [], ["token_count"], "y")
+    assert kept == [["token_count", "y"]] * 2 and all("sha2" not in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)

@@ -116,4 +116,6 @@ def ablation_models(train: DataFrame, val: DataFrame, by: list[str], features: l
         left_out = {f: [a for a in ABLATIONS if f not in ablated(features, a)] for f in features}
         return rows.withColumns({f: F.when(F.col("ablation").isin(*away), 0.0).otherwise(F.col(f)) if away else F.col(f) for f, away in left_out.items()})
 
-    return train_grid(each(train), each(val), [*by, "ablation"], features, label, strengths, balanced=True)
+    # The features may be costly, and every step of a fit reads them.
+    held = [written(x.select(*by, *features, label)) for x in (train, val)]
+    return train_grid(each(held[0]), each(held[1]), [*by, "ablation"], features, label, strengths, balanced=True)
